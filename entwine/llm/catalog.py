@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from entwine.llm import byte_bpe
+from entwine.llm import byte_bpe, chat_format, url_filter
 from entwine.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -15,9 +16,43 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), RANKS)
 
 
+RULES = [
+    url_filter.Rule("block", "net", "/"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+#: The conversation that the contract adds: control strings as text.
+ADDED_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, then read back from the formatted output."""
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED_TEXT).alias("text"))
+    chats = chat_format.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
+    read = chats.select("conv_id", "formatted", "valid", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss_text(F.col("segments")).alias("loss_text"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
 def queries() -> dict:
     """Name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op6_byte_bpe,)}
+    return {f.__name__: f for f in (op6_byte_bpe, op8_url_filter, op9_chat_format)}
 
 
 def oracle_sql() -> dict:
