@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm import byte_bpe, chat_format, url_filter
+from entwine.llm import byte_bpe, chat_format, fingerprint, url_filter
 from entwine.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint.compare_with_edited(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE round trip of every document."""
     return byte_bpe.digests(table(spark, sf_dir, "documents"), RANKS)
@@ -52,7 +57,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op6_byte_bpe, op8_url_filter, op9_chat_format)}
+    return {f.__name__: f for f in (op3_fingerprint, op6_byte_bpe, op8_url_filter, op9_chat_format)}
 
 
 def oracle_sql() -> dict:
