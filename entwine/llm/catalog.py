@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm import byte_bpe, chat_format, fingerprint, url_filter
+from entwine.llm import byte_bpe, chat_format, fingerprint, language, url_filter
 from entwine.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -16,6 +16,13 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edited(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~language.is_held_out() & F.col("doc_id").isNotNull()))
+    return language.identify(docs.select("doc_id", language.is_held_out().alias("held_out"), "text"), model).drop("text")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE round trip of every document."""
     return byte_bpe.digests(table(spark, sf_dir, "documents"), RANKS)
@@ -57,7 +64,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op3_fingerprint, op6_byte_bpe, op8_url_filter, op9_chat_format)}
+    return {f.__name__: f for f in (op3_fingerprint, op5_language, op6_byte_bpe, op8_url_filter, op9_chat_format)}
 
 
 def oracle_sql() -> dict:
