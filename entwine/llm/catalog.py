@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm import byte_bpe, chat_format, fingerprint, language, url_filter
+from entwine.llm import byte_bpe, chat_format, fingerprint, html_extract, language, url_filter
 from entwine.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 RULES = [
     url_filter.Rule("block", "net", "/"),
     url_filter.Rule("allow", "example.net", "/en/"),
@@ -64,7 +69,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op3_fingerprint, op5_language, op6_byte_bpe, op8_url_filter, op9_chat_format)}
+    return {f.__name__: f for f in (op3_fingerprint, op5_language, op6_byte_bpe, op7_html_extract, op8_url_filter, op9_chat_format)}
 
 
 def oracle_sql() -> dict:
