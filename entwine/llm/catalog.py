@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm import byte_bpe, chat_format, fingerprint, html_extract, language, url_filter
+from entwine.llm import byte_bpe, chat_format, decontaminate, fingerprint, html_extract, language, url_filter
 from entwine.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurrences of benchmark windows, and the items that occur."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n = F.size("items").cast("long")
+    return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprint.compare_with_edited(table(spark, sf_dir, "documents"))
@@ -69,7 +76,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op3_fingerprint, op5_language, op6_byte_bpe, op7_html_extract, op8_url_filter, op9_chat_format)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_fingerprint, op5_language, op6_byte_bpe, op7_html_extract, op8_url_filter, op9_chat_format)}
 
 
 def oracle_sql() -> dict:
