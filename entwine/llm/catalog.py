@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm import byte_bpe, chat_format, decontaminate, fingerprint, html_extract, language, url_filter
-from entwine.llm.common import table
+from entwine.llm import byte_bpe, chat_format, decontaminate, fingerprint, html_extract, language, token_files, url_filter
+from entwine.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -74,9 +76,19 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+VOCABULARY, END_ID = "byte_bpe_50k.json", 2
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids with the end id, from files written and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, VOCABULARY, END_ID)
+    return token_files.read_digests(spark, path)
+
+
 def queries() -> dict:
     """Name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op2_decontaminate, op3_fingerprint, op5_language, op6_byte_bpe, op7_html_extract, op8_url_filter, op9_chat_format)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_fingerprint, op5_language, op6_byte_bpe, op7_html_extract, op8_url_filter, op9_chat_format, op10_token_files)}
 
 
 def oracle_sql() -> dict:

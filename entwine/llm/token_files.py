@@ -4,7 +4,7 @@ A block holds up to BLOCK ids and starts from nothing: no block needs another to
 the CRC-32 of its ids. For every id an order-2 and an order-1 table give the id that followed the same two and the same one
 ids last, with a count of how often in a row that was right. The chances that adaptive probabilities give to these and
 to order 0 are mixed in the logistic domain by weights that learn in the block; the mixed chance drives the
-arithmetic coding of "the predicted id". Any other id is coded by the order-0 model: one of 64 classes of ids with
+arithmetic coding of "the predicted id". Any other id is coded by the order-0 model: one of 16 classes of ids with
 adaptive counts, then the place in the class. All arithmetic is on integers, so it is the same on every machine.
 
 Python would be slow for one block at a time, so the blocks of a shard (a few megabytes of text) are coded in step: every numpy
@@ -35,85 +35,78 @@ from entwine.llm.byte_bpe import codec
 from entwine.llm.common import slices
 
 BLOCK = 1024
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 8 << 20
 MAGIC, HEADER = b"CMR1", struct.Struct("<4sII")
 #: Entries of the order-1 and order-2 tables of a block.
 ENTRIES = 1024
-#: 64 classes of ids: 16 of each of these sizes (powers of two), from id 0 on.
-CLASS_BITS = np.repeat([6, 8, 10, 12], 16)
+#: Classes of ids from id 0 on: four of each of these sizes (powers of two), so that the last end beyond 65,536.
+CLASS_BITS = np.repeat([8, 10, 12, 14], 4)
+CLASSES = len(CLASS_BITS)
 CLASS_START = np.concatenate([[0], np.cumsum(1 << CLASS_BITS)])
+#: 12-bit chances in the logistic domain: a rational curve, so that integers suffice.
+STRETCH = np.array([((2 * c - 4096) << 8) // (4096 - abs(2 * c - 4096)) if c else -(1 << 20) for c in range(4096)], np.int32)
+#: Row k is true below k.
+BELOW = np.tri(CLASSES, CLASSES, -1, dtype=np.int32)
 U = np.uint64
 LOW16, TOP, BOTTOM = U(0xFFFF), U(1 << 48), U(1 << 32)
 
 
 class Model:
-    """The predictions of `rows` blocks, in step; row r of every array is block r's."""
+    """The predictions of `rows` blocks, in step. Where arrays have two rows, they are of order 1 and order 2."""
 
     def __init__(self, rows: int):
-        self.base, self.row16 = np.arange(rows) * ENTRIES, np.arange(rows) * 16
-        self.ids = [np.zeros(rows * ENTRIES, np.int32) for _ in range(2)]
-        self.runs = [np.zeros(rows * ENTRIES, np.int8) for _ in range(2)]
-        self.chance = [np.full(rows * 16, 1024, np.int32) for _ in range(2)]
+        self.base = np.arange(2 * rows).reshape(2, rows)
+        self.ids = np.zeros(2 * rows * ENTRIES, np.int32)
+        self.runs = np.zeros(2 * rows * ENTRIES, np.int32)
+        self.chance = np.full(2 * rows * 16, 1024, np.int32)
         self.any = np.full(rows, 1024, np.int32)
-        self.weights = [np.full(rows, 24000, np.int64) for _ in range(3)]
+        self.weights = np.full((3, rows), 24000, np.int32)
+        self.inputs = np.zeros((3, rows), np.int32)
         self.last, self.before = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        self.counts, self.groups = np.ones((rows, 8, 8), np.int64), np.full((rows, 8), 8, np.int64)
-        self.total = np.full(rows, 64, np.int64)
-
-    @staticmethod
-    def stretch(chance: np.ndarray) -> np.ndarray:
-        """A 12-bit chance in the logistic domain (a rational curve)."""
-        u = 2 * chance.astype(np.int64) - 4096
-        return (u << 8) // (4096 - np.abs(u))
+        self.counts = np.ones((rows, CLASSES), np.int32)
+        self.total = np.full(rows, CLASSES, np.int32)
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The predicted id of the first n blocks and its chance in 16 bits."""
-        last, before = self.last[:n], self.before[:n]
-        self.at = [self.base[:n] + ((last * 40503 >> 4) & (ENTRIES - 1)), self.base[:n] + (((last * 30011 + before * 50021) >> 4) & (ENTRIES - 1))]
-        self.guess = [ids[at] for ids, at in zip(self.ids, self.at)]
-        self.run = [runs[at] for runs, at in zip(self.runs, self.at)]
-        self.chance_at = [self.row16[:n] + run for run in self.run]
-        x1, x2 = (self.stretch(chance[at]) for chance, at in zip(self.chance, self.chance_at))
+        last, base = self.last[:n], self.base[:, :n]
+        context = np.stack([last * 40503, last * 30011 + self.before[:n] * 50021])
+        self.at = base * ENTRIES + ((context >> 4) & (ENTRIES - 1))
+        self.guess, self.run = self.ids[self.at], self.runs[self.at]
+        self.chance_at = base * 16 + self.run
+        x = self.inputs[:, :n]
+        x[0] = STRETCH[self.any[:n]]
+        x[1:] = STRETCH[self.chance[self.chance_at]]
         guess = np.where(self.run[1] > 0, self.guess[1], self.guess[0])
-        x1 = np.where(self.guess[0] == guess, x1, -np.abs(x1))
-        self.inputs = (self.stretch(self.any[:n]), x1, x2)
-        x = sum(w[:n] * i for w, i in zip(self.weights, self.inputs)) >> 16
-        self.p = np.clip(32768 + (x << 15) // (256 + np.abs(x)), 48, 65536 - 48)
-        self.predicted = guess
+        other = self.guess[0] != guess
+        x[1][other] = -np.abs(x[1][other])
+        mixed = (self.weights[:, :n].astype(np.int64) * x).sum(0) >> 16
+        self.p = np.clip(32768 + (mixed << 15) // (256 + np.abs(mixed)), 48, 65536 - 48)
         return guess, self.p
 
     def learn(self, n: int, ids: np.ndarray, hit: np.ndarray) -> None:
         """Take in the ids of the first n blocks."""
         error = (hit.astype(np.int64) << 16) - self.p
-        for w, x in zip(self.weights, self.inputs):
-            w[:n] += (error * x) >> 12
-            np.clip(w[:n], -(1 << 19), 1 << 19, out=w[:n])
-        self.any[:n] += ((hit.astype(np.int32) << 12) - self.any[:n]) >> 5
-        for k in range(2):
-            right = self.guess[k] == ids
-            at = self.chance_at[k]
-            now = self.chance[k][at]
-            self.chance[k][at] = np.clip(now + (((right.astype(np.int32) << 12) - now) >> 4), 16, 4080)
-            run = self.run[k]
-            anew = ~right & (run < 2)
-            self.ids[k][self.at[k]] = np.where(anew, ids, self.guess[k])
-            self.runs[k][self.at[k]] = np.where(right, np.minimum(run + 1, 15), np.where(anew, 1, run >> 1))
-        np.clip(self.any[:n], 16, 4080, out=self.any[:n])
+        weights = self.weights[:, :n]
+        np.clip(weights + ((error * self.inputs[:, :n]) >> 12), -(1 << 19), 1 << 19, out=weights, casting="unsafe")
+        now = self.any[:n]
+        now += ((hit.astype(np.int32) << 12) - now) >> 5
+        np.clip(now, 16, 4080, out=now)
+        right = self.guess == ids
+        now = self.chance[self.chance_at]
+        self.chance[self.chance_at] = np.clip(now + (((right.astype(np.int32) << 12) - now) >> 4), 16, 4080)
+        anew = ~right & (self.run < 2)
+        self.ids[self.at] = np.where(anew, ids, self.guess)
+        self.runs[self.at] = np.where(right, np.minimum(self.run + 1, 15), np.where(anew, 1, self.run >> 1))
         self.before[:n], self.last[:n] = self.last[:n].copy(), ids
 
     def count(self, rows: np.ndarray, kind: np.ndarray) -> None:
         """Order 0 takes in the classes of the rows."""
-        self.counts[rows, kind >> 3, kind & 7] += 24
-        self.groups[rows, kind >> 3] += 24
+        self.counts[rows, kind] += 24
         self.total[rows] += 24
         full = rows[self.total[rows] > 16000]
         if len(full):
             self.counts[full] = (self.counts[full] + 1) >> 1
-            self.groups[full] = self.counts[full].sum(2)
-            self.total[full] = self.groups[full].sum(1)
-
-
-BELOW = np.tri(9, 8, -1, dtype=np.int64)
+            self.total[full] = self.counts[full].sum(1)
 
 
 class Encoder:
@@ -205,9 +198,8 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         if len(missed):
             own = now[missed]
             kind = np.searchsorted(CLASS_START, own, side="right") - 1
-            group, inner = kind >> 3, kind & 7
-            start = (model.groups[missed] * BELOW[group]).sum(1) + (model.counts[missed, group] * BELOW[inner]).sum(1)
-            coder.put(missed, start.astype(U), model.counts[missed, group, inner].astype(U), coder.range[missed] // model.total[missed].astype(U))
+            start = (model.counts[missed] * BELOW[kind]).sum(1)
+            coder.put(missed, start.astype(U), model.counts[missed, kind].astype(U), coder.range[missed] // model.total[missed].astype(U))
             coder.put(missed, (own - CLASS_START[kind]).astype(U), np.ones(len(missed), U), coder.range[missed] >> CLASS_BITS[kind].astype(U))
             model.count(missed, kind)
         model.learn(live, now, hit)
@@ -237,16 +229,12 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
         if len(missed):
             unit = coder.range[missed] // model.total[missed].astype(U)
             value = np.minimum(coder.value(missed, unit).astype(np.int64), model.total[missed] - 1)
-            ends = np.cumsum(model.groups[missed], 1)
-            group = (ends <= value[:, None]).sum(1)
-            value -= (model.groups[missed] * BELOW[group]).sum(1)
-            own = model.counts[missed, group]
-            inner = (np.cumsum(own, 1) <= value[:, None]).sum(1)
-            start = (model.groups[missed] * BELOW[group]).sum(1) + (own * BELOW[inner]).sum(1)
-            kind = group * 8 + inner
-            coder.take(missed, start.astype(U), model.counts[missed, group, inner].astype(U), unit)
+            ends = np.cumsum(model.counts[missed], 1, dtype=np.int32)
+            kind = (ends <= value[:, None]).sum(1)
+            size = model.counts[missed, kind]
+            coder.take(missed, (ends[np.arange(len(missed)), kind] - size).astype(U), size.astype(U), unit)
             unit = coder.range[missed] >> CLASS_BITS[kind].astype(U)
-            place = np.minimum(coder.value(missed, unit), U(4095))
+            place = np.minimum(coder.value(missed, unit), U((1 << 14) - 1))
             coder.take(missed, place, np.ones(len(missed), U), unit)
             now[missed] = CLASS_START[kind] + place.astype(np.int64)
             model.count(missed, kind)
