@@ -7,12 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm import byte_bpe, chat_format, decontaminate, fingerprint, html_extract, language, token_files, url_filter
+from entwine.llm import byte_bpe, chat_format, decontaminate, fingerprint, html_extract, jaccard_join, language, token_files, url_filter
 from entwine.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by 4-word shingles at a Jaccard similarity of 0.85 or more."""
+    return jaccard_join.classes_of(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside occurrences of benchmark windows, and the items that occur."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -88,7 +93,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op2_decontaminate, op3_fingerprint, op5_language, op6_byte_bpe, op7_html_extract, op8_url_filter, op9_chat_format, op10_token_files)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_fingerprint, op5_language, op6_byte_bpe, op7_html_extract, op8_url_filter, op9_chat_format, op10_token_files)}
 
 
 def oracle_sql() -> dict:
