@@ -192,6 +192,12 @@ def decode(df: DataFrame, vocab: str, ids: str = "ids", out: str = "decoded") ->
     return df.mapInArrow(lambda it: decode_batches(it, vocab, ids, out), with_fields(df, [(out, T.BinaryType())]))
 
 
+def round_trip(df: DataFrame, vocab: str, text: str = "text") -> DataFrame:
+    """df with `ids` and `decoded`, both made in one worker."""
+    schema = with_fields(df, [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())])
+    return df.mapInArrow(lambda it: decode_batches(encode_batches(it, vocab, text), vocab), schema)
+
+
 def digests(df: DataFrame, vocab: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, decode and digest in one worker: key, n_tokens, ids_sha256 (little-endian 32-bit), decoded_sha256."""
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm import byte_bpe, chat_format, decontaminate, fingerprint, html_extract, jaccard_join, language, token_files, url_filter
+from entwine.llm import byte_bpe, chat_format, decontaminate, fingerprint, html_extract, jaccard_join, language, line_dedup, token_files, url_filter
 from entwine.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,12 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edited(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of recurring templates."""
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -93,7 +99,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_fingerprint, op5_language, op6_byte_bpe, op7_html_extract, op8_url_filter, op9_chat_format, op10_token_files)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_fingerprint, op4_line_dedup, op5_language, op6_byte_bpe, op7_html_extract, op8_url_filter, op9_chat_format, op10_token_files)}
 
 
 def oracle_sql() -> dict:
