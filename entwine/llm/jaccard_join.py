@@ -10,7 +10,8 @@ length: the one that holds the shingle earliest, and the first and the last by h
 nodes are dealt to salts with pivots of their own, and the pivots are paired in turn. Pairs that pass the length and
 positional filters are verified once, by a suffix filter and the exact overlap of the sets, and their links are
 joined to components. Then only nodes of a shingle that are still in different components are paired, all of them, so no
-component misses a link: a pair that is left out lies in one component already.
+component misses a link: a pair that is left out lies in one component already. Where a shingle has many such pairs, chunks of
+its nodes are checked against each other in one task, without a row for each pair.
 
 Defined cases: A-Z count as a-z; with fewer words than n the whole sequence is the one shingle; null or empty text has an
 empty set, links with nothing and is a component of its own; equal sets always link; rows of equal keys are rows
@@ -38,6 +39,8 @@ from entwine.llm.words import SPACE, mix, word_hashes
 CELL_BITS, BLOCK_BITS = 22, 16
 #: Where a cell counts more documents than this, its shingles' nodes are dealt to SALTS.
 HOT, SALTS = 4096, 32
+#: A shingle with more pairs than this between its components is checked in chunks of about so many nodes.
+MOST_PAIRS, CHUNK = 4096, 512
 #: Keys whose texts are fetched by sending them to every task; beyond that by a join.
 MOST_SENT = 2_000_000
 
@@ -174,10 +177,9 @@ def overlaps(one: np.ndarray, other: np.ndarray, up: int, down: int) -> bool:
     return int((other[at] == one).sum()) >= need
 
 
-def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, share: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets link. keys: node and key, one document for each node."""
-    up, down = share.numerator, share.denominator
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node"), "fetch")
+def sets_of(wanted_nodes: DataFrame, docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """node and values (the set's hashes) of the nodes, written to the shared folder. keys: node and key, one document for each node."""
+    nodes = cut(wanted_nodes.distinct().join(keys, "node"), "fetch")
     wanted = nodes.select(F.col("key").alias("_key"))
     if nodes.count() <= MOST_SENT:
         wanted = F.broadcast(wanted)
@@ -188,7 +190,12 @@ def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, share: Fr
             yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "values"])
 
     texts = docs.join(wanted, F.col("key").eqNullSafe(F.col("_key")), "left_semi").select("text")
-    held = cut(texts.mapInArrow(sets, "node long, values binary").dropDuplicates(["node"]), "fetched")
+    return cut(texts.mapInArrow(sets, "node long, values binary").dropDuplicates(["node"]), "fetched")
+
+
+def verify(pairs: DataFrame, held: DataFrame, share: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+    up, down = share.numerator, share.denominator
 
     def check(batches):
         for batch in batches:
@@ -200,6 +207,43 @@ def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, share: Fr
     return cut(both.mapInArrow(check, "a long, b long"), "links")
 
 
+def verify_blocks(few: DataFrame, many: DataFrame, held: DataFrame, share: Fraction) -> DataFrame:
+    """Links (a, b) between the nodes of two sides, for shingles with many of both: token, node and root on either side, in different roots.
+
+    Each side of a shingle is dealt to chunks of about CHUNK nodes, and a task takes two chunks: it lists the second's nodes by
+    shingle and adds up overlaps, so pairs are neither written nor moved; only links are.
+    """
+    up, down = share.numerator, share.denominator
+    counts = few.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).alias("few_chunks")).join(many.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).alias("many_chunks")), "token")
+    deal = lambda df, own, other: df.join(counts, "token").select("token", "node", "root", F.pmod(F.xxhash64("node"), F.col(own)).alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("_other")).join(held, "node")
+    one = deal(few, "few_chunks", "many_chunks").select("token", F.col("_own").alias("x"), F.col("_other").alias("y"), "node", "root", "values")
+    other = deal(many, "many_chunks", "few_chunks").select("token", F.col("_other").alias("x"), F.col("_own").alias("y"), "node", "root", "values")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in right.column("other_values")]
+            sizes = np.array([len(v) for v in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            nodes, roots = right.column("other_node").to_numpy(), right.column("other_root").to_numpy()
+            for node, root, value in zip(left.column("node").to_pylist(), left.column("root").to_pylist(), left.column("values")):
+                values = np.frombuffer(value.as_buffer(), np.uint64)
+                begin, end = np.searchsorted(flat, values, "left"), np.searchsorted(flat, values, "right")
+                count = end - begin
+                at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                shared = np.bincount(owner[at], minlength=len(sets))
+                linked = (shared * (up + down) >= (sizes + len(values)) * up) & (roots != root)
+                a += [node] * int(linked.sum())
+                b += nodes[linked].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    other = other.toDF("of", "of_x", "of_y", "other_node", "other_root", "other_values")
+    found = one.groupBy("token", "x", "y").cogroup(other.groupBy("of", "of_x", "of_y")).applyInArrow(check, "a long, b long")
+    return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+
 def classes_of(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, share: Fraction = Fraction(85, 100)) -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) of every row."""
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -222,16 +266,21 @@ def classes_of(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     starred = shared.select("token", own.alias("x"), F.explode("pivots").alias("y"))
     salted = shared.where("salt > 0").select("token", "band", F.get("pivots", F.lit(0)).alias("x")).distinct().withColumn("y", F.min("x").over(W.partitionBy("token", "band"))).select("token", "x", "y")
     first = starred.union(salted).where((F.col("x")["node"] != F.col("y")["node"]) & may_link(F.col("x"), F.col("y"), share)).select(*pair(F.col("x"), F.col("y"))).distinct()
-    links = verify(cut(first, "pairs"), docs, keys, n, share)
+    first = cut(first, "pairs")
+    links = verify(first, sets_of(first.select(F.explode(F.array("a", "b")).alias("node")), docs, keys, n), share)
     roots = cut(components(links), "roots")
 
     rooted = cut(shared.select("token", own.alias("x")).join(roots, F.col("x")["node"] == F.col("node"), "left").select("token", "x", F.coalesce("root", F.col("x")["node"]).alias("root")), "rooted")
     sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("token").agg(F.max_by("root", "size").alias("major"), F.count("*").alias("roots")).where("roots > 1").select("token", "major")
-    mixed = cut(rooted.join(major, "token"), "mixed")
+    major = sizes.groupBy("token").agg(F.max_by("root", "size").alias("major"), F.sum("size").alias("all"), F.max("size").alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    large = (F.col("all") - F.col("most")) * F.col("all") > MOST_PAIRS
+    mixed = cut(rooted.join(major.select("token", "major", large.alias("large")), "token"), "mixed")
     rest = mixed.where("root <> major").select("token", F.col("x").alias("y"), F.col("root").alias("other"))
-    second = mixed.join(rest, "token").where((F.col("root") != F.col("other")) & ((F.col("root") == F.col("major")) | (F.col("x")["node"] < F.col("y")["node"])) & may_link(F.col("x"), F.col("y"), share))
-    more = verify(cut(second.select(*pair(F.col("x"), F.col("y"))).distinct(), "pairs"), docs, keys, n, share)
+    second = mixed.where("not large").join(rest, "token").where((F.col("root") != F.col("other")) & ((F.col("root") == F.col("major")) | (F.col("x")["node"] < F.col("y")["node"])) & may_link(F.col("x"), F.col("y"), share))
+    second = cut(second.select(*pair(F.col("x"), F.col("y"))).distinct(), "pairs")
+    many = cut(mixed.where("large").select("token", F.col("x.node").alias("node"), "root", (F.col("root") != F.col("major")).alias("few")), "many")
+    held = sets_of(second.select(F.explode(F.array("a", "b")).alias("node")).union(many.select("node")), docs, keys, n)
+    more = verify(second, held, share).union(verify_blocks(many.where("few").drop("few"), many.drop("few"), held, share))
     if not more.isEmpty():
         roots = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     placed = rows.join(roots, "node", "left").select("key", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
