@@ -8,7 +8,7 @@ prefixes selective), then by hash. Two sets that link share a shingle of their p
 A shingle's nodes are not paired with each other. First each is paired with pivots of its shingle (among sets of about its
 length: the one that holds the shingle earliest, and the first and the last by hash); where very many documents hold a shingle its
 nodes are dealt to salts with pivots of their own, and the pivots are paired in turn. Pairs that pass the length and
-positional filters are verified once, by a suffix filter and the exact overlap of the sets, and their links are
+positional filters go through a suffix filter and are verified once, by the exact overlap of the sets, and their links are
 joined to components. Then only nodes of a shingle that are still in different components are paired, all of them, so no
 component misses a link: a pair that is left out lies in one component already. Where a shingle has many such pairs, chunks of
 its nodes are checked against each other in one task, without a row for each pair.
@@ -37,6 +37,8 @@ from entwine.llm.components import components
 from entwine.llm.words import SPACE, mix, word_hashes
 
 CELL_BITS, BLOCK_BITS = 22, 16
+#: Classes of a set's profile, a power of two.
+PROFILE = 512
 #: Where a cell counts more documents than this, its shingles' nodes are dealt to SALTS.
 HOT, SALTS = 4096, 32
 #: A shingle with more pairs than this between its components is checked in chunks of about so many nodes.
@@ -71,15 +73,20 @@ def name_of(values: np.ndarray) -> int:
     return int(mix(np.atleast_1d(mix(values ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(values))))[0].view(np.int64))
 
 
+def profile(values: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of PROFILE classes by hash, 255 at most."""
+    return np.minimum(np.bincount((values & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
 def cells_of(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def measure(docs: DataFrame, n: int) -> DataFrame:
-    """One row for each document (key, node, n) and, from each task, its counts of cells (block, counts), written to the shared folder."""
+    """One row for each document (key, node, n, profile) and, from each task, its counts of cells (block, counts), written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "node", "n", "block", "counts"]
+        names = ["key", "node", "n", "profile", "block", "counts"]
         counts, kind, seen = np.zeros(1 << CELL_BITS, np.uint32), None, 0
         for batch in slices(batches, "text"):
             sets, kind = shingle_sets(batch.column("text"), n), batch.column("key").type
@@ -87,13 +94,13 @@ def measure(docs: DataFrame, n: int) -> DataFrame:
             seen += len(some)
             np.add.at(counts, cells_of(some), np.uint32(1))
             rows = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([profile(s) for s in sets], pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if seen:
             parts = counts.reshape(-1, 1 << BLOCK_BITS)
             n_parts = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n_parts, kind), pa.nulls(n_parts, pa.int64()), pa.nulls(n_parts, pa.int64()), pa.array(range(n_parts), pa.int32()), pa.array([zlib.compress(p.astype("<u4").tobytes(), 1) for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n_parts, kind), pa.nulls(n_parts, pa.int64()), pa.nulls(n_parts, pa.int64()), pa.nulls(n_parts, pa.binary()), pa.array(range(n_parts), pa.int32()), pa.array([zlib.compress(p.astype("<u4").tobytes(), 1) for p in parts], pa.binary())], names=names)
 
-    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("profile", T.BinaryType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
     return cut(docs.mapInArrow(run, schema), "sets")
 
 
@@ -162,35 +169,51 @@ def pair(a: Column, b: Column) -> list[Column]:
 
 
 def overlaps(one: np.ndarray, other: np.ndarray, up: int, down: int) -> bool:
-    """Whether the sorted sets link: suffix filter by halves, then the exact overlap."""
+    """Whether the sorted sets link."""
     need = -(-up * (len(one) + len(other)) // (up + down))
     if min(len(one), len(other)) < need:
         return False
-    apart = len(one) + len(other) - 2 * need
-    if len(other) > 8:
-        cuts = other[[len(other) // 4, len(other) // 2, 3 * len(other) // 4]]
-        a = np.diff(np.searchsorted(one, cuts), prepend=0, append=len(one))
-        b = np.diff(np.searchsorted(other, cuts), prepend=0, append=len(other))
-        if np.abs(a - b).sum() > apart:
-            return False
     at = np.minimum(np.searchsorted(other, one), len(other) - 1)
     return int((other[at] == one).sum()) >= need
 
 
+def suffix_filter(pairs: DataFrame, measured: DataFrame, share: Fraction) -> DataFrame:
+    """The pairs whose sets can link by their profiles: the suffixes are split by hash, and the differences of the parts' sizes add up to no more than sets that link may differ by."""
+    up, down = share.numerator, share.denominator
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "profiled")
+    wanted = F.broadcast(nodes) if nodes.count() <= MOST_SENT else nodes
+    own = measured.where("block is null").select("node", "n", "profile").join(wanted, F.col("node") == F.col("_node"), "left_semi").dropDuplicates(["node"])
+
+    def check(batches):
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16) for c in ("pa", "pb"))
+            apart = np.abs(a - b).sum(1)
+            need = -(-up * (na + nb) // (up + down))
+            kept = np.flatnonzero(apart <= na + nb - 2 * need)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept)) for c in ("a", "b")], names=["a", "b"])
+
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), "a").join(own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb")), "b")
+    return cut(both.mapInArrow(check, "a long, b long"), "pairs")
+
+
 def sets_of(wanted_nodes: DataFrame, docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """node and values (the set's hashes) of the nodes, written to the shared folder. keys: node and key, one document for each node."""
+    """node and values (the set's hashes) of the nodes, written to the shared folder; keys: node and key, one document for each node. Rows of one key in several tasks give a node several equal rows."""
     nodes = cut(wanted_nodes.distinct().join(keys, "node"), "fetch")
     wanted = nodes.select(F.col("key").alias("_key"))
     if nodes.count() <= MOST_SENT:
         wanted = F.broadcast(wanted)
 
     def sets(batches):
+        known = set()
         for batch in slices(batches, "text"):
-            found = [s for s in shingle_sets(batch.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "values"])
+            found = {name_of(s): s.tobytes() for s in shingle_sets(batch.column("text"), n)}
+            made = [name for name in found if name not in known]
+            known.update(made)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.int64()), pa.array([found[m] for m in made], pa.binary())], names=["node", "values"])
 
     texts = docs.join(wanted, F.col("key").eqNullSafe(F.col("_key")), "left_semi").select("text")
-    return cut(texts.mapInArrow(sets, "node long, values binary").dropDuplicates(["node"]), "fetched")
+    return cut(texts.mapInArrow(sets, "node long, values binary"), "fetched")
 
 
 def verify(pairs: DataFrame, held: DataFrame, share: Fraction) -> DataFrame:
@@ -204,7 +227,7 @@ def verify(pairs: DataFrame, held: DataFrame, share: Fraction) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int32())) for c in ("a", "b")], names=["a", "b"])
 
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("values").alias("one")), "a").join(held.select(F.col("node").alias("b"), F.col("values").alias("other")), "b")
-    return cut(both.mapInArrow(check, "a long, b long"), "links")
+    return cut(both.mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def verify_blocks(few: DataFrame, many: DataFrame, held: DataFrame, share: Fraction) -> DataFrame:
@@ -266,7 +289,7 @@ def classes_of(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     starred = shared.select("token", own.alias("x"), F.explode("pivots").alias("y"))
     salted = shared.where("salt > 0").select("token", "band", F.get("pivots", F.lit(0)).alias("x")).distinct().withColumn("y", F.min("x").over(W.partitionBy("token", "band"))).select("token", "x", "y")
     first = starred.union(salted).where((F.col("x")["node"] != F.col("y")["node"]) & may_link(F.col("x"), F.col("y"), share)).select(*pair(F.col("x"), F.col("y"))).distinct()
-    first = cut(first, "pairs")
+    first = suffix_filter(cut(first, "pairs"), measured, share)
     links = verify(first, sets_of(first.select(F.explode(F.array("a", "b")).alias("node")), docs, keys, n), share)
     roots = cut(components(links), "roots")
 
@@ -277,7 +300,7 @@ def classes_of(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     mixed = cut(rooted.join(major.select("token", "major", large.alias("large")), "token"), "mixed")
     rest = mixed.where("root <> major").select("token", F.col("x").alias("y"), F.col("root").alias("other"))
     second = mixed.where("not large").join(rest, "token").where((F.col("root") != F.col("other")) & ((F.col("root") == F.col("major")) | (F.col("x")["node"] < F.col("y")["node"])) & may_link(F.col("x"), F.col("y"), share))
-    second = cut(second.select(*pair(F.col("x"), F.col("y"))).distinct(), "pairs")
+    second = suffix_filter(cut(second.select(*pair(F.col("x"), F.col("y"))).distinct(), "pairs"), measured, share)
     many = cut(mixed.where("large").select("token", F.col("x.node").alias("node"), "root", (F.col("root") != F.col("major")).alias("few")), "many")
     held = sets_of(second.select(F.explode(F.array("a", "b")).alias("node")).union(many.select("node")), docs, keys, n)
     more = verify(second, held, share).union(verify_blocks(many.where("few").drop("few"), many.drop("few"), held, share))
