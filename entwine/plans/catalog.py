@@ -1,13 +1,306 @@
-"""The registered queries of the reconciliation engine."""
+"""The registered queries of the reconciliation engine and their SQL equivalents.
+
+A query's name begins with the part of the engine that it shows: e normalisation, c and d retrieval, f scoring and decision, g reconciling
+and sampling, h statistics and evaluation, i the service. All run over whole tables in the roles of roles.py.
+"""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+
+from pyspark.sql import functions as F
+
+from entwine import openrefine
+from entwine.config import MatchConfig, ablations
+from entwine.functions import normalize as N
+from entwine.functions import similarity as S
+from entwine.operators import analysis, blocking, evaluation, experiments, intervals, matching, reconcile, sampling
+from entwine.plans import roles, sql
+from entwine.plans.roles import table
+from entwine.sources import registry
+
+EXACT = ablations()["normalized_exact"]
+EXACT_WITH_EVIDENCE = replace(EXACT, use_country=True, use_city=True, use_margin=True)
+
+
+def e_normalize(spark, sf_dir):
+    _, names = roles.registry(spark, sf_dir)
+    return names.select("name_id", N.normalize_text(F.col("value")).alias("text"), "norm", F.array_join(N.search_tokens(F.col("value")), " ").alias("search"), F.array_join(N.scoring_tokens(F.col("norm")), " ").alias("scoring"), N.provisional_stratum(F.col("value")).alias("stratum"))
+
+
+def e_country(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("country"))
+    langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("country")).distinct()
+    return nation.union(langs).select("country", N.normalize_country(F.col("country")).alias("country_n"))
+
+
+def e_case_identifier(spark, sf_dir):
+    return roles.queries(spark, sf_dir).select("query_id", N.case_identifier(F.lit(None).cast("string"), F.col("query"), F.col("country"), F.col("city")).alias("case_id"))
+
+
+def e_amounts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.first_amount(F.lit(""), F.concat(F.lit("€"), F.format_number("o_totalprice", 2))).alias("amount"), N.as_int(F.col("o_totalprice").cast("string")).alias("whole"))
+
+
+def e_identity(spark, sf_dir):
+    rows = roles.participants(spark, sf_dir)
+    kept = rows.withColumn("organisationID", F.when(F.col("activityType") != "BUILDING", F.col("organisationID")).otherwise(""))
+    return reconcile.with_identity(kept).select("row_idx", "identity")
+
+
+def c1_exact(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    queries = names.select(F.col("name_id").alias("query_id"), "norm")
+    return blocking.exact(queries, names, orgs, 500, True).select("query_id", "ror_id", F.col("place").cast("long").alias("place"))
+
+
+def c2_active(spark, sf_dir):
+    return registry.active(roles.registry(spark, sf_dir)[0]).select("ror_id", "name", "country_code", "city")
+
+
+def c6_count(spark, sf_dir):
+    return roles.registry(spark, sf_dir)[0].agg(F.count("*").alias("organizations"))
+
+
+def c7_records(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    wanted = orgs.select("ror_id").withColumn("position", F.lit(0))
+    return registry.records_for(orgs, names, wanted).select("ror_id", "name", F.array_join(F.transform("names", lambda n: F.concat_ws("=", n["kind"], n["value"])), "|").alias("names"))
+
+
+def c9_phrases(spark, sf_dir):
+    return blocking.query_phrases(matching.prepare(roles.queries(spark, sf_dir)))
+
+
+def c10_trigrams(spark, sf_dir):
+    return matching.prepare(roles.queries(spark, sf_dir)).select("query_id", F.array_join(N.trigrams(F.col("norm")), ",").alias("grams"))
+
+
+def c3_bm25_words(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    found = blocking.shortlist(blocking.word_scores(matching.prepare(roles.queries(spark, sf_dir)), names), names, orgs, 50, True)
+    return found.select("query_id", "ror_id", F.round("best", 6).alias("best"), F.col("place").cast("long").alias("place"))
+
+
+def c4_bm25_trigrams(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    found = blocking.shortlist(blocking.trigram_scores(matching.prepare(roles.queries(spark, sf_dir)), names), names, orgs, 50, True)
+    return found.select("query_id", "ror_id", F.round("best", 6).alias("best"), F.col("place").cast("long").alias("place"))
+
+
+def d1_candidates(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    found = blocking.candidates(matching.prepare(roles.queries(spark, sf_dir)), names, orgs)
+    return found.select("query_id", "ror_id", F.col("source_order").cast("long").alias("source_order"), "by_exact", "by_words", "by_trigrams")
+
+
+def d2_blocking_hits(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    cases = roles.cases(spark, sf_dir).where("expected_ror_id is not null")
+    found = blocking.blocking_ids(matching.prepare(roles.queries(spark, sf_dir)), names, orgs)
+    return cases.select(F.col("case_id").alias("query_id"), F.col("expected_ror_id").alias("ror_id")).join(found, ["query_id", "ror_id"], "left_semi")
+
+
+def d3_prefix_hits(spark, sf_dir):
+    _, names = roles.registry(spark, sf_dir)
+    return blocking.prefix_hits(blocking.query_phrases(matching.prepare(roles.queries(spark, sf_dir))), blocking.word_postings(names))
+
+
+def d4_trigram_postings(spark, sf_dir):
+    return blocking.trigram_postings(roles.registry(spark, sf_dir)[1])
+
+
+def f1_ratio(spark, sf_dir):
+    """Each part name against each other: fuzzy ratios of all kinds."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    pairs = names.select(F.col("p_name").alias("a")).join(names.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
+    kinds = {"ratio": S.ratio, "token_sort": S.token_sort_ratio, "token_set": S.token_set_ratio, "partial": S.partial_ratio, "weighted": S.weighted_ratio}
+    return pairs.select("a", "b", *(F.round(S.ratio_function(f)("a", "b"), 6).alias(name) for name, f in kinds.items()))
+
+
+def f6_coverage(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    queries = matching.prepare(roles.queries(spark, sf_dir))
+    found = blocking.candidates(queries, names, orgs, replace(MatchConfig(), use_trigram=False))
+    return matching.best_names(found, queries, names, MatchConfig()).select("query_id", "ror_id", "best_name", "best_kind", F.round("name_score", 6).alias("name_score"), "exact_match")
+
+
+def exact_decided(spark, sf_dir, config=EXACT_WITH_EVIDENCE):
+    orgs, names = roles.registry(spark, sf_dir)
+    queries = matching.prepare(roles.registry(spark, sf_dir)[0].select(F.col("ror_id").alias("query_id"), F.col("name").alias("query"), F.col("country_code").alias("country"), F.lit("example com").alias("city")))
+    return matching.decide(matching.score(blocking.candidates(queries, names, orgs, config), queries, names, orgs, config), config)
+
+
+def f8_evidence(spark, sf_dir):
+    return exact_decided(spark, sf_dir).select("query_id", "ror_id", "country_match", "city_match", F.round("score", 6).alias("score"))
+
+
+def f12_decision(spark, sf_dir):
+    return exact_decided(spark, sf_dir).select("query_id", "ror_id", F.col("rank").cast("long").alias("rank"), F.round("margin", 6).alias("margin"), "match")
+
+
+def f14_limited(spark, sf_dir):
+    return matching.limited(exact_decided(spark, sf_dir)).select("query_id", "ror_id", F.col("rank").cast("long").alias("rank"))
+
+
+def pipeline_reconcile(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    found = matching.match(roles.queries(spark, sf_dir), names, orgs)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "ror_id", "best_name", "best_kind", F.round("name_score", 6).alias("name_score"), F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "country_match", "city_match", "exact_match", "match")
+
+
+def g1_repeated(spark, sf_dir):
+    return evaluation.repeated_cases(roles.cases(spark, sf_dir))
+
+
+def g2_identities(spark, sf_dir):
+    return reconcile.first_of_identity(reconcile.with_identity(roles.participants(spark, sf_dir))).select("identity", "row_idx")
+
+
+def g3_identity_queries(spark, sf_dir):
+    return reconcile.identity_queries(reconcile.first_of_identity(reconcile.with_identity(roles.participants(spark, sf_dir))))
+
+
+def page_rows(spark, sf_dir):
+    queries = roles.queries(spark, sf_dir)
+    return queries.select(F.col("query_id").alias("organisationID"), F.col("query").alias("name"), "country", "city", F.substring("query_id", 3, 20).cast("long").alias("row_idx"))
+
+
+def g4_join_back(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    rows, _, _ = reconcile.reconcile(page_rows(spark, sf_dir), names, orgs)
+    return rows.drop("identity")
+
+
+def g5_evidence(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    _, found, _ = reconcile.reconcile(page_rows(spark, sf_dir), names, orgs)
+    return found.select("organization_identity", F.to_json("source").alias("source"), "match_status", F.concat(F.lit("["), F.array_join("candidates", ","), F.lit("]")).alias("candidates"))
+
+
+def g6_run_counts(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    return reconcile.reconcile(page_rows(spark, sf_dir), names, orgs)[2]
+
+
+def enriched(spark, sf_dir):
+    return reconcile.enrich(roles.participants(spark, sf_dir), roles.institutions(spark, sf_dir), 5, 20)
+
+
+def g7_enrich(spark, sf_dir):
+    return enriched(spark, sf_dir).select("row_idx", "ror_id", "openalex_status", "openalex_works_count_total", "openalex_works_count_period", "openalex_cited_by_count_period", "openalex_counts_by_year")
+
+
+def g9_cohort(spark, sf_dir):
+    return sampling.cohort(roles.participants(spark, sf_dir), 100).select("row_idx", "organisationID", "country")
+
+
+def g10_gold_template(spark, sf_dir):
+    return sampling.gold_template(roles.participants(spark, sf_dir), 50)
+
+
+def g11_split(spark, sf_dir):
+    return sampling.split(roles.cases(spark, sf_dir)).select("case_id", "part")
+
+
+def h1_organizations(spark, sf_dir):
+    return analysis.organizations(enriched(spark, sf_dir))
+
+
+def h2_groups(spark, sf_dir):
+    return analysis.groups(analysis.organizations(enriched(spark, sf_dir)))
+
+
+def h3_summary(spark, sf_dir):
+    rows = enriched(spark, sf_dir)
+    return analysis.summary(rows, analysis.organizations(rows))
+
+
+def exact_outcomes(spark, sf_dir):
+    """Outcomes of the registry's own titles as cases, with exact names and evidence alone."""
+    orgs, _ = roles.registry(spark, sf_dir)
+    cases = orgs.select(F.col("ror_id").alias("case_id"), F.col("name").alias("query"), F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("city"), F.when(F.col("status") == "active", F.col("ror_id")).alias("expected_ror_id"), F.coalesce(F.nullif("country_code", F.lit("")), F.lit("default")).alias("stratum"))
+    decided = exact_decided(spark, sf_dir)
+    return evaluation.outcomes(cases, matching.top(decided, orgs), decided.select("query_id", "ror_id"))
+
+
+def h5_outcomes(spark, sf_dir):
+    return exact_outcomes(spark, sf_dir).select("case_id", "predicted_ror_id", "known", "blocking_hit", "top1_hit", "answered", "correct_answered", "correct_abstention")
+
+
+def h6_metrics(spark, sf_dir):
+    return evaluation.summarize(exact_outcomes(spark, sf_dir))
+
+
+def h8_errors(spark, sf_dir):
+    return evaluation.errors(exact_outcomes(spark, sf_dir)).select("error", "cases", F.array_join("case_ids", ",").alias("case_ids"))
+
+
+def h10_bootstrap(spark, sf_dir):
+    return evaluation.bootstrap(exact_outcomes(spark, sf_dir), 500)
+
+
+def h12_ablation(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    return experiments.ablation(roles.cases(spark, sf_dir), names, orgs)
+
+
+def h13_sweep(spark, sf_dir):
+    orgs, names = roles.registry(spark, sf_dir)
+    return experiments.sweep(roles.cases(spark, sf_dir), names, orgs)
+
+
+def h14_hosted(spark, sf_dir):
+    """Hosted search played by the exact index: its first two hits by id."""
+    orgs, names = roles.registry(spark, sf_dir)
+    cases = roles.cases(spark, sf_dir).withColumn("query", F.col("case_id"))
+    found = blocking.exact(matching.prepare(roles.queries(spark, sf_dir)), names, orgs, 2)
+    listed = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "ror_id"))).alias("r"))
+    cache = cases.select("query").join(listed, F.col("query") == F.col("query_id"), "left").select("query", F.transform(F.coalesce("r", F.array().cast("array<struct<place:int,ror_id:string>>")), lambda x: F.struct(x["ror_id"].alias("ror_id"), F.lit("").alias("name"), F.lit(1.0).alias("score"), F.lit(True).alias("chosen"))).alias("results"), F.when(F.col("r").isNull() & F.col("query").endswith("7"), "status 500").alias("error"))
+    return evaluation.summarize(evaluation.hosted_outcomes(cases, cache))
+
+
+def h15_intervals(spark, sf_dir):
+    """Intervals of every customer's share of urgent orders."""
+    counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderpriority").startswith("1")).alias("successes"), F.count("*").alias("trials"))
+    return counts.withColumn("i", intervals.interval()("successes", "trials")).select("o_custkey", "successes", "trials", F.round("i.low", 6).alias("low"), F.round("i.high", 6).alias("high"))
+
+
+def h16_report(spark, sf_dir):
+    return intervals.report(exact_outcomes(spark, sf_dir)).select("metric", "successes", "trials", F.round("estimate", 6).alias("estimate"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+def i3_service(spark, sf_dir):
+    """The service's answers to every query, as JSON."""
+    orgs, names = roles.registry(spark, sf_dir)
+    found = matching.as_service(matching.match(roles.queries(spark, sf_dir), names, orgs), orgs)
+    return found.select("query_id", F.concat(F.lit('{"result":['), F.array_join("result", ","), F.lit("]}")).alias("response"))
+
+
+def i4_suggest(spark, sf_dir):
+    return spark.createDataFrame([(p["id"], p["name"]) for p in openrefine.suggest_properties("c")["result"]], "id string, name string")
+
+
+def e13_property(spark, sf_dir):
+    """The property in every event's JSON."""
+    events = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v"))
+    return events.select("event_id", N.clean(F.try_variant_get("v", "$.k", "string")).alias("value"))
+
+
+_ALL = [
+    e_normalize, e_country, e_case_identifier, e_amounts, e_identity, e13_property, c1_exact, c2_active, c3_bm25_words, c4_bm25_trigrams, c6_count, c7_records, c9_phrases, c10_trigrams,
+    d1_candidates, d2_blocking_hits, d3_prefix_hits, d4_trigram_postings, f1_ratio, f6_coverage, f8_evidence, f12_decision, f14_limited, pipeline_reconcile,
+    g1_repeated, g2_identities, g3_identity_queries, g4_join_back, g5_evidence, g6_run_counts, g7_enrich, g9_cohort, g10_gold_template, g11_split,
+    h1_organizations, h2_groups, h3_summary, h5_outcomes, h6_metrics, h8_errors, h10_bootstrap, h12_ablation, h13_sweep, h14_hosted, h15_intervals, h16_report, i3_service, i4_suggest,
+]
+
 
 def queries() -> dict:
     """Name -> function of (spark, sf_dir)."""
-    return {}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict:
     """Name -> DuckDB SQL with the same rows."""
-    return {}
+    return dict(sql.ORACLES)
