@@ -14,8 +14,20 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch on its way to Python; Spark's own bound is several times that in each task.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches under BATCH_BYTES, whatever the length of the texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") != f"{BATCH_BYTES}b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a lost executor then costs no recomputation before this point."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -54,6 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 
 def with_fields(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> T.StructType:
     """df's schema with the given fields at the end; a field of that name in df is replaced."""
+    bound_batches(df.sparkSession)
     new = {n for n, _ in fields}
     return T.StructType([f for f in df.schema.fields if f.name not in new] + [T.StructField(n, t, True) for n, t in fields])
 

@@ -177,12 +177,17 @@ def overlaps(one: np.ndarray, other: np.ndarray, up: int, down: int) -> bool:
     return int((other[at] == one).sum()) >= need
 
 
+def profiles_of(nodes: DataFrame, measured: DataFrame) -> DataFrame:
+    """node, n and profile of the nodes."""
+    wanted = cut(nodes.select(F.col("node").alias("_node")).distinct(), "profiled")
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
+    return measured.where("block is null").select("node", "n", "profile").join(wanted, F.col("node") == F.col("_node"), "left_semi").dropDuplicates(["node"])
+
+
 def suffix_filter(pairs: DataFrame, measured: DataFrame, share: Fraction) -> DataFrame:
     """The pairs whose sets can link by their profiles: the suffixes are split by hash, and the differences of the parts' sizes add up to no more than sets that link may differ by."""
     up, down = share.numerator, share.denominator
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "profiled")
-    wanted = F.broadcast(nodes) if nodes.count() <= MOST_SENT else nodes
-    own = measured.where("block is null").select("node", "n", "profile").join(wanted, F.col("node") == F.col("_node"), "left_semi").dropDuplicates(["node"])
+    own = profiles_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), measured)
 
     def check(batches):
         for batch in batches:
@@ -230,17 +235,51 @@ def verify(pairs: DataFrame, held: DataFrame, share: Fraction) -> DataFrame:
     return cut(both.mapInArrow(check, "a long, b long").distinct(), "links")
 
 
+def dealt(few: DataFrame, many: DataFrame, held: DataFrame):
+    """Both sides of the shingles dealt to pairs of chunks of about CHUNK nodes, with what is held of each node, cogrouped by the pair of chunks."""
+    counts = few.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).alias("few_chunks")).join(many.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).alias("many_chunks")), "token")
+
+    def deal(df, own, other):
+        rows = df.join(counts, "token").select("token", "node", "root", F.pmod(F.xxhash64("node"), F.col(own)).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("other"))
+        return rows.join(held.select("node", "n", "values"), "node")
+
+    one = deal(few, "few_chunks", "many_chunks").select("token", F.col("own").alias("x"), F.col("other").alias("y"), "node", "root", "n", "values")
+    other = deal(many, "many_chunks", "few_chunks").select("token", F.col("other").alias("x"), F.col("own").alias("y"), "node", "root", "n", "values")
+    other = other.toDF("of", "of_x", "of_y", "other_node", "other_root", "other_n", "other_values")
+    return one.groupBy("token", "x", "y").cogroup(other.groupBy("of", "of_x", "of_y"))
+
+
+def block_filter(few: DataFrame, many: DataFrame, measured: DataFrame, share: Fraction) -> DataFrame:
+    """token and node of the nodes that a node of the other side may link with by length and profile."""
+    up, down = share.numerator, share.denominator
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        alive: set[int] = set()
+        if left.num_rows and right.num_rows:
+            whole = np.frombuffer(b"".join(right.column("other_values").to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16)
+            nodes, roots, sizes = (right.column(f"other_{c}").to_numpy() for c in ("node", "root", "n"))
+            for node, root, n, value in zip(*(left.column(c).to_pylist() for c in ("node", "root", "n", "values"))):
+                need = -(-up * (sizes + n) // (up + down))
+                other = np.flatnonzero((np.minimum(sizes, n) >= need) & (roots != root))
+                apart = np.abs(whole[other] - np.frombuffer(value, np.uint8).astype(np.int16)).sum(1)
+                other = other[apart <= sizes[other] + n - 2 * need[other]]
+                if len(other):
+                    alive.add(node)
+                    alive.update(nodes[other].tolist())
+        token = [left.column("token")[0].as_py() if left.num_rows else 0] * len(alive)
+        return pa.table({"token": pa.array(token, pa.int64()), "node": pa.array(sorted(alive), pa.int64())})
+
+    held = profiles_of(many, measured).withColumnRenamed("profile", "values")
+    return cut(dealt(few, many, held).applyInArrow(check, "token long, node long").distinct(), "alive")
+
+
 def verify_blocks(few: DataFrame, many: DataFrame, held: DataFrame, share: Fraction) -> DataFrame:
     """Links (a, b) between the nodes of two sides, for shingles with many of both: token, node and root on either side, in different roots.
 
-    Each side of a shingle is dealt to chunks of about CHUNK nodes, and a task takes two chunks: it lists the second's nodes by
-    shingle and adds up overlaps, so pairs are neither written nor moved; only links are.
+    Each side of a shingle is dealt to chunks, and a task takes two: it lists the second's nodes by shingle and adds up overlaps,
+    so pairs are neither written nor moved; only links are.
     """
     up, down = share.numerator, share.denominator
-    counts = few.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).alias("few_chunks")).join(many.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).alias("many_chunks")), "token")
-    deal = lambda df, own, other: df.join(counts, "token").select("token", "node", "root", F.pmod(F.xxhash64("node"), F.col(own)).alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("_other")).join(held, "node")
-    one = deal(few, "few_chunks", "many_chunks").select("token", F.col("_own").alias("x"), F.col("_other").alias("y"), "node", "root", "values")
-    other = deal(many, "many_chunks", "few_chunks").select("token", F.col("_other").alias("x"), F.col("_own").alias("y"), "node", "root", "values")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
@@ -262,8 +301,8 @@ def verify_blocks(few: DataFrame, many: DataFrame, held: DataFrame, share: Fract
                 b += nodes[linked].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    other = other.toDF("of", "of_x", "of_y", "other_node", "other_root", "other_values")
-    found = one.groupBy("token", "x", "y").cogroup(other.groupBy("of", "of_x", "of_y")).applyInArrow(check, "a long, b long")
+    held = held.withColumn("n", F.lit(0))
+    found = dealt(few, many, held).applyInArrow(check, "a long, b long")
     return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
 
@@ -302,6 +341,8 @@ def classes_of(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     second = mixed.where("not large").join(rest, "token").where((F.col("root") != F.col("other")) & ((F.col("root") == F.col("major")) | (F.col("x")["node"] < F.col("y")["node"])) & may_link(F.col("x"), F.col("y"), share))
     second = suffix_filter(cut(second.select(*pair(F.col("x"), F.col("y"))).distinct(), "pairs"), measured, share)
     many = cut(mixed.where("large").select("token", F.col("x.node").alias("node"), "root", (F.col("root") != F.col("major")).alias("few")), "many")
+    alive = block_filter(many.where("few").drop("few"), many.drop("few"), measured, share)
+    many = cut(many.join(alive, ["token", "node"], "left_semi"), "many")
     held = sets_of(second.select(F.explode(F.array("a", "b")).alias("node")).union(many.select("node")), docs, keys, n)
     more = verify(second, held, share).union(verify_blocks(many.where("few").drop("few"), many.drop("few"), held, share))
     if not more.isEmpty():
