@@ -20,9 +20,7 @@ BATCH_BYTES = 8 << 20
 
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches under BATCH_BYTES, whatever the length of the texts."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") != f"{BATCH_BYTES}b":
-        spark.conf.set(key, f"{BATCH_BYTES}b")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
