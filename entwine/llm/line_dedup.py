@@ -32,7 +32,7 @@ from entwine.llm.common import cut, slices, with_arrays, with_fields
 
 LEADING = 3
 LEAST, ALIKE = 3, 0.8
-FIELD = re.compile(r"\S*\d\S*")
+DIGIT, FIELD = re.compile(r"\d"), re.compile(r"\S*\d\S*")
 #: Decisions or leaves that are sent to every task at once; more are sent in blocks, one pass for each.
 MOST_SENT = 2_000_000
 
@@ -43,16 +43,23 @@ def signed(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def line_keys(line: str) -> tuple[int, int, list[str]] | None:
-    """Hash of the generalised line, its leaf, and its tokens; None for a blank line."""
-    tokens = line.split()
-    if not tokens:
-        return None
-    whole = " ".join(tokens)
-    if FIELD.search(whole):
-        whole = FIELD.sub("<*>", whole)
-        tokens = whole.split(" ")
-    return signed(whole), signed(f"{len(tokens)} " + " ".join(tokens[:LEADING])), tokens
+def line_keys(text: str) -> list[tuple[int, int, str] | None]:
+    """For each line of a text the hash of the generalised line, its leaf, and the line itself (tokens with single blanks); None for a blank line."""
+    lines = text.split("\n")
+    # most texts have single blanks between tokens and no other white space, which is quick to see
+    plain = "  " not in text and "\n " not in text and " \n" not in text and text[:1] != " " and text[-1:] != " " and "".join(lines).isprintable()
+    digits = DIGIT.search(text) is not None
+    out: list = []
+    for line in lines:
+        if not plain:
+            line = " ".join(line.split())
+        if not line:
+            out.append(None)
+            continue
+        if digits and DIGIT.search(line):
+            line = FIELD.sub("<*>", line)
+        out.append((signed(line), signed(f"{line.count(' ')} " + " ".join(line.split(" ", LEADING)[:LEADING])), line))
+    return out
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -62,7 +69,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             lines, leaves, texts, keys = [], [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                found = dict(k[:2] for k in map(line_keys, (text or "").split("\n")) if k)
+                found = dict(k[:2] for k in line_keys(text or "") if k)
                 lines += found
                 leaves += found.values()
                 texts += [signed(text)] * len(found) if found else []
@@ -73,6 +80,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*(T.StructField(n, T.LongType()) for n in ("line", "leaf", "text")), T.StructField("key", kind)]))
 
 
+def places(sorted_values: np.ndarray, wanted: list[int]) -> np.ndarray:
+    """Where each wanted value stands among the sorted ones, -1 where it doesn't."""
+    own = np.array(wanted, np.int64)
+    if not len(sorted_values):
+        return np.full(len(own), -1)
+    at = np.minimum(np.searchsorted(sorted_values, own), len(sorted_values) - 1)
+    return np.where(sorted_values[at] == own, at, -1)
+
+
 def blocks(df: DataFrame, by: str, most: int) -> Iterator[list]:
     """The rows of df in blocks of about `most`, dealt by the hash in column `by`."""
     parts = max(1, -(-df.count() // most))
@@ -84,16 +100,18 @@ def tokens_of(docs: DataFrame, leaves: DataFrame, most: int) -> DataFrame:
     """line, leaf, tokens (hashes): the distinct lines of a task that belong to the leaves."""
     found = None
     for rows in blocks(leaves, "leaf", most):
-        sent = docs.sparkSession.sparkContext.broadcast(frozenset(r["leaf"] for r in rows))
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r["leaf"] for r in rows), np.int64)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             wanted = sent.value
             for batch in slices(batches, "text"):
+                found = [k for text in batch.column("text").to_pylist() for k in line_keys(text or "") if k]
+                at = places(wanted, [k[1] for k in found])
                 seen: dict = {}
-                for text in batch.column("text").to_pylist():
-                    for k in map(line_keys, (text or "").split("\n")):
-                        if k and k[1] in wanted and k[0] not in seen:
-                            seen[k[0]] = (k[1], [signed(t) for t in k[2]])
+                for i in np.flatnonzero(at >= 0):
+                    line, leaf, words = found[i]
+                    if line not in seen:
+                        seen[line] = (leaf, [signed(t) for t in words.split(" ")])
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.list_(pa.int64()))], names=["line", "leaf", "tokens"])
 
         own = docs.select("text").mapInArrow(run, "line long, leaf long, tokens array<long>")
@@ -126,26 +144,31 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = L
     found = recurring(df.select(F.col(key).alias("key"), F.col(text).alias("text")), least, alike, most_sent)
     out = df.withColumn("n_lines", F.lit(None).cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
     for rows in blocks(found, "template", most_sent):
-        sent = df.sparkSession.sparkContext.broadcast({r["line"]: (r["template"], r["first"]) for r in rows})
+        rows.sort(key=lambda r: r["line"])
+        line, template = (np.array([r[c] for r in rows], np.int64) for c in ("line", "template"))
+        sent = df.sparkSession.sparkContext.broadcast((line, template, pa.array([r["first"] for r in rows])))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            of = sent.value
+            known, template, first = sent.value
             for batch in slices(batches, text):
                 texts, counts, dropped = [], [], []
-                for own, value, n, d in zip(*(batch.column(c).to_pylist() for c in (key, text, "n_lines", "n_dropped"))):
-                    lines = [] if value is None else value.split("\n")
+                values = batch.column(text).to_pylist()
+                lines = [[] if v is None else v.split("\n") for v in values]
+                keys = [k for v in values if v is not None for k in line_keys(v)]
+                at = places(known, [k[0] if k else 0 for k in keys]).tolist()
+                begin = 0
+                for own, value, all_lines, n, d in zip(batch.column(key).to_pylist(), values, lines, batch.column("n_lines").to_pylist(), batch.column("n_dropped").to_pylist()):
                     kept, done = [], set()
-                    for line in lines:
-                        k = line_keys(line)
-                        decision = of.get(k[0]) if k else None
-                        if decision:
-                            if decision[1] != own or decision[0] in done:
+                    for i, line in enumerate(all_lines, begin):
+                        if keys[i] and at[i] >= 0:
+                            if first[at[i]].as_py() != own or template[at[i]] in done:
                                 continue
-                            done.add(decision[0])
+                            done.add(template[at[i]])
                         kept.append(line)
+                    begin += len(all_lines)
                     texts.append(None if value is None else "\n".join(kept))
-                    counts.append(len(lines) if n is None else n)
-                    dropped.append(d + len(lines) - len(kept))
+                    counts.append(len(all_lines) if n is None else n)
+                    dropped.append(d + len(all_lines) - len(kept))
                 columns = {text: pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
                 yield with_arrays(batch, columns).select(names)
 
