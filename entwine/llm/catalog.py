@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm import byte_bpe, chat_format, decontaminate, fingerprint, html_extract, jaccard_join, language, line_dedup, token_files, url_filter
+from entwine.llm import byte_bpe, chat_format, decontaminate, fingerprint, html_extract, jaccard_join, language, line_dedup, sql, token_files, url_filter
 from entwine.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -104,4 +104,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """Name -> DuckDB SQL with the same rows."""
-    return {}
+    return dict(sql.ORACLES)
