@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from entwine.llm.common import SLICE_BYTES, slices, with_arrays, with_fields
+from entwine.llm.common import SLICE_BYTES, release, slices, with_arrays, with_fields
 
 #: Distinct matches whose ids a worker keeps; at this number the cache starts anew.
-CACHE = 400_000
+CACHE = 300_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -157,6 +157,8 @@ def encode_batches(batches: Iterator[pa.RecordBatch], vocab: str, text: str = "t
     own = codec(vocab)
     for batch in slices(batches, text, SLICE_BYTES // 2):
         yield with_arrays(batch, {out: lists(own.ids([t or "" for t in batch.column(text).to_pylist()]))})
+    own.forget()
+    release()
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch], vocab: str, ids: str = "ids", out: str = "decoded") -> Iterator[pa.RecordBatch]:

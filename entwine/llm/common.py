@@ -47,8 +47,21 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give a worker's free memory back to the machine: workers are used again by other stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of the batches that hold about `most` bytes of `column` each; a longer value stands alone."""
+    """Zero-copy slices of the batches that hold about `most` bytes of `column` each; a longer value stands alone. At the end free memory is released."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -62,6 +75,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             yield batch.slice(at, to - at)
             done, at = int(ends[to - 1]), to
 
+    batch = ends = None  # noqa: F841
+    release()
+
 
 def with_fields(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> T.StructType:
     """df's schema with the given fields at the end; a field of that name in df is replaced."""
