@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from entwine.config import MatchConfig, ablations
 from entwine.operators.blocking import candidates
 from entwine.operators.evaluation import COUNTERS, counters, outcomes, ratios
-from entwine.operators.matching import accepts, match, prepare, ranked, score, top
+from entwine.operators.matching import accepts, decide, limited, prepare, ranked, score, top
 
 
 def case_queries(cases: DataFrame) -> DataFrame:
@@ -22,9 +22,10 @@ def case_queries(cases: DataFrame) -> DataFrame:
 
 def evaluate(cases: DataFrame, names: DataFrame, orgs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """Outcomes of the cases under a configuration."""
-    queries = case_queries(cases)
-    best = top(match(queries, names, orgs, config), orgs)
-    return outcomes(cases, best, candidates(prepare(queries), names, orgs, config).select("query_id", "ror_id"))
+    queries = prepare(case_queries(cases)).persist()
+    found = candidates(queries, names, orgs, config).persist()
+    best = top(limited(decide(score(found, queries, names, orgs, config), config), config), orgs)
+    return outcomes(cases, best, found.select("query_id", "ror_id"))
 
 
 def ablation(cases: DataFrame, names: DataFrame, orgs: DataFrame, base: MatchConfig = MatchConfig()) -> DataFrame:
@@ -38,8 +39,8 @@ def ablation(cases: DataFrame, names: DataFrame, orgs: DataFrame, base: MatchCon
 
 def sweep(cases: DataFrame, names: DataFrame, orgs: DataFrame, gates=(0.76, 0.78, 0.80, 0.82), thresholds=(0.80, 0.82, 0.84, 0.86, 0.88, 0.90, 0.92), base: MatchConfig = MatchConfig()) -> DataFrame:
     """gate, threshold, counters and metrics for every pair of the grid."""
-    queries = prepare(case_queries(cases))
-    found = candidates(queries, names, orgs, base)
+    queries = prepare(case_queries(cases)).persist()
+    found = candidates(queries, names, orgs, base).persist()
     first = ranked(score(found, queries, names, orgs, base)).where("rank = 1")
     grid = cases.sparkSession.createDataFrame([(g, t) for g in gates for t in thresholds], "gate double, threshold double")
     decided = first.crossJoin(F.broadcast(grid)).withColumn("match", accepts(base, F.col("gate"), F.col("threshold")))

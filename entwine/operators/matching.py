@@ -13,7 +13,9 @@ from entwine.operators.blocking import candidates
 
 
 def prepare(queries: DataFrame) -> DataFrame:
-    """queries (query_id, query, country, city, limit) with norm, country_n and city_n; empty evidence is null."""
+    """queries (query_id, query, country, city, limit) with norm, country_n and city_n; empty evidence is null. Prepared queries stay as they are."""
+    if "norm" in queries.columns:
+        return queries
     limit = F.col("limit") if "limit" in queries.columns else F.lit(None).cast("int")
     return queries.select("query_id", "query", normalize_name(F.col("query")).alias("norm"), F.nullif(normalize_country(F.col("country")), F.lit("")).alias("country_n"), F.nullif(normalize_city(F.col("city")), F.lit("")).alias("city_n"), limit.alias("limit"))
 

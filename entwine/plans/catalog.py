@@ -70,41 +70,41 @@ def c7_records(spark, sf_dir):
 
 
 def c9_phrases(spark, sf_dir):
-    return blocking.query_phrases(matching.prepare(roles.queries(spark, sf_dir)))
+    return blocking.query_phrases(roles.prepared(spark, sf_dir))
 
 
 def c10_trigrams(spark, sf_dir):
-    return matching.prepare(roles.queries(spark, sf_dir)).select("query_id", F.array_join(N.trigrams(F.col("norm")), ",").alias("grams"))
+    return roles.prepared(spark, sf_dir).select("query_id", F.array_join(N.trigrams(F.col("norm")), ",").alias("grams"))
 
 
 def c3_bm25_words(spark, sf_dir):
     orgs, names = roles.registry(spark, sf_dir)
-    found = blocking.shortlist(blocking.word_scores(matching.prepare(roles.queries(spark, sf_dir)), names), names, orgs, 50, True)
+    found = blocking.shortlist(blocking.word_scores(roles.prepared(spark, sf_dir), names), names, orgs, 50, True)
     return found.select("query_id", "ror_id", F.round("best", 6).alias("best"), F.col("place").cast("long").alias("place"))
 
 
 def c4_bm25_trigrams(spark, sf_dir):
     orgs, names = roles.registry(spark, sf_dir)
-    found = blocking.shortlist(blocking.trigram_scores(matching.prepare(roles.queries(spark, sf_dir)), names), names, orgs, 50, True)
+    found = blocking.shortlist(blocking.trigram_scores(roles.prepared(spark, sf_dir), names), names, orgs, 50, True)
     return found.select("query_id", "ror_id", F.round("best", 6).alias("best"), F.col("place").cast("long").alias("place"))
 
 
 def d1_candidates(spark, sf_dir):
     orgs, names = roles.registry(spark, sf_dir)
-    found = blocking.candidates(matching.prepare(roles.queries(spark, sf_dir)), names, orgs)
+    found = blocking.candidates(roles.prepared(spark, sf_dir), names, orgs)
     return found.select("query_id", "ror_id", F.col("source_order").cast("long").alias("source_order"), "by_exact", "by_words", "by_trigrams")
 
 
 def d2_blocking_hits(spark, sf_dir):
     orgs, names = roles.registry(spark, sf_dir)
     cases = roles.cases(spark, sf_dir).where("expected_ror_id is not null")
-    found = blocking.blocking_ids(matching.prepare(roles.queries(spark, sf_dir)), names, orgs)
+    found = blocking.blocking_ids(roles.prepared(spark, sf_dir), names, orgs)
     return cases.select(F.col("case_id").alias("query_id"), F.col("expected_ror_id").alias("ror_id")).join(found, ["query_id", "ror_id"], "left_semi")
 
 
 def d3_prefix_hits(spark, sf_dir):
     _, names = roles.registry(spark, sf_dir)
-    return blocking.prefix_hits(blocking.query_phrases(matching.prepare(roles.queries(spark, sf_dir))), blocking.word_postings(names))
+    return blocking.prefix_hits(blocking.query_phrases(roles.prepared(spark, sf_dir)), blocking.word_postings(names))
 
 
 def d4_trigram_postings(spark, sf_dir):
@@ -121,7 +121,7 @@ def f1_ratio(spark, sf_dir):
 
 def f6_coverage(spark, sf_dir):
     orgs, names = roles.registry(spark, sf_dir)
-    queries = matching.prepare(roles.queries(spark, sf_dir))
+    queries = roles.prepared(spark, sf_dir)
     found = blocking.candidates(queries, names, orgs, replace(MatchConfig(), use_trigram=False))
     return matching.best_names(found, queries, names, MatchConfig()).select("query_id", "ror_id", "best_name", "best_kind", F.round("name_score", 6).alias("name_score"), "exact_match")
 
@@ -146,7 +146,7 @@ def f14_limited(spark, sf_dir):
 
 def pipeline_reconcile(spark, sf_dir):
     orgs, names = roles.registry(spark, sf_dir)
-    found = matching.match(roles.queries(spark, sf_dir), names, orgs)
+    found = matching.match(roles.prepared(spark, sf_dir), names, orgs)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "ror_id", "best_name", "best_kind", F.round("name_score", 6).alias("name_score"), F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "country_match", "city_match", "exact_match", "match")
 
 
@@ -255,7 +255,7 @@ def h14_hosted(spark, sf_dir):
     """Hosted search played by the exact index: its first two hits by id."""
     orgs, names = roles.registry(spark, sf_dir)
     cases = roles.cases(spark, sf_dir).withColumn("query", F.col("case_id"))
-    found = blocking.exact(matching.prepare(roles.queries(spark, sf_dir)), names, orgs, 2)
+    found = blocking.exact(roles.prepared(spark, sf_dir), names, orgs, 2)
     listed = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "ror_id"))).alias("r"))
     cache = cases.select("query").join(listed, F.col("query") == F.col("query_id"), "left").select("query", F.transform(F.coalesce("r", F.array().cast("array<struct<place:int,ror_id:string>>")), lambda x: F.struct(x["ror_id"].alias("ror_id"), F.lit("").alias("name"), F.lit(1.0).alias("score"), F.lit(True).alias("chosen"))).alias("results"), F.when(F.col("r").isNull() & F.col("query").endswith("7"), "status 500").alias("error"))
     return evaluation.summarize(evaluation.hosted_outcomes(cases, cache))
@@ -274,7 +274,7 @@ def h16_report(spark, sf_dir):
 def i3_service(spark, sf_dir):
     """The service's answers to every query, as JSON."""
     orgs, names = roles.registry(spark, sf_dir)
-    found = matching.as_service(matching.match(roles.queries(spark, sf_dir), names, orgs), orgs)
+    found = matching.as_service(matching.match(roles.prepared(spark, sf_dir), names, orgs), orgs)
     return found.select("query_id", F.concat(F.lit('{"result":['), F.array_join("result", ","), F.lit("]}")).alias("response"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entwine.functions.normalize import normalize_name
+from entwine.operators.matching import prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,14 +28,14 @@ def page_parts(pages: DataFrame) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """organizations and names."""
+    """organizations and names, kept: the same tables are read by many parts of a plan, and by other queries."""
     parts = page_parts(table(spark, sf_dir, "pages"))
     text = F.lit(None).cast("string")
     orgs = parts.select(F.concat(F.lit("page-"), F.col("page_id")).alias("ror_id"), F.col("title").alias("name"), text.alias("country"), F.col("lang").alias("country_code"), "city", "status", F.array().cast("array<string>").alias("types"), F.array(F.struct(text.alias("country"), F.col("lang").alias("country_code"), F.col("city").alias("city"))).alias("locations"))
     values = F.array(F.struct(F.lit(0).alias("at"), F.col("title").alias("value"), F.lit("ror_display").alias("kind")), F.struct(F.lit(1).alias("at"), F.col("host").alias("value"), F.lit("alias").alias("kind")))
     named = parts.select("page_id", F.explode(values).alias("v")).select(F.col("page_id").alias("_p"), "v.*")
     names = named.select((F.col("_p") * 2 + F.col("at")).alias("name_id"), F.concat(F.lit("page-"), F.col("_p")).alias("ror_id"), "value", normalize_name(F.col("value")).alias("norm"), "kind").where("norm <> ''")
-    return orgs, names
+    return orgs.persist(), names.persist()
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.concat(F.lit("q-"), F.col("page_id")).alias("query_id"), query.alias("query"), F.col("lang").alias("country"), F.col("city").alias("city"))
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries with their normal forms, kept."""
+    return prepare(queries(spark, sf_dir)).persist()
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold cases: a page's query should find the page if it is active."""
     parts = page_parts(table(spark, sf_dir, "pages")).select(F.concat(F.lit("q-"), F.col("page_id")).alias("query_id"), F.when(F.col("status") == "active", F.concat(F.lit("page-"), F.col("page_id"))).alias("expected_ror_id"))
