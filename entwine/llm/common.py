@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Text bytes that a Python worker takes at a time, so that its memory doesn't follow the batch size.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 #: Bytes of an Arrow batch on its way to Python; Spark's own bound is several times that in each task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -60,22 +60,24 @@ def release() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of the batches that hold about `most` bytes of `column` each; a longer value stands alone. At the end free memory is released."""
+def cut_rows(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Zero-copy slices of a batch that hold about `most` bytes of `column` each; a longer value stands alone."""
     import numpy as np
     import pyarrow.compute as pc
 
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, to - at)
+        done, at = int(ends[to - 1]), to
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The slices of all batches. At the end free memory is released."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at, done = 0, 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
-            yield batch.slice(at, to - at)
-            done, at = int(ends[to - 1]), to
-
-    batch = ends = None  # noqa: F841
+        yield from cut_rows(batch, column, most)
+    batch = None  # noqa: F841
     release()
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entwine.llm.common import cut, slices
+from entwine.llm.common import cut, cut_rows, slices
 from entwine.llm.words import NOT_ALNUM, word_hashes
 
 WINDOW = 8
@@ -60,7 +60,10 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", terms:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = sent.value
         for batch in slices(batches, "text", SHARD_BYTES):
-            words, first = word_hashes(batch.column("text"), NOT_ALNUM)
+            pieces = [word_hashes(piece.column("text"), NOT_ALNUM) for piece in cut_rows(batch, "text")]
+            words = np.concatenate([w for w, _ in pieces])
+            before = np.cumsum([0] + [len(w) for w, _ in pieces])
+            first = np.concatenate([ends[:-1] + n for (_, ends), n in zip(pieces, before)] + [before[-1:]])
             at = np.arange(len(words), dtype=np.int32)
             if kept is not None:
                 found = np.searchsorted(kept, words)

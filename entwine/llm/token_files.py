@@ -7,7 +7,7 @@ to order 0 are mixed in the logistic domain by weights that learn in the block;
 arithmetic coding of "the predicted id". Any other id is coded by the order-0 model: one of 16 classes of ids with
 adaptive counts, then the place in the class. All arithmetic is on integers, so it is the same on every machine.
 
-Python would be slow for one block at a time, so the blocks of a shard (a few megabytes of text) are coded in step: every numpy
+Python would be slow for one block at a time, so the blocks of a shard (some millions of ids) are coded in step: every numpy
 operation handles one id of each block.
 
 Files are Parquet with a row for each shard: part, shard, keys and counts of its documents, and its blocks. Parts and
@@ -35,7 +35,7 @@ from entwine.llm.byte_bpe import codec
 from entwine.llm.common import slices
 
 BLOCK = 1024
-SHARD_BYTES = 8 << 20
+SHARD_IDS = 3_000_000
 MAGIC, HEADER = b"CMR1", struct.Struct("<4sII")
 #: Entries of the order-1 and order-2 tables of a block.
 ENTRIES = 1024
@@ -254,17 +254,29 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab)
         end = np.array([end_id], "<u4")
-        for number, batch in enumerate(slices(batches, "text", SHARD_BYTES)):
-            found = []
-            for piece in slices(iter([batch]), "text"):
-                found += own.ids([t or "" for t in piece.column("text").to_pylist()])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        keys, found, size, number, part = [], [], 0, 0, None
+
+        def shard() -> pa.RecordBatch:
             blocks = encode_blocks(np.concatenate([x for ids in found for x in (ids, end)]))
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("part").slice(0, 1), pa.array([number], pa.int32()), one(batch.column("key")), one(pa.array([len(ids) + 1 for ids in found], pa.int64())), one(pa.array(blocks, pa.binary()))],
+            return pa.RecordBatch.from_arrays(
+                [part, pa.array([number], pa.int32()), one(pa.concat_arrays(keys)), one(pa.array([len(ids) + 1 for ids in found], pa.int64())), one(pa.array(blocks, pa.binary()))],
                 names=["part", "shard", "keys", "counts", "blocks"],
             )
 
+        for batch in slices(batches, "text"):
+            own_ids = own.ids([t or "" for t in batch.column("text").to_pylist()])
+            keys.append(batch.column("key"))
+            found += own_ids
+            size += sum(len(ids) + 1 for ids in own_ids)
+            part = batch.column("part").slice(0, 1)
+            if size >= SHARD_IDS:
+                yield shard()
+                keys, found, size, number = [], [], 0, number + 1
+        if found:
+            yield shard()
+        own.forget()
+
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(parts, F.col("key").asc_nulls_first())
     rows = rows.withColumn("part", F.spark_partition_id()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
