@@ -15,13 +15,16 @@ with equal or null keys each get a row; an empty table gives an empty table. Wor
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BINS = 64
 #: Rows of one run of neighbouring keys, and the most runs; neighbours across runs meet through one row a run.
-RUN_ROWS, MOST_RUNS = 500, 1024
+RUN_ROWS, MOST_RUNS = 500, 1 << 16
 
 
 def uniform(term: Column, number: int) -> Column:
@@ -69,6 +72,24 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     return with_samples(df, text, "_s").withColumn("fingerprint", as_string(F.col("_s"))).drop("_s")
 
 
+def run_of(df: DataFrame, key: str) -> Column:
+    """The run of a row's key (an integer), ascending with the key; -1 for null. Runs are cut at quantiles on two levels, so a row looks at about the square root of their number."""
+    runs = max(1, min(MOST_RUNS, df.count() // RUN_ROWS))
+    at = F.lit(0)
+    if runs > 1:
+        own = F.col(key).cast("bigint")
+        parts = math.ceil(math.sqrt(runs))
+        cuts = F.percentile_approx(own, [i / parts for i in range(1, parts)], 100 * parts).alias("cuts")
+        below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= own))
+        constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+        coarse = below(constant(sorted(set(df.select(cuts).first()["cuts"] or [])), "array<bigint>"))
+        # at most `parts` rows of `parts` keys
+        fine = {r["part"]: sorted(set(r["cuts"] or [])) for r in df.where(F.col(key).isNotNull()).groupBy(coarse.alias("part")).agg(cuts).collect()}
+        within = F.get(constant([fine.get(i, []) for i in range(parts + 1)], "array<array<bigint>>"), coarse)
+        at = coarse * (parts + 1) + below(within)
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at)
+
+
 def followed(df: DataFrame, key: str, text: str, samples: str) -> DataFrame:
     """df (key, text) with its samples, _next_text and _next_s: those of the row that follows in descending key order, after the last those of the first.
 
@@ -76,12 +97,7 @@ def followed(df: DataFrame, key: str, text: str, samples: str) -> DataFrame:
     also gets a copy of the first row of the next run, so that its last row has a follower. Rows of equal keys stand in
     the order of their texts; null keys come last.
     """
-    runs = max(1, min(MOST_RUNS, df.count() // RUN_ROWS))
-    bounds = []
-    if runs > 1:
-        bounds = sorted(set(df.select(F.percentile_approx(key, [i / runs for i in range(1, runs)], 100 * runs).alias("b")).first()["b"] or []))
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    placed = with_samples(df, text, samples).withColumn("_run", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at))
+    placed = with_samples(df, text, samples).withColumn("_run", run_of(df, key))
     # one row for each run, so MOST_RUNS + 1 at most: its highest key
     tops = sorted((r["_run"], r["_top"]) for r in placed.groupBy("_run").agg(F.max(key).alias("_top")).collect())[::-1]
     before = [(tops[i - 1][0], top) for i, (_, top) in enumerate(tops)]
