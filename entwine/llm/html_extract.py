@@ -3,14 +3,16 @@
 Pages are parsed into trees of blocks. For every host one page (the smallest key) is the reference, and simple tree
 matching aligns each other page of the host with it. A block of the reference that is aligned with the same words on
 nearly all of them is constant, so it belongs to the host's template; what varies is a content slot. Extraction
-leaves out the elements that hold no article by their kind (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) and, outside an article element, the template's blocks. What remains is the
-article: inside article elements if the page has any, else inside main, else in the body.
+leaves out the template's blocks, inside article elements too, and the elements that hold no article by their kind (menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments). What remains is the article: inside
+article elements if the page has any, else inside main, else in the body. A block is its words and the names of the
+elements around it, so the same words elsewhere in a page are no template. Pages of equal trees count as one, so copies of
+a page don't make its text constant.
 
 Only block counts and hashes move between machines; pages are parsed where they are read. A host with very many pages is
 joined with its one reference row, which adaptive execution can split, and its counts are added up before they move.
 
-Defined cases: null or empty html gives empty text; a host with fewer than LEAST_PAGES pages, or without a URL, has no
+Defined cases: null or empty html gives empty text; a host with fewer than LEAST_PAGES different pages, or without a URL, has no
 template; a page whose blocks are all constant keeps them; a page cut off anywhere is read as far as it goes; ties for the
 reference go to the smallest html; repeated rows get the same text; only key, URL and html are read, so other columns cannot
 clash; an empty table gives an empty table.
@@ -65,6 +67,7 @@ class Node:
     words: str = ""
     dropped: bool = False
     inside: str = ""
+    place: int = 0
     nodes: list = field(default_factory=list)
 
 
@@ -83,7 +86,7 @@ def parse(page: str) -> Node:
         text.clear()
         if words:
             top = stack[-1]
-            top.nodes.append(Node("#", words, top.dropped, top.inside))
+            top.nodes.append(Node("#", words, top.dropped, top.inside, top.place))
 
     for m in PIECE.finditer(page):
         if m.start() > at:
@@ -109,7 +112,7 @@ def parse(page: str) -> Node:
             continue
         parent = stack[min(len(stack), DEEPEST) - 1]
         inside = name if name in ("article", "main") and top.inside != "article" else top.inside
-        node = Node(name, "", top.dropped or name in NO_ARTICLE or (name not in ("html", "body", "article", "main") and marked(tag)), inside)
+        node = Node(name, "", top.dropped or name in NO_ARTICLE or (name not in ("html", "body", "article", "main") and marked(tag)), inside, xxhash.xxh64_intdigest(name, parent.place))
         parent.nodes.append(node)
         stack.append(node)
     text.append(page[at:] if "<" not in page[at:] else page[at : page.index("<", at)])
@@ -154,11 +157,16 @@ def aligned(one: Node, other: Node) -> list[tuple[Node, Node]]:
     return pairs + tail
 
 
+def block_of(node: Node) -> int:
+    """Hash of a block: its words and the names of the elements around it."""
+    return xxhash.xxh64_intdigest(node.words, node.place) >> 1
+
+
 def skeleton(node: Node) -> list:
-    """A tree of names with hashes in place of words; blocks inside dropped elements or articles are left out."""
+    """A tree of names with hashes in place of words; blocks inside dropped elements are left out."""
     if node.name == "#":
-        return ["#", xxhash.xxh64_intdigest(node.words) >> 1]
-    return [node.name, *(skeleton(n) for n in node.nodes if not n.dropped and n.inside != "article")]
+        return ["#", block_of(node)]
+    return [node.name, *(skeleton(n) for n in node.nodes if not n.dropped)]
 
 
 def from_skeleton(value: list) -> Node:
@@ -180,10 +188,10 @@ def skeletons(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
 
 def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_PAGES, share: float = CONSTANT_SHARE) -> DataFrame:
-    """host and block (hash of its words): the blocks that are constant over the host's pages."""
+    """host and block (see block_of): the blocks that are constant over the host's different pages."""
     import json
 
-    trees = cut(skeletons(pages, key, url, html), "skeletons")
+    trees = cut(skeletons(pages, key, url, html).groupBy("host", "tree").agg(F.min("key").alias("key")), "skeletons")
     references = trees.groupBy("host").agg(F.min(F.struct("key", "tree")).alias("r"), F.count("*").alias("n")).where(F.col("n") >= least).select("host", "n", F.col("r.tree").alias("reference"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +227,8 @@ def main_text(page: str, template: frozenset | set = frozenset()) -> str:
         blocks = [n for n in found if n.inside == part] if part else found
         if blocks:
             break
-    if part != "article" and template:
-        blocks = [n for n in blocks if xxhash.xxh64_intdigest(n.words) >> 1 not in template] or blocks
+    if template:
+        blocks = [n for n in blocks if block_of(n) not in template] or blocks
     return " ".join(n.words for n in blocks)
 
 

@@ -74,6 +74,17 @@ def test_templates_are_constant_blocks(spark, monkeypatch, sent):
     assert html_extract.extract(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_constant_blocks_inside_articles_go(spark):
+    rows = [(i, f"http://h.org/{i}", f"<article><h1>Story {i}</h1><div class=x1><p>Read more of us every day</p></div><p>Body {i} of it</p><p>Read more of us every day</p></article>") for i in range(6)]
+    rows[5] = (5, rows[5][1], rows[5][2].replace("<p>Body 5 of it</p>", "<ul><li>Read more of us every day</ul>"))
+    rows += [(20 + i, "http://copy.org/", "<article><h1>One</h1><p>text</article>") for i in range(8)]  # copies are one page
+    rows += [(30, "http://copy.org/x", "<article><h1>Two</h1><p>text</article>"), (31, "http://copy.org/y", "<article><h1>One</h1><p>more</article>")]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert [found[i] for i in range(5)] == [f"Story {i} Body {i} of it" for i in range(5)]
+    assert found[5] == "Story 5 Read more of us every day"  # the same words elsewhere are no template
+    assert {found[i] for i in range(20, 28)} == {"One text"} and (found[30], found[31]) == ("Two text", "One more")
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 TEXTS = ["</s>[INST] ok [/INST]", "a\\b \\<|end|>", "<|turn|>user<|text|>x<|end|>", "", None, "\\", "[\\INST]", "<<|end|>", "<<SYS>> <</SYS>>", "日本😀\n\r\n", "$1 \\\\1"]
 
