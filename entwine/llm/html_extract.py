@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,8 +39,10 @@ from entwine.llm.url_filter import host_of
 LEAST_PAGES, CONSTANT_SHARE = 3, 0.8
 #: Template blocks that are sent to every task; beyond that the pages meet their template by a join.
 MOST_SENT = 200_000
-#: Elements nested deeper stand beside those at this depth in the tree; children lists whose table would have more cells are matched greedily.
+#: Elements nested deeper stand beside those at this depth in the tree; tables of children with more cells are worked out in halves.
 DEEPEST, MOST_CELLS = 100, 250_000
+#: Weight of a pair of nodes in an alignment; a pair of equal words adds 1.
+PAIR = 1 << 31
 #: Element names by HTML's own rules, fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|title|iframe|xmp"
@@ -120,41 +123,157 @@ def parse(page: str) -> Node:
     return root
 
 
+class Matching:
+    """Simple tree matching of two trees. Subtrees of one structure and with the same words have one class, so each pair of classes is matched once; words that only one of the trees has cannot be equal to others and are blank."""
+
+    def __init__(self, one: Node, other: Node):
+        self.ids: dict[tuple, int] = {}
+        self.names: list[str] = []
+        self.children: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.words: list[frozenset] = []
+        self.blank: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+        self.of: dict[int, int] = {}
+        self.both = words_of(one) & words_of(other)
+        self.classify(one)
+        self.classify(other)
+
+    def class_of(self, name: str, children: tuple, words) -> int:
+        found = self.ids.get((name, children, words))
+        if found is None:
+            blank = None if words is None and all(self.blank[c] == c for c in children) else self.class_of(name, tuple([self.blank[c] for c in children]), None)
+            found = self.ids[name, children, words] = len(self.names)
+            self.names.append(name)
+            self.children.append(np.array(children, np.int64))
+            self.sizes.append(PAIR + (words is not None) + sum([self.sizes[c] for c in children]))
+            self.words.append(frozenset().union(*(self.words[c] for c in set(children))) if words is None else frozenset([words]))
+            self.blank.append(found if blank is None else blank)
+        return found
+
+    def classify(self, node: Node) -> int:
+        words = node.words if node.name == "#" and node.words in self.both else None
+        found = self.of[id(node)] = self.class_of(node.name, tuple([self.classify(n) for n in node.nodes]), words)
+        return found
+
+    def weight(self, a: int, b: int) -> int:
+        """The most that a matching of two subtrees can have: PAIR for each pair of nodes, and 1 for each pair of blocks with the same words."""
+        if a != b and self.words[a].isdisjoint(self.words[b]):
+            a, b = self.blank[a], self.blank[b]
+        if a == b:
+            return self.sizes[a]
+        if self.names[a] != self.names[b]:
+            return 0
+        found = self.known.get((a, b))
+        if found is None:
+            one, other = self.children[a], self.children[b]
+            begin, end = same_ends(one, other)
+            ends = sum(self.sizes[c] for c in [*one[:begin], *one[len(one) - end :]])
+            one, other = one[begin : len(one) - end], other[begin : len(other) - end]
+            found = self.known[a, b] = PAIR + ends + (int(last_row(self.rows(one, other))[-1]) if len(one) and len(other) else 0)
+        return found
+
+    def rows(self, one: np.ndarray, other: np.ndarray) -> Iterator[np.ndarray]:
+        """For each of one list the weights with all of the other. Only classes that share words are looked at one by one."""
+        blanks, to = np.unique([self.blank[c] for c in other.tolist()], return_inverse=True)
+        places: dict = {}
+        for q, c in enumerate(other.tolist()):
+            for w in self.words[c]:
+                places.setdefault(w, []).append(q)
+        plain: dict[int, np.ndarray] = {}
+        for a in one.tolist():
+            blank = self.blank[a]
+            if blank not in plain:
+                plain[blank] = np.array([self.weight(blank, b) for b in blanks.tolist()], np.int64)
+            row = plain[blank][to]
+            for q in {q for w in self.words[a] for q in places.get(w, ())}:
+                row[q] = self.weight(a, int(other[q]))
+            yield row
+
+    def pairs(self, one: Node, other: Node) -> Iterator[tuple[Node, Node]]:
+        todo = [(one, other)]
+        while todo:
+            one, other = todo.pop()
+            yield one, other
+            a, b = (np.array([self.of[id(n)] for n in x.nodes], np.int64) for x in (one, other))
+            begin, end = same_ends(a, b)
+            todo += zip(one.nodes[:begin], other.nodes[:begin])
+            todo += zip(one.nodes[len(a) - end :], other.nodes[len(b) - end :])
+            a, b = a[begin : len(a) - end], b[begin : len(b) - end]
+            if len(a) and len(b):
+                todo += [(one.nodes[begin + i], other.nodes[begin + j]) for i, j in self.chosen(a, b)]
+
+    def chosen(self, one: np.ndarray, other: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs of places with the most weight, in order. Tables of more than MOST_CELLS cells are halved (Hirschberg), so space is linear and the result as exact."""
+        out, todo = [], [(0, len(one), 0, len(other))]
+        while todo:
+            i, j, k, m = todo.pop()
+            if i == j or k == m:
+                continue
+            a, b = one[i:j], other[k:m]
+            if len(a) * len(b) > MOST_CELLS and len(a) > 1:
+                half = len(a) // 2
+                split = k + int((last_row(self.rows(a[:half], b)) + last_row(self.rows(a[half:][::-1], b[::-1]))[::-1]).argmax())
+                todo += [(i, i + half, k, split), (i + half, j, split, m)]
+                continue
+            table = [[0] * (len(b) + 1)]
+            for row in sums(self.rows(a, b)):
+                table.append(row.tolist())
+            p, q = len(a), len(b)
+            while p and q:
+                if table[p][q] == table[p - 1][q]:
+                    p -= 1
+                elif table[p][q] == table[p][q - 1]:
+                    q -= 1
+                else:
+                    p, q = p - 1, q - 1
+                    out.append((i + p, k + q))
+        return sorted(out)
+
+
+def words_of(node: Node) -> set:
+    """The words of all blocks of a tree."""
+    out, todo = set(), [node]
+    while todo:
+        node = todo.pop()
+        todo += node.nodes
+        if node.name == "#":
+            out.add(node.words)
+    return out
+
+
+def same_ends(one: np.ndarray, other: np.ndarray) -> tuple[int, int]:
+    """Lengths of the beginning and of the end that two lists share. Equal subtrees at an end are paired in some best matching."""
+    n = min(len(one), len(other))
+    differ = one[:n] != other[:n]
+    begin = int(differ.argmax()) if differ.any() else n
+    n -= begin
+    differ = one[len(one) - n :][::-1] != other[len(other) - n :][::-1]
+    return begin, int(differ.argmax()) if differ.any() else n
+
+
+def sums(rows: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Most weight of every beginning of one list with every beginning of the other, a row for each of the first."""
+    row = None
+    for own in rows:
+        if row is None:
+            row = np.zeros(len(own) + 1, np.int64)
+        new = np.zeros_like(row)
+        new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + own))
+        row = new
+        yield row
+
+
+def last_row(rows: Iterator[np.ndarray]) -> np.ndarray:
+    """The last of the sums."""
+    for row in sums(rows):  # noqa: B007
+        pass
+    return row
+
+
 def aligned(one: Node, other: Node) -> list[tuple[Node, Node]]:
-    """Pairs of nodes by simple tree matching: roots of the same name match, their children in order, for the largest number of pairs.
-
-    Children with the same names at both ends are paired without a table; very long lists between them each with the next of its name.
-    """
-    if one.name != other.name:
-        return []
-    a, b, pairs, tail = one.nodes, other.nodes, [(one, other)], []
-    i, j, k = 0, len(a), len(b)
-    while i < min(j, k) and a[i].name == b[i].name:
-        pairs += aligned(a[i], b[i])
-        i += 1
-    while j > i and k > i and a[j - 1].name == b[k - 1].name:
-        j, k = j - 1, k - 1
-        tail += aligned(a[j], b[k])
-    if (j - i) * (k - i) > MOST_CELLS:
-        q = i
-        for p in range(i, j):
-            at = next((x for x in range(q, k) if b[x].name == a[p].name), k)
-            if at < k:
-                pairs += aligned(a[p], b[at])
-                q = at + 1
-    elif i < j and i < k:
-        rows = [[(0, ())] * (k - i + 1) for _ in range(j - i + 1)]
-        for p in range(j - i):
-            for q in range(k - i):
-                own = aligned(a[i + p], b[i + q])
-                best = max(rows[p][q + 1], rows[p + 1][q], key=lambda x: x[0])
-                joined = rows[p][q][0] + len(own)
-                rows[p + 1][q + 1] = (joined, (rows[p][q], own)) if own and joined > best[0] else best
-        at = rows[-1][-1]
-        while at[1]:
-            pairs += at[1][1]
-            at = at[1][0]
-    return pairs + tail
+    """Pairs of nodes by simple tree matching: roots of the same name match, their children in order, for the largest number of pairs, and among those for the most blocks with the same words."""
+    return list(Matching(one, other).pairs(one, other)) if one.name == other.name else []
 
 
 def block_of(node: Node) -> int:

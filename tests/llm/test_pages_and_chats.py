@@ -1,6 +1,7 @@
 """URL filters, HTML extraction and chat formatting."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,42 @@ def test_alignment_pairs_the_most_nodes():
     assert pairs == [("a", "a"), ("x", "x"), ("b", "b")] or sorted(pairs) == [("a", "a"), ("b", "b"), ("x", "x")]
 
 
+def most_pairs(one, other):
+    """The recursion of simple tree matching without any shortcut: (pairs, pairs of equal words)."""
+    if one.name != other.name:
+        return 0, 0
+    rows = [[(0, 0)] * (len(other.nodes) + 1)]
+    for a in one.nodes:
+        row = [(0, 0)]
+        for q, b in enumerate(other.nodes):
+            own = most_pairs(a, b)
+            row.append(max(rows[-1][q + 1], row[q], (rows[-1][q][0] + own[0], rows[-1][q][1] + own[1])))
+        rows.append(row)
+    return rows[-1][-1][0] + 1, rows[-1][-1][1] + (one.name == "#" and one.words == other.words)
+
+
+@pytest.mark.parametrize("cells", [250_000, 1])
+def test_alignment_is_a_maximum(monkeypatch, cells):
+    monkeypatch.setattr(html_extract, "MOST_CELLS", cells)
+    one = html_extract.parse("<body><div><ul><li>menu</ul></div><div><p>a</p></div></body>")
+    other = html_extract.parse("<body><div><p>promo</p></div><div><ul><li>menu</ul></div><div><p>b</p></div></body>")
+    assert ("menu", "menu") in [(a.words, b.words) for a, b in html_extract.aligned(one, other)]
+    rng = random.Random(3)
+
+    def tree(depth):
+        name = rng.choice(["div", "p", "ul", "#"]) if depth else "root"
+        return html_extract.Node(name, rng.choice("abcdef")) if name == "#" else html_extract.Node(name, nodes=[tree(depth + 1) for _ in range(rng.randint(0, 5 if depth < 3 else 0))])
+
+    for _ in range(150):
+        one, other = tree(0), tree(0)
+        pairs = html_extract.aligned(one, other)
+        assert (len(pairs), sum(a.name == "#" and a.words == b.words for a, b in pairs)) == most_pairs(one, other)
+        assert len({id(a) for a, _ in pairs}) == len({id(b) for _, b in pairs}) == len(pairs)
+    one = html_extract.Node("root", nodes=[html_extract.Node("#", i) for i in range(700 if cells > 1 else 30)])  # beyond 250,000 cells
+    other = html_extract.Node("root", nodes=[html_extract.Node("#", -1)] + one.nodes[:20] + [html_extract.Node("#", -2)] + one.nodes[20:-1] + [html_extract.Node("#", -3)])
+    assert sum(a.words == b.words for a, b in html_extract.aligned(one, other) if a.name == "#") == len(one.nodes) - 1
+
+
 @pytest.mark.parametrize("sent", [200_000, 0])
 def test_templates_are_constant_blocks(spark, monkeypatch, sent):
     monkeypatch.setattr(html_extract, "MOST_SENT", sent)
