@@ -1,12 +1,17 @@
 """Document fingerprints by consistent weighted sampling, with column functions only.
 
-The terms of a text are its words (runs without white space), weighted by how often they occur. Every term has, from
-hashes of itself alone, two Gamma(2,1) values r and c and a uniform value b; with weight w it gives the sample
-t = floor(ln w / r + b) and the race value ln a = ln c - r (t - b + 1). Terms are dealt to BINS bins by hash, and the
-smallest race value of each bin is that bin's sample, so each term is worked on once. Two texts agree in a bin with
-a probability that equals the generalised Jaccard similarity of their weighted terms there; the likeness of two
-fingerprints is the share of agreeing bins among the bins that either fills. The race value is a function of (term, t), so
-it stands for the sample; a fingerprint keeps 16 bits of each.
+The terms of a text are its words (runs without white space), weighted by how often they occur. Weights are whole numbers, so
+a term of weight w is the elements (term, 0) to (term, w - 1), and each of POSITIONS positions draws one element of the
+text: consistently, as every element's draws are hashes of itself alone, and uniformly over all elements. Two texts agree at
+a position with a probability that equals the generalised Jaccard similarity of their weighted terms, and the likeness
+of two fingerprints is the share of positions that agree.
+
+The draw is that of fast similarity sketching: in each round every element falls on one position, by hash, with a random
+value; a position takes the smallest value of the first round in which any element falls on it. After ROUNDS rounds
+each position that is still empty draws from all elements by a hash of its own. So no position stays empty, and a
+long text needs one round only. How many rounds are worked out for a text doesn't change its fingerprint; the first
+pass takes as many as fill all positions nearly always, and the rest is worked out where it did not. A fingerprint keeps
+16 bits of each draw.
 
 Defined cases: null text is empty; a text without words has an empty fingerprint, which is 1.0 like another empty one
 and 0.0 like any other; equal texts have equal fingerprints; only key and text are read, so other columns cannot clash; rows
@@ -22,49 +27,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BINS = 64
+POSITIONS, ROUNDS = 64, 64
+#: Draws of the first pass over a text, at least (as far as ROUNDS go): a position stays empty in about one text of a thousand.
+FIRST_DRAWS = 700
 #: Rows of one run of neighbouring keys, and the most runs; neighbours across runs meet through one row a run.
 RUN_ROWS, MOST_RUNS = 500, 1 << 16
 
 
-def uniform(term: Column, number: int) -> Column:
-    """A uniform value in (0, 1) of the term's."""
-    return (F.shiftrightunsigned(F.xxhash64(term, F.lit(number)), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+def draw(element: Column, number: Column, position: Column | None = None) -> Column:
+    """position, round and 50 random bits of an element in one long; the smaller, the earlier at its position."""
+    bits = F.xxhash64(element, number)
+    if position is None:
+        position = bits.bitwiseAND(F.lit(POSITIONS - 1))
+    return F.shiftleft(position.cast("long"), 57) + F.shiftleft(F.least(number, F.lit(ROUNDS)).cast("long"), 50) + F.shiftrightunsigned(bits, 14)
 
 
-def gamma(term: Column, number: int) -> Column:
-    """A Gamma(2, 1) value of the term's."""
-    return -F.ln(uniform(term, number) * uniform(term, number + 1))
-
-
-def race(term: Column, weight: Column) -> Column:
-    """bin and ln a of a weighted term in one long; the smaller, the earlier in its bin."""
-    r, b = gamma(term, 1), uniform(term, 5)
-    t = F.floor(F.ln(weight) / r + b)
-    value = F.ln(gamma(term, 3)) - r * (t - b + F.lit(1.0))
-    return F.pmod(term, F.lit(BINS)) * F.lit(1 << 50) + F.floor((F.greatest(value, F.lit(-100.0)) + F.lit(100.0)) * F.lit(float(1 << 42)))
+def first_of(draws: Column) -> Column:
+    """The smallest draw at each position. The sorted draws are bound once, as the only value of a list."""
+    pick = lambda ks: F.filter(ks, lambda k, i: (i == 0) | (F.shiftright(k, 57) != F.shiftright(F.get(ks, i - 1), 57)))
+    return F.element_at(F.transform(F.array(F.sort_array(draws)), pick), 1)
 
 
 def with_samples(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: array<int> of (bin, 16 bits of the bin's sample), by bin. Each step is a column, so none is worked out twice."""
+    """df with `out`: array<int> of (position, 16 bits of the position's draw), by position. Each step is a column, so none is worked out twice."""
     step = df.withColumn("_h", F.sort_array(F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))))
     step = step.withColumn("_at", F.filter(F.when(F.size("_h") > 0, F.sequence(F.lit(0), F.size("_h") - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get("_h", i) != F.get("_h", i - 1))))
-    step = step.withColumn("_k", F.sort_array(F.transform("_at", lambda at, i: race(F.get("_h", at), (F.coalesce(F.get("_at", i + 1), F.size("_h")) - at).cast("double")))))
-    first = F.filter("_k", lambda k, i: (i == 0) | (F.shiftright(k, 50) != F.shiftright(F.get("_k", i - 1), 50)))
-    sample = F.transform(first, lambda k: (F.shiftright(k, 50) * F.lit(65536) + F.xxhash64(k).bitwiseAND(F.lit(65535))).cast("int"))
-    return step.withColumn(out, sample).drop("_h", "_at", "_k")
+    times = lambda at, i: F.coalesce(F.get("_at", i + 1), F.size("_h")) - at
+    step = step.withColumn("_el", F.flatten(F.transform("_at", lambda at, i: F.transform(F.sequence(F.lit(0), times(at, i) - 1), lambda o: F.xxhash64(F.get("_h", at), o)))))
+    rounds = lambda n: F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda r: F.transform("_el", lambda e: draw(e, r))))
+    enough = F.least(F.lit(ROUNDS), F.ceil(F.lit(FIRST_DRAWS) / F.greatest(F.size("_el"), F.lit(1))).cast("int"))
+    step = step.withColumn("_k", first_of(rounds(enough)))
+    own = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda p: F.transform("_el", lambda e: draw(e, p + ROUNDS, p))))
+    step = step.withColumn("_k", F.when((F.size("_el") == 0) | (F.size("_k") == POSITIONS), F.col("_k")).otherwise(first_of(F.concat(rounds(F.lit(ROUNDS)), own))))
+    sample = F.transform("_k", lambda k: (F.shiftright(k, 57) * F.lit(65536) + F.xxhash64(k).bitwiseAND(F.lit(65535))).cast("int"))
+    return step.withColumn(out, sample).drop("_h", "_at", "_el", "_k")
 
 
 def as_string(samples: Column) -> Column:
-    """The fingerprint: six hex digits for each filled bin."""
+    """The fingerprint: six hex digits for each position."""
     return F.array_join(F.transform(samples, lambda s: F.lower(F.lpad(F.hex(s), 6, "0"))), "")
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """Share of agreeing bins among the bins that either fills."""
-    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, 16))
-    filled = F.size(F.array_union(bins(one), bins(other)))
-    return F.when(filled == 0, 1.0).otherwise(F.size(F.array_intersect(one, other)) / F.greatest(filled, F.lit(1)))
+    """Share of agreeing positions; 1.0 of two fingerprints without any."""
+    return F.when((F.size(one) == 0) & (F.size(other) == 0), 1.0).otherwise(F.size(F.array_intersect(one, other)) / F.lit(POSITIONS))
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:

@@ -105,6 +105,28 @@ def test_fingerprints_follow_the_similarity(spark):
     assert np.mean([r["near_next"] for r in found]) < 0.2
 
 
+@pytest.mark.parametrize("first", [700, 1])
+def test_fingerprints_of_repetitive_texts(spark, monkeypatch, first):
+    from collections import Counter
+
+    monkeypatch.setattr(fingerprint, "FIRST_DRAWS", first)
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):  # few words, most of them rare and one or two very frequent
+        words = [w for w in (f"w{rng.randrange(40)}" for _ in range(rng.randint(2, 9))) for _ in range(rng.choice([1, 1, 2, 60]))]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    found = {r["doc_id"]: r for r in fingerprint.compare_with_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    errors = []
+    for i, text in rows:
+        following = rows[i - 1][1]
+        cut = len(text) // 3
+        one, next_one, other = (Counter(t.split()) for t in (text, following, text[: len(text) - cut] + following[:cut]))
+        errors += [found[i]["near_edited"] - sum((one & other).values()) / sum((one | other).values()), found[i]["near_next"] - sum((one & next_one).values()) / sum((one | next_one).values())]
+    assert all(len(r["fingerprint"]) == 6 * 64 for r in found.values())
+    assert abs(np.mean(errors)) < 0.012 and np.mean(np.abs(errors)) < 0.05 and max(map(abs, errors)) < 0.28
+
+
 def test_edited_texts_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RUN_ROWS", 2)
     rows = [(1, "abcdef"), (2, None), (3, ""), (4, "héllo wörld 😀😀"), (4, "zz zz"), (5, "x"), (9, "same words here"), (10, "same words here"), (None, "no key at all")]
