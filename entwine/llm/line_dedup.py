@@ -2,7 +2,7 @@
 
 A line is cut into tokens; tokens with a digit are variable fields. The tree has a fixed depth: the number of tokens, then the first
 LEADING tokens, lead to a leaf. A line whose tokens, with variable fields generalised, stand in at least `least`
-documents of different text is a recurring template. In a leaf that holds different lines the most frequent token of
+documents of different text is a recurring template; a line of LONG or more tokens recurs from `least_long` documents on. In a leaf that holds different lines the most frequent token of
 each position gives the leaf's template, a position without a token that most lines share being a variable field; lines
 that agree with it in at least `alike` of all positions are instances of that template, and it recurs if they stand in
 enough documents. Of a recurring template the first instance in the document with the smallest key stays; all
@@ -32,6 +32,8 @@ from entwine.llm.common import cut, slices, with_arrays, with_fields
 
 LEADING = 3
 LEAST, ALIKE = 3, 0.8
+#: A line of so many tokens is a passage, which recurs from so many documents on.
+LONG, LEAST_LONG = 50, 2
 DIGIT, FIELD = re.compile(r"\d"), re.compile(r"\S*\d\S*")
 #: Decisions or leaves that are sent to every task at once; more are sent in blocks, one pass for each.
 MOST_SENT = 2_000_000
@@ -44,7 +46,7 @@ def signed(text: str) -> int:
 
 
 def line_keys(text: str) -> list[tuple[int, int, str] | None]:
-    """For each line of a text the hash of the generalised line, its leaf, and the line itself (tokens with single blanks); None for a blank line."""
+    """For each line of a text the hash of the generalised line, its leaf (odd for a line of LONG or more tokens), and the line itself (tokens with single blanks); None for a blank line."""
     lines = text.split("\n")
     # most texts have single blanks between tokens and no other white space, which is quick to see
     plain = "  " not in text and "\n " not in text and " \n" not in text and text[:1] != " " and text[-1:] != " " and "".join(lines).isprintable()
@@ -58,7 +60,9 @@ def line_keys(text: str) -> list[tuple[int, int, str] | None]:
             continue
         if digits and DIGIT.search(line):
             line = FIELD.sub("<*>", line)
-        out.append((signed(line), signed(f"{line.count(' ')} " + " ".join(line.split(" ", LEADING)[:LEADING])), line))
+        n = line.count(" ")
+        leaf = signed(f"{n} " + " ".join(line.split(" ", LEADING)[:LEADING]))
+        out.append((signed(line), leaf | 1 if n + 1 >= LONG else leaf & -2, line))
     return out
 
 
@@ -119,13 +123,14 @@ def tokens_of(docs: DataFrame, leaves: DataFrame, most: int) -> DataFrame:
     return found.dropDuplicates(["line"])
 
 
-def recurring(docs: DataFrame, least: int = LEAST, alike: float = ALIKE, most_sent: int = MOST_SENT) -> DataFrame:
+def recurring(docs: DataFrame, least: int = LEAST, alike: float = ALIKE, most_sent: int = MOST_SENT, least_long: int = LEAST_LONG) -> DataFrame:
     """line, template (a leaf, or the line itself) and first (the key that keeps it): the lines of recurring templates. docs: key, text."""
+    enough = lambda leaf: F.col("texts") >= F.when(F.col(leaf).bitwiseAND(F.lit(1)) == 1, least_long).otherwise(least)
     rows = cut(lines_of(docs).groupBy("line", "leaf", "text").agg(F.min("key").alias("key")), "lines")
     lines = cut(rows.groupBy("line", "leaf").agg(F.count("*").alias("texts"), F.min("key").alias("first")), "line-counts")
-    exact = lines.where(F.col("texts") >= least).select("line", F.col("line").alias("template"), "first")
+    exact = lines.where(enough("leaf")).select("line", F.col("line").alias("template"), "first")
     # leaves with several lines in enough documents; a line counts its documents, so this bound is never too low
-    mixed = cut(lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("texts").alias("texts")).where((F.col("lines") > 1) & (F.col("texts") >= least)).select("leaf"), "leaves")
+    mixed = cut(lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("texts").alias("texts")).where((F.col("lines") > 1) & enough("leaf")).select("leaf"), "leaves")
     if mixed.isEmpty():
         return cut(exact, "recurring")
     tokens = cut(tokens_of(docs, mixed, most_sent).join(lines.select("line", "texts"), "line"), "tokens")
@@ -134,14 +139,14 @@ def recurring(docs: DataFrame, least: int = LEAST, alike: float = ALIKE, most_se
     template = modal.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("best.n") * 2 > F.col("all"), F.col("best.token")).alias("token")))).alias("places")).select("leaf", F.transform("places", lambda p: p["token"]).alias("template"))
     same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
     instances = tokens.join(template, "leaf").where(same >= F.size("tokens") * alike).select("line", F.col("leaf").alias("template"))
-    groups = rows.select("line", "text", "key").join(instances, "line").groupBy("template").agg(F.count_distinct("text").alias("texts"), F.min("key").alias("first")).where(F.col("texts") >= least)
+    groups = rows.select("line", "text", "key").join(instances, "line").groupBy("template").agg(F.count_distinct("text").alias("texts"), F.min("key").alias("first")).where(enough("template"))
     general = instances.join(groups.select("template", "first"), "template").select("line", "template", "first")
     return cut(general.union(exact.join(general.select("line"), "line", "left_anti")), "recurring")
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, alike: float = ALIKE, most_sent: int = MOST_SENT) -> DataFrame:
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, alike: float = ALIKE, most_sent: int = MOST_SENT, least_long: int = LEAST_LONG) -> DataFrame:
     """df with `text` less the lines of recurring templates, n_lines (before) and n_dropped."""
-    found = recurring(df.select(F.col(key).alias("key"), F.col(text).alias("text")), least, alike, most_sent)
+    found = recurring(df.select(F.col(key).alias("key"), F.col(text).alias("text")), least, alike, most_sent, least_long)
     out = df.withColumn("n_lines", F.lit(None).cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
     for rows in blocks(found, "template", most_sent):
         rows.sort(key=lambda r: r["line"])

@@ -215,3 +215,13 @@ def test_template_tree_generalises_fields(spark):
     assert found[0] == rows[0][1] and found[9] == rows[-1][1]
     assert all(found[i] == rows[i][1].split("\n")[1] for i in range(1, 5))
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_lines_recur_from_two_texts_on(spark):
+    passage = lambda name, n: " ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    long, edited, below = passage("p", 50), passage("q", 60), passage("s", 49)
+    rows = [(1, f"first text\n{long}\n{below}"), (2, f"{long}\nsecond text\n{below}"), (3, f"third\n{edited}"), (4, f"fourth\n{edited[:-3]}x"), (5, passage("c", 80)), (6, passage("c", 80))]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found[1] == rows[0][1] and found[2] == f"second text\n{below}"
+    assert found[3] == rows[2][1] and found[4] == "fourth"
+    assert found[5] == found[6] == rows[4][1]  # copies of a text are one document
