@@ -45,6 +45,16 @@ def test_distrust_flows_against_links(spark):
     assert found == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block"}
 
 
+def test_distrust_reaches_far_hosts(spark):
+    rows = [(i, "http://h0.net/", None) for i in range(1000)]
+    rows += [(1000 + i, f"http://h{i}.info/", f'<a href="//h{i - 1}.{"info" if i > 1 else "net"}/x">l</a>') for i in range(1, 13)]
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, PAGES), RULES).collect()}
+    assert set(found.values()) == {"block"} and len(found) == 1012
+    links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    mass = {r["host"]: r["mass"] for r in url_filter.propagate(links, spark.createDataFrame([("a", 1)], "host string, weight long"), None, 0.5, 1e-3).collect()}
+    assert abs(mass["a"] - 2 / 3) < 1e-3 and abs(mass["b"] - 1 / 3) < 1e-3
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head><body><header>H</header><nav><ul><li>menu</ul></nav>
 <div class="cookie-notice">C</div><div id='ad'>buy</div><!-- x --><article><h1>Title  of
  it</h1><p>One <b>t</b>wo &amp;amp; &lt;x&gt; caf&eacute;<br>next<p>Three<form><input>f</form><aside>s</aside><section id=comments><p>c</p></section></article><footer>F</footer>"""
