@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns the rows that it keeps; run() writes every stage's rows to the shared folder and
 reads them again for the next, so a lost executor never costs more than one stage.
 
-language_id      rejects documents of which no language can be told: no text, no letters, or a score under LEAST_SCORE
+language_id      rejects documents of which no language can be told: no text, no letters, or a score under LEAST_SCORE, which
+                 texts that are unlike all labelled texts of the language have (gibberish, languages that were not learned)
 line_dedup       drops the lines of recurring templates, and documents of which no word is left
 near_duplicates  keeps one document of each group: five-word shingles, Jaccard similarity of 0.8 or more
 decontamination  drops documents in which a window of eight words of a benchmark item occurs

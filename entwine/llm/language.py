@@ -5,6 +5,11 @@ DIMENSIONS places. Linear support vector machines, one for each pair of language
 it, one for each pair of its languages vote for the language. They are fitted on at most `per_language` labelled
 texts of each language, chosen by a hash of the text; everything else works on every row. Prediction sees the text alone.
 
+The machines choose among the learned languages only. Whether a text is of the chosen one at all is told by the mean
+logarithm of the frequencies that its trigrams have there: the score is multiplied by a value in (0, 1) that is one half
+where the text lies BOUND deviations below the labelled texts of the language. So gibberish and other languages have a low
+score, while lang_pred stays the most similar language. A language with a single labelled text has no such bound.
+
 Defined cases: a null text or one without letters is "und" with score 0; a language without an entry in FAMILIES is a
 family of its own; with one language learned it is always that one; with none, every text is "und"; ties of votes go to
 the larger sum of margins; repeated rows get the same result; only the named columns are read, so other columns cannot
@@ -45,6 +50,8 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 #: Byte -> byte with all but letters as a blank; bytes of characters beyond ASCII count as letters.
 LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
+#: Deviations below the middle of a language's labelled texts at which a text is as likely none of them; frequency added to that of every trigram.
+BOUND, ADDED = 12.0, 1e-6
 HAS_LETTER = re.compile(r"[^\W\d_]").search
 
 
@@ -84,6 +91,16 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.n
     return w
 
 
+def bound_of(x: np.ndarray) -> tuple[np.ndarray, float, float, float]:
+    """Logarithms of a language's trigram frequencies; the middle of its texts' mean logarithms, each under the frequencies of the other texts; their variance between texts (from the median deviation, so wrong labels count little), and that of one trigram."""
+    all_of, n = x.sum(0, dtype=np.float64), len(x)
+    logs = np.log(np.maximum(all_of, 0) / max(n, 1) + ADDED)
+    own = np.array([row @ np.log(np.maximum(all_of - row, 0) / max(n - 1, 1) + ADDED) for row in x])
+    middle = float(np.median(own)) if n > 1 else -1e9
+    share = all_of / max(n, 1)
+    return logs, middle, float((1.4826 * np.median(np.abs(own - middle))) ** 2), float(max(0.0, share @ logs**2 - (share @ logs) ** 2))
+
+
 class Model:
     """The machines of both levels; `pairs` lists them as (level, first, second), `weights` has a row for each."""
 
@@ -102,6 +119,17 @@ class Model:
             rows = (names == a) | (names == b)
             w = svm(x[rows], np.where(names[rows] == a, 1.0, -1.0))
             self.weights[k, :-1], self.weights[k, -1] = w[:-1] * 100, w[-1] - 100 * (w[:-1] @ self.mean)
+        self.logs = np.zeros((len(self.languages), DIMENSIONS), np.float32)
+        self.middle, self.between, self.within = (np.zeros(len(self.languages)) for _ in range(3))
+        for k, lang in enumerate(self.languages):
+            self.logs[k], self.middle[k], self.between[k], self.within[k] = bound_of(x[of == lang] / 100 + self.mean)
+
+    def known(self, place: np.ndarray, counts: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """For each text a value in (0, 1): how much it is like the labelled texts of its language (an index)."""
+        n = np.maximum(counts, 1)
+        own = sums(self.logs[np.repeat(lang, counts), place], counts) / n
+        z = (own - self.middle[lang]) / np.sqrt(self.between[lang] + self.within[lang] / n + 1e-9)
+        return 1 / (1 + np.exp(-np.clip(z + BOUND, -30, 30)))
 
     def vote(self, margins: np.ndarray, level: str, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each row the index of the winning name and its least margin over the others, as a value in (0, 1)."""
@@ -126,12 +154,16 @@ class Model:
         margins = np.stack([sums(w[:-1][place], counts) / np.maximum(counts, 1) + w[-1] for w in self.weights], 1) if self.pairs else np.zeros((len(rows), 0))
         families = sorted(set(self.family.values()))
         family, sure = self.vote(margins, "family", families)
+        chosen, score = np.zeros(len(rows), np.int64), np.zeros(len(rows))
         for f, name in enumerate(families):
             members = [lang for lang in self.languages if self.family[lang] == name]
             of = np.flatnonzero(family == f)
             best, inside = self.vote(margins[of], "language", members)
             for i, b, s in zip(of, best, inside * sure[of]):
-                langs[rows[i]], scores[rows[i]] = members[b], float(s)
+                chosen[i], score[i] = self.languages.index(members[b]), s
+        score *= self.known(place, counts, chosen)
+        for i, row in enumerate(rows):
+            langs[row], scores[row] = self.languages[chosen[i]], float(score[i])
         return langs, scores
 
 

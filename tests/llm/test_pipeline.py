@@ -54,6 +54,25 @@ def test_stages_keep_and_drop(spark, folder):
     assert len(clean) >= 60
 
 
+OTHER = {
+    "fi": "ja on ei se hän että oli joka mutta kun niin mitä tämä olla minä myös vain kuin kaikki sitten nyt jos hänen ovat voi mukaan jälkeen ennen kanssa vuonna suomen ihmiset täytyy pitäisi yhteiskunta",
+    "tr": "bir ve bu için çok daha gibi kadar sonra olarak değil her şey ancak zaman büyük olduğu yeni içinde önce kendi arasında bunun üzerine şekilde çünkü herkes yılında başka türkiye insanlar söyledi",
+    "pl": "nie jest się że jak ale tak przez dla jego które było tylko może został jeszcze bardzo kiedy wszystko także przed między również ponieważ człowiek życie szczęście dzień wśród każdy więc",
+    "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой человек год один такой время сказать если только себя ещё другой когда уже для вот",
+}
+
+
+def test_other_languages_and_gibberish_go(spark, folder):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(OTHER[lang].split()) for _ in range(60)) for lang in OTHER for _ in range(5)]
+    texts += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(5)]
+    texts += ["これは日本語の文章であり学習した言語のどれでもありません" * 3, "qzx" * 80]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = spark.createDataFrame([(1000 + i, t, None, "odd", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(odd), folder).collect()}
+    assert {k for k in kept if k >= 1000} == set() and len(kept) == docs.count() - 3
+
+
 def test_run_and_empty_table(spark, folder, tmp_path):
     out = corpus_pipeline.run(spark, folder)
     rows = out.collect()
