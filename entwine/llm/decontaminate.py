@@ -6,23 +6,28 @@ starts from its rarest term over all documents: the term's positions, less its o
 and the offset-adjusted positions of the next rarest terms are intersected with them until none is left or all terms agree,
 which is an exact phrase match. Proximity matching asks only that all terms stand within a span.
 
-Words are 64-bit hashes of the whole word. Postings are kept for the terms of the benchmark where these are at most
-MOST_TERMS (sent to the tasks), else for all terms. Windows are sent in blocks of MOST_WINDOWS; each block meets all shards.
+Words are 64-bit hashes of the whole word. Postings are kept for all terms of all documents, so an index answers any benchmark.
+Windows are sent in blocks of MOST_WINDOWS, one block after the other; each block meets all shards.
 
 Defined cases: null or empty text has no words; an item without words has no window, one with fewer words than a
 window is one window; a window does not reach over the end of a document; repeated items each count, repeated rows of
-documents each get a row, null keys too; only the named columns are read, so other columns cannot clash; an empty
-benchmark hits nothing; an empty table of documents gives an empty table.
+documents each get a row, null keys too; a null item key counts as the empty string; items are in the order of their keys as
+strings, so equal keys are one; texts of any length are taken whole, a shard being one text where that is longer than
+SHARD_BYTES; only the named columns are read, so other columns cannot clash; an empty benchmark hits nothing; an empty
+table of documents gives an empty table. A window that stands in very many items carries all of their keys, as the result does.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +37,7 @@ from entwine.llm.words import NOT_ALNUM, word_hashes
 
 WINDOW = 8
 SHARD_BYTES = 4 << 20
-MOST_TERMS, MOST_WINDOWS = 2_000_000, 200_000
-POSTINGS = "shard string, first array<int>, terms array<long>, ends array<int>, positions array<int>"
+MOST_WINDOWS = 200_000
 
 
 def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -53,24 +57,17 @@ def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text"
     return made.groupBy("terms").agg(F.sort_array(F.collect_set(F.coalesce("item", F.lit("")))).alias("items"))
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: np.ndarray | None = None) -> DataFrame:
-    """The index: one row for each shard, written to the shared folder. terms: sorted hashes to keep postings for; None keeps all."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index of all terms: one row for each shard, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = sent.value
         for batch in slices(batches, "text", SHARD_BYTES):
             pieces = [word_hashes(piece.column("text"), NOT_ALNUM) for piece in cut_rows(batch, "text")]
             words = np.concatenate([w for w, _ in pieces])
             before = np.cumsum([0] + [len(w) for w, _ in pieces])
             first = np.concatenate([ends[:-1] + n for (_, ends), n in zip(pieces, before)] + [before[-1:]])
-            at = np.arange(len(words), dtype=np.int32)
-            if kept is not None:
-                found = np.searchsorted(kept, words)
-                at = at[kept[np.minimum(found, len(kept) - 1)] == words] if len(kept) else at[:0]
+            at = np.argsort(words, kind="stable").astype(np.int32)
             own = words[at]
-            order = np.argsort(own, kind="stable")
-            own, at = own[order], at[order]
             last = np.flatnonzero(np.concatenate([own[1:] != own[:-1], [True]])) if len(own) else np.empty(0, np.int64)
             one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
             keys = batch.column("key")
@@ -84,10 +81,13 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", terms:
     return cut(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema), "postings")
 
 
-def document_frequencies(index: DataFrame) -> DataFrame:
-    """term and n: how often each term of the index stands in all documents."""
+def document_frequencies(index: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """term and n: how often each term of the index, or each wanted one (column term), stands in all documents."""
     counts = F.transform("ends", lambda e, i: F.struct(F.get("terms", i).alias("term"), (e - F.coalesce(F.get("ends", i - 1), F.lit(0))).alias("n")))
-    return index.select(F.explode(counts).alias("c")).groupBy(F.col("c.term").alias("term")).agg(F.sum("c.n").alias("n"))
+    rows = index.select(F.explode(counts).alias("c")).select("c.term", "c.n")
+    if wanted is not None:
+        rows = rows.join(wanted, "term", "left_semi")
+    return rows.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -173,14 +173,13 @@ class Shard:
 
 
 def blocks_of(windows: DataFrame, index: DataFrame, most: int = MOST_WINDOWS) -> Iterator[Windows]:
-    """The windows with their terms' frequencies, in blocks of about `most`."""
-    n = windows.count()
-    parts = max(1, -(-n // most))
-    counts = document_frequencies(index)
+    """The windows with their terms' frequencies, in blocks of about `most`; the driver holds one block at a time."""
+    parts = max(1, -(-windows.count() // most))
+    counts = cut(document_frequencies(index, windows.select(F.explode("terms").alias("term")).distinct()), "frequencies")
     for part in range(parts):
         own = windows if parts == 1 else windows.where(F.pmod(F.xxhash64("terms"), F.lit(parts)) == part)
-        used = own.select(F.explode("terms").alias("term")).distinct()
-        frequencies = {r["term"]: r["n"] for r in counts.join(used, "term").toLocalIterator()}
+        used = counts if parts == 1 else counts.join(own.select(F.explode("terms").alias("term")), "term", "left_semi")
+        frequencies = {r["term"]: r["n"] for r in used.toLocalIterator()}
         yield Windows.of(sorted(own.toLocalIterator(), key=lambda r: list(r["terms"])), frequencies)
 
 
@@ -222,9 +221,8 @@ def proximity_matches(index: DataFrame, block: Windows, slop: int = 4) -> DataFr
     return index.mapInArrow(run, T.StructType([T.StructField("key", kind), T.StructField("items", T.ArrayType(T.StringType()))]))
 
 
-def document_hits(index: DataFrame, block: Windows, positions: bool) -> DataFrame:
-    """A row for each document: shard, row, key, n_words, n_hit, items (sorted) and, if asked for, the hit positions."""
-    sent = index.sparkSession.sparkContext.broadcast(block)
+def document_hits(index: DataFrame, sent: Broadcast, positions: bool) -> DataFrame:
+    """A row for each document: shard, row, key, n_words, n_hit, items (sorted) and, if asked for, the hit positions. sent: a block of windows."""
 
     def run(batches):
         own = sent.value
@@ -251,24 +249,27 @@ def document_hits(index: DataFrame, block: Windows, positions: bool) -> DataFram
     return index.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, most_windows: int = MOST_WINDOWS, most_terms: int = MOST_TERMS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """key, n_words, n_hit (words inside an occurring window) and items (with occurring windows, sorted as strings) of every document."""
     windows = cut(benchmark_windows(items, item_key, item_text, window), "windows")
-    vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
-    terms = None
-    if vocabulary.limit(most_terms + 1).count() <= most_terms:
-        terms = np.sort(np.fromiter((r["term"] for r in vocabulary.toLocalIterator()), np.int64).view(np.uint64))
-    index = build_index(docs, key, text, terms)
-    found = None
-    blocks = list(blocks_of(windows, index, most_windows))
-    for block in blocks:
-        own = document_hits(index, block, len(blocks) > 1)
-        found = own if found is None else found.unionByName(own)
-    if len(blocks) > 1:
-        found = found.groupBy("shard", "row").agg(
-            F.any_value("key").alias("key"),
-            F.any_value("n_words").alias("n_words"),
+    index = build_index(docs, key, text)
+    send = docs.sparkSession.sparkContext.broadcast
+    blocks = blocks_of(windows, index, most_windows)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = document_hits(index, send(first), False)
+    else:
+        hits, every = [], itertools.chain([first, second], blocks)
+        first = second = None
+        for block in every:
+            sent = send(block)
+            hits.append(cut(document_hits(index, sent, True).where("n_hit > 0").select("shard", "row", "hits", "items"), "hits"))
+            sent.destroy()
+        one = functools.reduce(DataFrame.union, hits).groupBy("shard", "row").agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
+        rows = index.select("shard", F.posexplode(F.arrays_zip("keys", F.slice("first", 1, F.size("keys")).alias("a"), F.slice("first", 2, F.size("keys")).alias("b"))).alias("row", "d"))
+        rows = rows.select("shard", "row", F.col("d.keys").alias("key"), (F.col("d.b") - F.col("d.a")).cast("long").alias("n_words"))
+        found = rows.join(one, ["shard", "row"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return found.select(F.col("key").alias(key), "n_words", "n_hit", "items")

@@ -2,8 +2,10 @@
 
 A text's features are the frequencies of its letter trigrams (lower case, other characters as word breaks), hashed to
 DIMENSIONS places. Linear support vector machines, one for each pair of language families, vote for the family; within
-it, one for each pair of its languages vote for the language. They are fitted on at most `per_language` labelled
-texts of each language, chosen by a hash of the text; everything else works on every row. Prediction sees the text alone.
+it, one for each pair of its languages vote for the language. They are fitted on at most `per_language` different labelled
+texts of each language, chosen by a hash of the text, so copies take no places, and at most about `in_all` of all; every
+language that labels have is learned. Each machine is fitted in a task of its own, on sparse rows. Everything else works on every
+row. Prediction sees the text alone, the whole of it, whatever its length.
 
 The machines choose among the learned languages only. Whether a text is of the chosen one at all is told by the mean
 logarithm of the frequencies that its trigrams have there: the score is multiplied by a value in (0, 1) that is one half
@@ -29,11 +31,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entwine.llm.common import slices, with_arrays, with_fields
+from entwine.llm.common import cut, slices, with_arrays, with_fields
 
 DIMENSIONS = 1 << 13
-#: At most so many labelled texts of each language, and so many languages, are learned from.
-PER_LANGUAGE, MOST_LANGUAGES = 300, 200
+#: At most so many labelled texts of each language are learned from, and about so many of all (one of each language at least).
+PER_LANGUAGE, IN_ALL = 300, 30_000
 #: Language families of ISO 639-1 codes, fixed values.
 FAMILIES = {
     "germanic": "af da de en fy is lb nl nb nn no sv yi",
@@ -77,52 +79,59 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
-    """Weights of a linear support vector machine (squared hinge) by dual coordinate descent; y is -1 or 1; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    order, alpha, w = np.random.default_rng(0), np.zeros(len(x)), np.zeros(x.shape[1])
-    diagonal = (x * x).sum(1) + 0.5 / c
+class Rows:
+    """Texts' trigram frequencies by place."""
+
+    def __init__(self, places: list[bytes], values: list[bytes]):
+        self.places = [np.frombuffer(p, "<u2") for p in places]
+        self.values = [np.frombuffer(v, "<f4").astype(np.float64) for v in values]
+        self.total = np.zeros(DIMENSIONS)
+        for p, v in zip(self.places, self.values):
+            self.total[p] += v
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+
+def svm(rows: Rows, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
+    """Weights of a linear support vector machine (squared hinge) by dual coordinate descent, for frequencies as they are; y is -1 or 1; the last weight is the bias."""
+    mean = rows.total / len(rows)
+    near, whole = np.array([v @ mean[p] for p, v in zip(rows.places, rows.values)]), mean @ mean
+    order, alpha = np.random.default_rng(0), np.zeros(len(rows))
+    # features are 100 * (frequency - mean); weights are kept as own + shift * mean, so a step touches a text's trigrams only
+    own, shift, along, bias = np.zeros(DIMENSIONS), 0.0, 0.0, 0.0
+    diagonal = (np.array([v @ v for v in rows.values]) - 2 * near + whole) * 1e4 + 1 + 0.5 / c
     for _ in range(epochs):
-        for i in order.permutation(len(x)):
-            new = max(0.0, alpha[i] - (y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / c) / diagonal[i])
+        for i in order.permutation(len(rows)):
+            p, v = rows.places[i], rows.values[i]
+            margin = 100 * (v @ own[p] + shift * (near[i] - whole) - along) + bias
+            new = max(0.0, alpha[i] - (y[i] * margin - 1 + alpha[i] * 0.5 / c) / diagonal[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                alpha[i] = new
-    return w
+                step = (new - alpha[i]) * y[i]
+                own[p] += 100 * step * v
+                shift, along, bias, alpha[i] = shift - 100 * step, along + 100 * step * near[i], bias + step, new
+    weights = 100 * (own + shift * mean)
+    return np.append(weights, bias - weights @ mean)
 
 
-def bound_of(x: np.ndarray) -> tuple[np.ndarray, float, float, float]:
+def bound_of(rows: Rows) -> tuple[np.ndarray, float, float, float]:
     """Logarithms of a language's trigram frequencies; the middle of its texts' mean logarithms, each under the frequencies of the other texts; their variance between texts (from the median deviation, so wrong labels count little), and that of one trigram."""
-    all_of, n = x.sum(0, dtype=np.float64), len(x)
-    logs = np.log(np.maximum(all_of, 0) / max(n, 1) + ADDED)
-    own = np.array([row @ np.log(np.maximum(all_of - row, 0) / max(n - 1, 1) + ADDED) for row in x])
+    n = len(rows)
+    logs = np.log(rows.total / max(n, 1) + ADDED)
+    own = np.array([v @ np.log(np.maximum(rows.total[p] - v, 0) / max(n - 1, 1) + ADDED) for p, v in zip(rows.places, rows.values)])
     middle = float(np.median(own)) if n > 1 else -1e9
-    share = all_of / max(n, 1)
+    share = rows.total / max(n, 1)
     return logs, middle, float((1.4826 * np.median(np.abs(own - middle))) ** 2), float(max(0.0, share @ logs**2 - (share @ logs) ** 2))
 
 
 class Model:
-    """The machines of both levels; `pairs` lists them as (level, first, second), `weights` has a row for each."""
+    """The machines of both levels; `pairs` lists them as (level, first, second), `weights` has a row for each. A language's bound is in `logs`, `middle`, `between` and `within`."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        self.languages = sorted(set(langs))
-        self.family = {lang: FAMILY_OF.get(lang, lang) for lang in self.languages}
-        families = sorted(set(self.family.values()))
-        self.mean, of = x.mean(0) if len(x) else np.zeros(DIMENSIONS), np.array(langs)
-        groups = np.array([self.family[lang] for lang in langs])
-        self.pairs = [("family", a, b) for a, b in itertools.combinations(families, 2)]
-        self.pairs += [("language", a, b) for a, b in itertools.combinations(self.languages, 2) if self.family[a] == self.family[b]]
-        self.weights = np.zeros((len(self.pairs), DIMENSIONS + 1), np.float32)
-        x = (x - self.mean) * 100
-        for k, (level, a, b) in enumerate(self.pairs):
-            names = groups if level == "family" else of
-            rows = (names == a) | (names == b)
-            w = svm(x[rows], np.where(names[rows] == a, 1.0, -1.0))
-            self.weights[k, :-1], self.weights[k, -1] = w[:-1] * 100, w[-1] - 100 * (w[:-1] @ self.mean)
-        self.logs = np.zeros((len(self.languages), DIMENSIONS), np.float32)
-        self.middle, self.between, self.within = (np.zeros(len(self.languages)) for _ in range(3))
-        for k, lang in enumerate(self.languages):
-            self.logs[k], self.middle[k], self.between[k], self.within[k] = bound_of(x[of == lang] / 100 + self.mean)
+    def __init__(self, languages: list[str], pairs: list[tuple[str, str, str]], weights: np.ndarray, bounds: list[tuple]):
+        self.languages, self.pairs, self.weights = languages, pairs, weights
+        self.family = {lang: FAMILY_OF.get(lang, lang) for lang in languages}
+        self.logs = np.array([b[0] for b in bounds], np.float32).reshape(len(languages), DIMENSIONS)
+        self.middle, self.between, self.within = (np.array([b[k] for b in bounds]) for k in (1, 2, 3))
 
     def known(self, place: np.ndarray, counts: np.ndarray, lang: np.ndarray) -> np.ndarray:
         """For each text a value in (0, 1): how much it is like the labelled texts of its language (an index)."""
@@ -167,33 +176,54 @@ class Model:
         return langs, scores
 
 
-def sample(labelled: DataFrame, text: str, lang: str, per_language: int) -> tuple[np.ndarray, list[str]]:
-    """Trigram frequencies and languages of at most `per_language` texts of each language, those with the smallest hashes; features are made on the executors."""
-    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[lang]: r["count"] for r in usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return np.zeros((0, DIMENSIONS), np.float32), []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * per_language / n))])
-    drawn = usable.withColumn("_u", F.xxhash64(text).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).where(F.col("_u") <= F.try_element_at(share, F.col(lang)))
+def sample(labelled: DataFrame, text: str, lang: str, per_language: int, in_all: int) -> DataFrame:
+    """lang, places and values: trigram frequencies of the texts with the smallest hashes of each language, written to the shared folder. Equal texts of a language count once; features are made on the executors."""
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    counts = cut(usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("different")), "languages")
+    most = max(1, min(per_language, in_all // max(1, counts.count())))
+    drawn = usable.withColumn("u", F.col("h").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).join(counts, "lang").where(F.col("u") <= F.lit(2.0 * most) / F.greatest("different", F.lit(1)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            langs, keys, rows = [], [], []
-            for name, u, t in zip(batch.column(lang).to_pylist(), batch.column("_u").to_pylist(), batch.column(text).to_pylist()):
-                if HAS_LETTER(t):
+        seen: set = set()
+        for batch in slices(batches, "text"):
+            langs, keys, places, values = [], [], [], []
+            for name, u, t in zip(batch.column("lang").to_pylist(), batch.column("u").to_pylist(), batch.column("text").to_pylist()):
+                if (name, u) not in seen and HAS_LETTER(t):
+                    seen.add((name, u))
                     place, n = trigrams([t])
-                    langs.append(name), keys.append(u), rows.append((np.bincount(place, minlength=DIMENSIONS) / max(1, n[0])).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.float64()), pa.array(rows, pa.binary())], names=["lang", "u", "x"])
-
-    made = drawn.select(lang, "_u", text).mapInArrow(features, "lang string, u double, x binary")
-    order = F.row_number().over(W.partitionBy("lang").orderBy("u", "x"))
-    found = sorted((r["lang"], r["u"], bytes(r["x"])) for r in made.withColumn("_n", order).where(F.col("_n") <= per_language).select("lang", "u", "x").collect())
-    return np.stack([np.frombuffer(x, "<f4") for _, _, x in found]) if found else np.zeros((0, DIMENSIONS), np.float32), [name for name, _, _ in found]
-
-
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """The model of labelled texts."""
-    return Model(*sample(labelled, text, lang, per_language))
+                    at, times = np.unique(place, return_counts=True)
+                    langs.append(name), keys.append(u), places.append(at.astype("<u2").tobytes()), values.append((times / max(1, n[0])).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.float64()), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["lang", "u", "places", "values"])
+
+    made = drawn.select("lang", "u", "text").mapInArrow(features, "lang string, u double, places binary, values binary").dropDuplicates(["lang", "u"])
+    order = F.row_number().over(W.partitionBy("lang").orderBy("u"))
+    return cut(made.withColumn("_n", order).where(F.col("_n") <= most).drop("_n"), "labelled")
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model:
+    """The model of labelled texts. Each machine, and each language's bound, is fitted in a task of its own; the driver gets weights only."""
+    spark = labelled.sparkSession
+    chosen = sample(labelled, text, lang, per_language, in_all)
+    languages = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
+    family = {name: FAMILY_OF.get(name, name) for name in languages}
+    pairs = [("family", a, b) for a, b in itertools.combinations(sorted(set(family.values())), 2)]
+    pairs += [("language", a, b) for a, b in itertools.combinations(languages, 2) if family[a] == family[b]]
+    if not languages:
+        return Model([], [], np.zeros((0, DIMENSIONS + 1), np.float32), [])
+    jobs = [(k, name, 1.0 if side == 0 else -1.0) for k, (level, *both) in enumerate(pairs) for side in (0, 1) for name in languages if both[side] == (family[name] if level == "family" else name)]
+    jobs += [(len(pairs) + k, name, 0.0) for k, name in enumerate(languages)]
+
+    def learn(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("lang", "ascending"), ("u", "ascending")])
+        rows, side = Rows(group.column("places").to_pylist(), group.column("values").to_pylist()), group.column("side").to_numpy()
+        made, *rest = (svm(rows, side), 0.0, 0.0, 0.0) if side[0] else bound_of(rows)
+        return pa.table({"job": group.column("job")[:1], "made": pa.array([made.astype("<f4").tobytes()], pa.binary()), "rest": pa.array([rest], pa.list_(pa.float64()))})
+
+    todo = chosen.join(F.broadcast(spark.createDataFrame(jobs, "job int, lang string, side double")), "lang")
+    found = {r["job"]: r for r in todo.groupBy("job").applyInArrow(learn, "job int, made binary, rest array<double>").toLocalIterator()}
+    vector = lambda job: np.frombuffer(found[job]["made"], "<f4")
+    weights = np.array([vector(k) for k in range(len(pairs))], np.float32).reshape(len(pairs), DIMENSIONS + 1)
+    return Model(languages, pairs, weights, [(vector(len(pairs) + k), *found[len(pairs) + k]["rest"]) for k in range(len(languages))])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

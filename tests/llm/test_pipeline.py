@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_texts import SPEECH
@@ -54,6 +55,27 @@ def test_stages_keep_and_drop(spark, folder):
     assert len(clean) >= 60
 
 
+def test_rows_of_one_id_and_clashing_columns(spark, folder):
+    """Rows are dropped, not ids; names of columns that the operators use, nulls, empty and long texts go through."""
+    rng = random.Random(10)
+    say = lambda n: " ".join(rng.choice(SPEECH["en"]) + rng.choice(["", "a", "o", "u"]) for _ in range(n))
+    one, other, third, long = say(40), say(40), say(40), say(20_000)
+    rows = [(5, one), (5, one), (5, other), (7, one), (None, one), (None, third), (None, third), (8, ""), (9, None), (9, None), (3, long), (4, long + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], DOCS + ", name string").withColumn("hash", F.lit(1)).withColumn("node", F.lit(2)).repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, folder)
+    assert sorted(kept.columns) == sorted(docs.columns)
+    expected = [(5, one), (5, other), (None, third), (8, ""), (9, None), (9, None), (3, long)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(expected, key=str)
+    item = [(1, " ".join(other.split()[5:15])), (2, None)]
+    spark.createDataFrame(item, "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/odd/benchmark.parquet")
+    clean = corpus_pipeline.decontamination(spark, kept, f"{folder}/odd")
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted([x for x in expected if x[1] != other], key=str)
+    stages = [corpus_pipeline.language_id, corpus_pipeline.drop_lines]
+    told = stages[0](spark, spark.read.parquet(f"{folder}/documents.parquet").unionByName(kept.select("doc_id", "text", "lang", "source", "n_chars")).withColumn("leaf", F.lit(1)).withColumn("score", F.lit(2)), folder)
+    lines = stages[1](spark, told, folder)
+    assert told.columns == lines.columns and (5, other) in {(r["doc_id"], r["text"]) for r in lines.collect()}
+
+
 OTHER = {
     "fi": "ja on ei se hän että oli joka mutta kun niin mitä tämä olla minä myös vain kuin kaikki sitten nyt jos hänen ovat voi mukaan jälkeen ennen kanssa vuonna suomen ihmiset täytyy pitäisi yhteiskunta",
     "tr": "bir ve bu için çok daha gibi kadar sonra olarak değil her şey ancak zaman büyük olduğu yeni içinde önce kendi arasında bunun üzerine şekilde çünkü herkes yılında başka türkiye insanlar söyledi",
