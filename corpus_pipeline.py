@@ -10,9 +10,11 @@ near_duplicates  keeps one document of each group: five-word shingles, Jaccard s
 decontamination  drops documents in which a window of eight words of a benchmark item occurs
 byte_bpe         encodes and decodes every text
 
-Rows whose doc_id is null cannot be named by a group or a hit, so the third and fourth stage keep them; rows of one doc_id go
-or stay together. Null texts are rejected first, so later stages only meet them in other use; an empty table gives
-an empty table at every stage.
+A row is named by its doc_id and a hash of its text, so rows of one doc_id with different texts are judged apart; rows that are
+equal in both are copies, of which one stays. A null doc_id counts as the largest. Null texts are rejected first, so later
+stages only meet them in other use (they are in no group and have no passages); texts of any length are taken whole; ties between
+rows of one doc_id go to the smaller hash; columns beside those of documents are handed on; an empty table gives an
+empty table at every stage.
 """
 
 from __future__ import annotations
@@ -31,10 +33,31 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 MOST_SENT = 2_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of the ids (one column, doc_id)."""
-    gone = cut(ids.where("doc_id is not null").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= MOST_SENT else gone, "doc_id", "left_anti").select(*docs.columns)
+def named(docs: DataFrame) -> DataFrame:
+    """name (doc_id, null last, and the hash of the text) and text of every row."""
+    return docs.select(name_of(), "text")
+
+
+def name_of():
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).alias("name")
+
+
+def without(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """docs without the rows of the names (one column, name)."""
+    gone = cut(names.select("name.*").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_SENT else gone
+    name = name_of()
+    same = (name["hash"] == gone["hash"]) & (name["none"] == gone["none"]) & name["id"].eqNullSafe(gone["id"])
+    return docs.join(gone, same, "left_anti")
+
+
+def single(docs: DataFrame) -> DataFrame:
+    """docs with one row of each name; only rows of repeated names are compared."""
+    twice = cut(docs.where("text is not null").groupBy(name_of()).count().where("count > 1").select("name"), "repeated")
+    if twice.isEmpty():
+        return docs
+    again = docs.withColumn("_name", name_of()).join(twice.withColumnRenamed("name", "_twice"), F.col("_name") == F.col("_twice"), "left_semi").dropDuplicates(["_name"]).drop("_name")
+    return without(docs, twice).unionByName(again)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +74,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    classes = jaccard_join.classes_of(docs, n=5, share=Fraction(8, 10))
-    return without(docs, classes.where("doc_id <> component_id").select("doc_id"))
+    classes = jaccard_join.classes_of(named(docs), key="name", n=5, share=Fraction(8, 10))
+    return single(without(docs, classes.where("name <> component_id").select("name")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("n_hit > 0").select("doc_id"))
+    found = decontaminate.contamination(named(docs), table(spark, sf_dir, "benchmark"), key="name")
+    return without(docs, found.where("n_hit > 0").select("name"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
