@@ -52,7 +52,11 @@ def run_evaluate(spark, args) -> None:
     cases = evaluation.validate(evaluation.gold_cases(tabular.read_csv(spark, args.gold)))
     config = MatchConfig()
     found = experiments.evaluate(cases, names, orgs, config).persist()
-    out = {"summary": rows_of(evaluation.summarize(found)), "errors": rows_of(evaluation.errors(found)), "configuration": asdict(config), "confidence": args.confidence, "iterations": args.iterations, "seed": args.seed}
+    ids: dict[str, list[str]] = {}
+    for r in evaluation.error_cases(found).toLocalIterator():
+        ids.setdefault(r["error"], []).append(r["case_id"])
+    errors = [r | {"case_ids": sorted(ids.get(r["error"], []))} for r in rows_of(evaluation.errors(found))]
+    out = {"summary": rows_of(evaluation.summarize(found)), "errors": errors, "configuration": asdict(config), "confidence": args.confidence, "iterations": args.iterations, "seed": args.seed}
     out["intervals"] = rows_of(evaluation.bootstrap(found, args.iterations, args.seed, args.confidence))
     out["exact_intervals"] = rows_of(intervals.report(found, args.confidence))
     if args.ablation:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entwine.functions.normalize import as_bool, case_identifier, clean
+from entwine.functions.rounding import round_exact
 
 METRICS = ["blocking_recall", "top1_accuracy_known", "selective_precision", "coverage", "answerable_coverage", "end_to_end_recall", "no_match_specificity"]
 COUNTERS = ["cases", "known_matches", "blocking_hits", "top1_correct_known", "answered", "answered_known", "correct_answers", "correct_abstentions"]
@@ -55,7 +56,7 @@ def counters(by: list[str]) -> list[Column]:
 
 def ratios() -> list[Column]:
     """The seven metrics of a row of counters, 0.0 where there is nothing to divide by."""
-    share = lambda a, b, name: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), b), F.lit(0.0)), 4).alias(name)
+    share = lambda a, b, name: round_exact(F.coalesce(F.try_divide(F.col(a).cast("double"), b), F.lit(0.0)), 4).alias(name)
     known, cases = F.col("known_matches"), F.col("cases")
     return [
         share("blocking_hits", known, "blocking_recall"), share("top1_correct_known", known, "top1_accuracy_known"), share("correct_answers", F.col("answered"), "selective_precision"), share("answered", cases, "coverage"),
@@ -78,29 +79,44 @@ def error_of() -> Column:
 
 
 def errors(rows: DataFrame) -> DataFrame:
-    """error, cases and case_ids for every class, those without cases too."""
-    found = rows.select(error_of().alias("error"), "case_id").groupBy("error").agg(F.count("*").alias("cases"), F.array_sort(F.collect_list("case_id")).alias("case_ids"))
+    """error and cases for every class, those without cases too."""
+    found = rows.select(error_of().alias("error")).groupBy("error").agg(F.count("*").alias("cases"))
     classes = rows.sparkSession.createDataFrame([(e,) for e in ERRORS], "error string")
-    return classes.join(found, "error", "left").select("error", F.coalesce("cases", F.lit(0).cast("long")).alias("cases"), F.coalesce("case_ids", F.array().cast("array<string>")).alias("case_ids"))
+    return classes.join(found, "error", "left").select("error", F.coalesce("cases", F.lit(0).cast("long")).alias("cases"))
+
+
+def error_cases(rows: DataFrame) -> DataFrame:
+    """error and case_id of every case."""
+    return rows.select(error_of().alias("error"), "case_id")
+
+
+FLAGS = ["known", "blocking_hit", "top1_hit", "answered", "correct_answered", "correct_abstention"]
+#: Draws that one row makes.
+DRAWS = 1 << 16
 
 
 def bootstrap(rows: DataFrame, iterations: int = 2000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """metric, low and high: percentile intervals of the metrics over draws with replacement within each stratum.
 
-    Each draw picks a place by a hash of seed, iteration, stratum and place, so the plan is one equality join.
+    Cases with the same flags are alike, so a stratum is at most 64 classes in a fixed order, and a draw is a hash of seed, iteration,
+    stratum and number, taken modulo the stratum's size: the class in which it falls is counted where it is drawn. Neither
+    cases nor draws move between machines, only sums for each iteration.
     """
     if iterations < 1 or not 0 < confidence < 1:
         raise ValueError("iterations must be positive and confidence between 0 and 1")
-    from pyspark.sql import Window as W
-
-    strata = W.partitionBy("stratum")
-    own = rows.select("stratum", "case_id", "known", "blocking_hit", "top1_hit", "answered", "correct_answered", "correct_abstention").withColumn("place", F.row_number().over(strata.orderBy("case_id")) - 1).withColumn("n", F.count("*").over(strata))
-    picks = own.select("stratum", "place", "n").crossJoin(rows.sparkSession.range(iterations).withColumnRenamed("id", "iteration"))
-    picks = picks.select("stratum", "iteration", F.pmod(F.xxhash64(F.lit(seed), "iteration", "stratum", "place"), "n").alias("place"))
-    drawn = picks.join(own.drop("n"), ["stratum", "place"]).groupBy("iteration").agg(*counters([])).select(*ratios())
+    classes = rows.groupBy("stratum", *FLAGS).agg(F.count("*").alias("n"))
+    order = F.sort_array(F.collect_list(F.struct(*FLAGS, "n")))
+    ends = F.transform("classes", lambda c, i: F.struct(*(c[f].alias(f) for f in FLAGS), F.aggregate(F.slice("classes", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, b: a + b["n"]).alias("end")))
+    strata = classes.groupBy("stratum").agg(F.sum("n").alias("n"), order.alias("classes")).withColumn("classes", ends)
+    turns = strata.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).repartition("stratum", "iteration")
+    parts = turns.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAWS).cast("long"))))
+    picks = parts.select("stratum", "iteration", "n", "classes", F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + DRAWS, F.col("n")) - 1)).alias("number"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "iteration", "stratum", "number").cast("binary")), 1, 13), 16, 10).cast("long") % F.col("n")
+    hit = picks.select("iteration", "classes", draw.alias("draw")).select("iteration", F.get(F.filter("classes", lambda c: c["end"] > F.col("draw")), F.lit(0)).alias("c"))
+    drawn = hit.select("iteration", "c.*").groupBy("iteration").agg(*counters([])).select(*ratios())
     tail = (1 - confidence) / 2
     both = drawn.agg(*(F.percentile(m, F.array(F.lit(tail), F.lit(1 - tail))).alias(m) for m in METRICS))
-    return both.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.round(F.get(m, F.lit(0)), 4).alias("low"), F.round(F.get(m, F.lit(1)), 4).alias("high")) for m in METRICS))).alias("r")).select("r.*")
+    return both.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), round_exact(F.get(m, F.lit(0)), 4).alias("low"), round_exact(F.get(m, F.lit(1)), 4).alias("high")) for m in METRICS))).alias("r")).select("r.*")
 
 
 def held_out_counts(local: DataFrame, hosted: DataFrame) -> DataFrame:
@@ -123,6 +139,6 @@ def hosted_outcomes(cases: DataFrame, cache: DataFrame) -> DataFrame:
 
 def read_outcomes(rows: DataFrame) -> DataFrame:
     """Outcomes of a saved cases file, booleans and numbers typed."""
-    flags = ["known", "blocking_hit", "top1_hit", "answered", "correct_answered", "correct_abstention"]
+    flags = FLAGS
     numbers = [c for c in ("score", "name_score", "margin", "latency_ms") if c in rows.columns]
     return rows.select(*(c for c in rows.columns if c not in flags + numbers), *(as_bool(F.col(c)).alias(c) for c in flags), *(F.col(c).try_cast("double").alias(c) for c in numbers))

@@ -1,7 +1,7 @@
 """Ablations and threshold sweeps.
 
-A sweep scores once: gates and thresholds only enter the last rule, so the ranked candidates meet the grid as a small
-relation. An ablation changes retrieval and scores, so each of its six configurations is a plan of its own.
+A sweep scores once: gates and thresholds only enter the last rule, so each case's first candidate is judged for every pair of
+the grid in its own row. An ablation changes retrieval and scores, so each of its six configurations is a plan of its own.
 """
 
 from __future__ import annotations
@@ -42,11 +42,11 @@ def sweep(cases: DataFrame, names: DataFrame, orgs: DataFrame, gates=(0.76, 0.78
     queries = prepare(case_queries(cases)).persist()
     found = candidates(queries, names, orgs, base).persist()
     first = ranked(score(found, queries, names, orgs, base)).where("rank = 1")
-    grid = cases.sparkSession.createDataFrame([(g, t) for g in gates for t in thresholds], "gate double, threshold double")
-    decided = first.crossJoin(F.broadcast(grid)).withColumn("match", accepts(base, F.col("gate"), F.col("threshold")))
-    matched = decided.select(F.col("query_id").alias("case_id"), "gate", "threshold", F.col("ror_id").alias("_top"), F.col("match").alias("_match"))
+    grid = F.explode(F.array(*(F.struct(F.lit(float(g)).alias("gate"), F.lit(float(t)).alias("threshold")) for g in gates for t in thresholds))).alias("g")
     hit = cases.select("case_id", "expected_ror_id").join(found.select(F.col("query_id").alias("case_id"), F.col("ror_id").alias("expected_ror_id")), ["case_id", "expected_ror_id"]).select("case_id", F.lit(True).alias("_hit"))
-    whole = cases.crossJoin(F.broadcast(grid)).join(matched, ["case_id", "gate", "threshold"], "left").join(hit, "case_id", "left")
+    best = first.withColumn("case_id", F.col("query_id")).withColumn("_top", F.col("ror_id"))
+    whole = cases.select("case_id", "expected_ror_id").join(best, "case_id", "left").join(hit, "case_id", "left").select("*", grid).withColumn("gate", F.col("g.gate")).withColumn("threshold", F.col("g.threshold"))
+    whole = whole.withColumn("_match", accepts(base, F.col("gate"), F.col("threshold")))
     known, answered = F.col("expected_ror_id").isNotNull(), F.coalesce("_match", F.lit(False))
     right = F.coalesce(F.col("_top") == F.col("expected_ror_id"), F.lit(False))
     flags = whole.select("gate", "threshold", known.alias("known"), (known & F.coalesce("_hit", F.lit(False))).alias("blocking_hit"), (known & right).alias("top1_hit"), answered.alias("answered"), (answered & right).alias("correct_answered"), (~known & ~answered).alias("correct_abstention"))

@@ -4,43 +4,74 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def at_most(successes: int, trials: int, chance: float) -> float:
-    """The chance of at most so many successes."""
-    if successes < 0:
-        return 0.0
-    if successes >= trials or chance <= 0:
-        return 1.0
-    if chance >= 1:
-        return 0.0
-    logs = [math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) + k * math.log(chance) + (trials - k) * math.log1p(-chance) for k in range(successes + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+#: Steps of halving (53 give all bits of a double), and the most terms of a continued fraction; it needs about the root of the trials.
+HALVINGS, MOST_TERMS = 60, 1_000_000
+TINY = 1e-300
+
+
+def beta_share(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function of arrays with 0 < x < 1 and a, b > 0, by its continued fraction (modified Lentz)."""
+    turned = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(turned, 1 - x, x), np.where(turned, b, a), np.where(turned, a, b)
+    front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    guard = lambda v: np.where(np.abs(v) < TINY, TINY, v)
+    c, d = np.ones_like(x), 1 / guard(1 - (a + b) * x / (a + 1))
+    value = d.copy()
+    for m in range(1, MOST_TERMS):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d, c = 1 / guard(1 + even * d), guard(1 + even / c)
+        value = value * d * c
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1 / guard(1 + odd * d), guard(1 + odd / c)
+        step = d * c
+        value = value * step
+        if (np.abs(step - 1) < 1e-15).all():
+            break
+    share = front * value
+    return np.where(turned, 1 - share, share)
+
+
+def lgamma(values: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in values.tolist()])
+
+
+def quantile(chance: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where the incomplete beta function reaches a chance, by halving all rows at once."""
+    low, high = np.zeros(len(a)), np.ones(len(a))
+    for _ in range(HALVINGS):
+        middle = (low + high) / 2
+        above = beta_share(np.clip(middle, TINY, 1 - 1e-16), a, b) > chance
+        low, high = np.where(above, low, middle), np.where(above, middle, high)
+    return (low + high) / 2
+
+
+def bounds_of(successes: np.ndarray, trials: np.ndarray, confidence: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+    """Both Clopper-Pearson bounds of every row: the chances at which each tail is half of what is left of the confidence."""
+    s, n, tail = successes.astype(np.float64), trials.astype(np.float64), (1 - confidence) / 2
+    low, high = np.zeros(len(s)), np.ones(len(s))
+    some = s > 0
+    low[some] = quantile(tail, s[some], n[some] - s[some] + 1)
+    some = s < n
+    high[some] = quantile(1 - tail, s[some] + 1, n[some] - s[some])
+    return low, high
 
 
 def clopper_pearson(successes: int, trials: int, confidence: float = 0.95) -> tuple[float, float]:
-    """Both bounds, by halving: the chance at which each tail is half of what is left of the confidence."""
+    """Both bounds of one row."""
     if isinstance(successes, bool) or isinstance(trials, bool) or not isinstance(successes, int) or not isinstance(trials, int):
         raise TypeError("successes and trials must be integers")
     if trials < 1 or not 0 <= successes <= trials or not 0 < confidence < 1:
         raise ValueError("0 <= successes <= trials, trials > 0 and 0 < confidence < 1 are needed")
-    tail = (1 - confidence) / 2
-
-    def halve(above) -> float:
-        low, high = 0.0, 1.0
-        for _ in range(100):
-            middle = (low + high) / 2
-            low, high = (low, middle) if above(middle) else (middle, high)
-        return (low + high) / 2
-
-    lower = 0.0 if successes == 0 else tail ** (1 / trials) if successes == trials else halve(lambda p: 1 - at_most(successes - 1, trials, p) > tail)
-    upper = 1.0 if successes == trials else 1 - tail ** (1 / trials) if successes == 0 else halve(lambda p: at_most(successes, trials, p) < tail)
-    return lower, upper
+    low, high = bounds_of(np.array([successes]), np.array([trials]), confidence)
+    return float(low[0]), float(high[0])
 
 
 _BOUNDS = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
@@ -51,8 +82,13 @@ def interval(confidence: float = 0.95):
 
     @F.arrow_udf(_BOUNDS)
     def bounds(successes: pa.Array, trials: pa.Array) -> pa.Array:
-        found = [None if not n or s is None else clopper_pearson(int(s), int(n), confidence) for s, n in zip(successes.to_pylist(), trials.to_pylist())]
-        return pa.array([None if b is None else {"low": b[0], "high": b[1]} for b in found], pa.struct([("low", pa.float64()), ("high", pa.float64())]))
+        some = pc.fill_null(pc.and_(pc.is_valid(successes), pc.greater(trials, 0)), False)
+        s, n = (pc.filter(v, some).to_numpy(zero_copy_only=False) for v in (successes, trials))
+        if len(s) and ((s < 0) | (s > n)).any():
+            raise ValueError("successes must be between 0 and trials")
+        made = [{"low": a, "high": b} for a, b in zip(*(v.tolist() for v in bounds_of(s, n, confidence)))]
+        rows = iter(made)
+        return pa.array([next(rows) if k else None for k in some.to_pylist()], pa.struct([("low", pa.float64()), ("high", pa.float64())]))
 
     return bounds
 

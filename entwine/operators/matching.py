@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from entwine.config import MatchConfig
 from entwine.functions.normalize import normalize_city, normalize_country, normalize_name, scoring_tokens
+from entwine.functions.rounding import round_exact
 from entwine.functions.similarity import pair_scorer
 from entwine.operators.blocking import candidates
 
@@ -119,10 +120,10 @@ def as_service(decided: DataFrame, orgs: DataFrame) -> DataFrame:
     variant = lambda c: c.cast("variant")
     feature = lambda name, value: F.struct(F.lit(name).alias("id"), variant(value).alias("value"))
     told = lambda c: F.when(F.col(c).isNotNull(), feature(c, F.col(c)))
-    features = F.filter(F.array(feature("name_fuzzy", F.round("name_score", 4)), feature("exact_name", F.col("exact_match")), feature("final_score", F.round("score", 4)), feature("margin", F.round("margin", 4)), told("country_match"), told("city_match")), lambda f: f.isNotNull())
+    features = F.filter(F.array(feature("name_fuzzy", round_exact(F.col("name_score"), 4)), feature("exact_name", F.col("exact_match")), feature("final_score", round_exact(F.col("score"), 4)), feature("margin", round_exact(F.col("margin"), 4)), told("country_match"), told("city_match")), lambda f: f.isNotNull())
     word = lambda c, name: F.when(F.col(c), f"{name} match").when(~F.col(c), f"{name} mismatch")
-    note = F.concat_ws("; ", F.format_string("name %.2f via %s", "name_score", "best_kind"), word("country_match", "country"), word("city_match", "city"), F.when(F.col("margin") != 0, F.format_string("margin %.2f", "margin")))
+    note = F.concat_ws("; ", F.format_string("name %.2f via %s", round_exact(F.col("name_score"), 2), F.col("best_kind")), word("country_match", "country"), word("city_match", "city"), F.when(F.col("margin") != 0, F.format_string("margin %.2f", round_exact(F.col("margin"), 2))))
     kinds = F.when(F.size("types") > 0, F.transform("types", lambda t: F.struct(t.alias("id"), t.alias("name")))).otherwise(F.array(F.struct(F.lit("organization").alias("id"), F.lit("Organization").alias("name"))))
-    item = F.struct(F.col("ror_id").alias("id"), "name", kinds.alias("type"), F.round(F.col("score") * 100, 3).alias("score"), "match", note.alias("description"), features.alias("features"))
+    item = F.struct(F.col("ror_id").alias("id"), "name", kinds.alias("type"), round_exact(F.col("score") * 100, 3).alias("score"), "match", note.alias("description"), features.alias("features"))
     rows = decided.join(orgs.select("ror_id", "name", "types"), "ror_id").select("query_id", "rank", item.alias("item"))
     return rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.to_json("item").alias("item")))).alias("rows")).select("query_id", F.transform("rows", lambda x: x["item"]).alias("result"))

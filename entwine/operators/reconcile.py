@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from entwine.config import MatchConfig
 from entwine.functions.normalize import clean, identity
+from entwine.functions.rounding import round_exact
 from entwine.operators.matching import as_service, match, top
 
 RESULT = ["match_status", "ror_id", "ror_name", "candidate_ror_id", "candidate_ror_name", "score", "name_score", "margin", "best_name", "best_name_kind", "country_match", "city_match", "exact_match", "candidate_count"]
@@ -39,7 +40,7 @@ def status() -> Column:
 
 def join_back(rows: DataFrame, decided: DataFrame, orgs: DataFrame) -> DataFrame:
     """Every row with its identity's result; an id is given only where it is accepted."""
-    best = top(decided, orgs).select(F.col("query_id").alias("identity"), F.col("match").alias("_match"), F.col("ror_id").alias("_candidate"), F.col("ror_name").alias("_name"), F.round("score", 6).alias("score"), F.round("name_score", 6).alias("name_score"), F.round("margin", 6).alias("margin"), "best_name", F.col("best_kind").alias("best_name_kind"), "country_match", "city_match", "exact_match", "candidate_count")
+    best = top(decided, orgs).select(F.col("query_id").alias("identity"), F.col("match").alias("_match"), F.col("ror_id").alias("_candidate"), F.col("ror_name").alias("_name"), round_exact(F.col("score"), 6).alias("score"), round_exact(F.col("name_score"), 6).alias("name_score"), round_exact(F.col("margin"), 6).alias("margin"), "best_name", F.col("best_kind").alias("best_name_kind"), "country_match", "city_match", "exact_match", "candidate_count")
     kept = [c for c in rows.columns if c not in RESULT]
     text = lambda c: F.coalesce(c, F.lit(""))
     joined = rows.select(*kept).join(best, "identity", "left")

@@ -53,10 +53,9 @@ def split(cases: DataFrame, dev_fraction: float = 0.5, seed: int = 42) -> DataFr
     ranked = cases.withColumn("_known", F.col("expected_ror_id").isNotNull()).withColumn("_draw", draw(seed, F.col("case_id"))).withColumn("_n", F.count("*").over(group)).withColumn("_place", F.row_number().over(group.orderBy("_draw", "case_id")))
     quota = F.when(F.col("_n") == 1, 0).otherwise(F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * dev_fraction, 0).cast("long"))))
     own = ranked.withColumn("_dev", F.col("_place") <= quota)
-    counts = own.agg(F.count("*").alias("all"), F.count_if("_dev").alias("dev")).withColumn("_more", F.bround(F.col("all") * dev_fraction, 0).cast("long") - F.col("dev")).select("_more")
+    more = own.agg(F.bround(F.count("*") * dev_fraction, 0).cast("long") - F.count_if("_dev")).first()[0] or 0
     movable = F.when(F.col("_dev"), F.col("_place") > 1).otherwise((F.col("_n") > 1) & (F.col("_place") < F.col("_n")))
-    order = F.row_number().over(W.partitionBy("_dev", "_movable").orderBy("_draw", "case_id"))
-    placed = own.withColumn("_movable", movable).withColumn("_order", order).crossJoin(F.broadcast(counts))
-    up = ~F.col("_dev") & F.col("_movable") & (F.col("_order") <= F.col("_more"))
-    down = F.col("_dev") & F.col("_movable") & (F.col("_order") <= -F.col("_more"))
-    return placed.select(*cases.columns, F.when(up | (F.col("_dev") & ~down), "dev").otherwise("test").alias("part"))
+    # groups miss their share by less than one case each, so what moves is fewer than the groups are
+    moved = own.where(movable & (F.col("_dev") == F.lit(more < 0))).orderBy("_draw", "case_id").limit(abs(more)).select("case_id", F.lit(True).alias("_moved"))
+    placed = own.join(moved, "case_id", "left")
+    return placed.select(*(F.col(c) for c in cases.columns), F.when(F.col("_dev") != F.coalesce("_moved", F.lit(False)), "dev").otherwise("test").alias("part"))

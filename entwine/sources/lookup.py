@@ -14,7 +14,8 @@ import urllib.parse
 import urllib.request
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from entwine.sources.tabular import write_json
 
@@ -23,6 +24,11 @@ INSTITUTION = "ror_id string, id string, display_name string, type string, count
 HOSTED = "query string, results array<struct<ror_id:string,name:string,score:double,chosen:boolean>>, error string"
 
 
+def quoted(value: Column) -> Column:
+    """A value with everything but letters, digits and _ . - ~ percent-encoded."""
+    return F.replace(F.replace(F.replace(F.url_encode(value), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def get(url: str) -> tuple[int, dict, bytes]:
     """Status, headers and body of a GET."""
     try:

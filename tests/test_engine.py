@@ -263,3 +263,21 @@ def test_stream(spark, tables, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["query_id"], r["ror_id"]) for r in found] == [("q1", "r:ucl")]
+
+
+REQUESTS = {
+    '{"a":{"query":"Foo","limit":3,"properties":[{"pid":" Country ","v":"DE"},{"pid":"city","v":[[{"id":"","name":"Bonn"}]]}]},"b":{"query":5,"limit":"7"}}': [("a", "Foo", "DE", "Bonn", 3), ("b", "5", None, None, 7)],
+    '{"c":{"limit":99.7,"properties":[{"pid":"city","v":true},{"pid":"organisation_city","v":null},3]},"d":{"query":null,"limit":"x","properties":null}}': [("c", "", None, None, 20), ("d", "", None, None, None)],
+    '{"e":{"query":"x","limit":true,"properties":{}},"f":{"query":true,"limit":-4,"properties":[{"pid":"city","v":{"value":7}},{"pid":"country","v":[]}]}}': [("e", "x", None, None, 1), ("f", "True", None, "7", 1)],
+    "{}": [],
+}
+
+
+def test_parse_requests(spark):
+    found = openrefine.parse_requests(spark.createDataFrame(list(enumerate(REQUESTS)), "request int, body string")).collect()
+    for i, expected in enumerate(REQUESTS.values()):
+        assert sorted((r["query_id"], r["query"], r["country"], r["city"], r["limit"]) for r in found if r["request"] == i) == expected
+    assert not any(r["error"] for r in found)
+    bad = {"nope": openrefine.NOT_QUERIES, "[1]": openrefine.NOT_QUERIES, None: openrefine.NOT_QUERIES, '{"a":3}': openrefine.NOT_A_QUERY, '{"a":{"query":"x","properties":"no"}}': openrefine.NOT_PROPERTIES}
+    rows = openrefine.parse_requests(spark.createDataFrame(list(enumerate(bad)), "request int, body string")).collect()
+    assert {r["request"]: r["error"] for r in rows} == dict(enumerate(bad.values()))

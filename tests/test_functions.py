@@ -1,12 +1,16 @@
 """Normalisation and similarity."""
 
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from entwine.functions import normalize as N
 from entwine.functions import similarity as S
+from entwine.functions.rounding import round_exact
+from entwine.operators.intervals import clopper_pearson
 
 
 def values(spark, function, rows, schema="v string"):
@@ -96,3 +100,26 @@ def test_ratios():
     assert S.partial_ratio("abc", "xxabcxx") == 100 and S.partial_ratio("", "a") == 0
     assert S.weighted_ratio("new york", "the wonderful new york mets") == pytest.approx(90)
     assert S.coverage("de la", "de la", 3, 0.84, 0.35) == 0
+
+
+def test_exact_rounding(spark):
+    rng = random.Random(4)
+    numbers = [0.285, 1.005, 2.675, 0.125, -0.125, 0.375, 2.5, 0.0, -0.0, 1e-9, 123456.78950, 9007199254740993.0, 5e15, float("inf")]
+    numbers += [rng.choice([-1, 1]) * rng.randint(0, 10**7) / 10 ** rng.randint(0, 7) for _ in range(3000)] + [rng.randint(0, 10**6) / 2 ** rng.randint(1, 12) for _ in range(3000)]
+    df = spark.createDataFrame([(float(x),) for x in numbers] + [(None,)], "x double")
+    for digits in (0, 2, 3, 4, 6):
+        found = [r[0] for r in df.select(round_exact(F.col("x"), digits)).collect()]
+        assert found[-1] is None and found[:-1] == [round(float(x), digits) for x in numbers]
+
+
+def test_interval_bounds():
+    """Both bounds against sums of the binomial's terms in whole fractions."""
+    rng = random.Random(5)
+    for n in (1, 2, 7, 40, 263):
+        for s in {0, n, n // 2, rng.randint(0, n)}:
+            low, high = clopper_pearson(s, n)
+            tail = lambda p, ks: sum(math.comb(n, k) * Fraction(p) ** k * (1 - Fraction(p)) ** (n - k) for k in ks)
+            assert low == 0 if s == 0 else abs(float(tail(low, range(s, n + 1))) - 0.025) < 1e-9
+            assert high == 1 if s == n else abs(float(tail(high, range(s + 1))) - 0.025) < 1e-9
+    low, high = clopper_pearson(500_000, 1_000_000)
+    assert abs(low - 0.4990195) < 1e-6 and abs(high - 0.5009805) < 1e-6
