@@ -1,20 +1,22 @@
 """Document fingerprints by consistent weighted sampling, with column functions only.
 
 The terms of a text are its words (runs without white space), weighted by how often they occur. Weights are whole numbers, so
-a term of weight w is the elements (term, 0) to (term, w - 1), and each of POSITIONS positions draws one element of the
-text: consistently, as every element's draws are hashes of itself alone, and uniformly over all elements. Two texts agree at
-a position with a probability that equals the generalised Jaccard similarity of their weighted terms, and the likeness
-of two fingerprints is the share of positions that agree.
-
-The draw is that of fast similarity sketching: in each round every element falls on one position, by hash, with a random
-value; a position takes the smallest value of the first round in which any element falls on it. After ROUNDS rounds
-each position that is still empty draws from all elements by a hash of its own. So no position stays empty, and a
-long text needs one round only. How many rounds are worked out for a text doesn't change its fingerprint; the first
-pass takes as many as fill all positions nearly always, and the rest is worked out where it did not. A fingerprint keeps
-16 bits of each draw.
+a term of weight w is the elements (term, 0) to (term, w - 1). Every element has a Poisson process of its own, drawn from hashes
+of the element alone: its j-th arrival comes after a time with the Gamma(j, 1) distribution (the sum of j exponential
+gaps) and falls on one of POSITIONS positions by hash. A position's sample is the element that arrives there first. So a
+term's first arrival is exponential with rate w / POSITIONS, every position draws a term in proportion to its weight, positions
+are independent, and draws are consistent: two texts agree at a position with a probability that equals the generalised
+Jaccard similarity of their weighted terms (sum of the smaller over sum of the larger weights). The likeness of
+two fingerprints is the share of positions that agree.
+
+Arrivals are worked out up to a time at which about FIRST_DRAWS have come, whatever the text's length: elements whose first
+arrival is later are looked at once. Where a position is still empty then (about one text in 200), the text is worked out again
+up to MORE times that time. The time doesn't change who arrived first, so it doesn't change the fingerprint. A fingerprint
+keeps 16 bits of each sample. These are the gamma draws of consistent weighted sampling in order of arrival, in place of one
+draw for every position and term, which would cost 64 times as much.
 
 Defined cases: null text is empty; a text without words has an empty fingerprint, which is 1.0 like another empty one
-and 0.0 like any other; equal texts have equal fingerprints; only key and text are read, so other columns cannot clash; rows
+and 0.0 like any other; equal texts have equal fingerprints; whole texts count, whatever their length; only key and text are read, so other columns cannot clash; rows
 with equal or null keys each get a row; an empty table gives an empty table. Words are compared as they are.
 """
 
@@ -27,19 +29,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-POSITIONS, ROUNDS = 64, 64
-#: Draws of the first pass over a text, at least (as far as ROUNDS go): a position stays empty in about one text of a thousand.
-FIRST_DRAWS = 700
+POSITIONS = 64
+#: Arrivals of the first pass over a text, on average, and how much longer the second pass waits.
+FIRST_DRAWS, MORE = 600.0, 8.0
+#: Parts of a unit of time in a sample's order; times stay below 2^13.
+TICKS = float(1 << 44)
 #: Rows of one run of neighbouring keys, and the most runs; neighbours across runs meet through one row a run.
 RUN_ROWS, MOST_RUNS = 500, 1 << 16
 
 
-def draw(element: Column, number: Column, position: Column | None = None) -> Column:
-    """position, round and 50 random bits of an element in one long; the smaller, the earlier at its position."""
-    bits = F.xxhash64(element, number)
-    if position is None:
-        position = bits.bitwiseAND(F.lit(POSITIONS - 1))
-    return F.shiftleft(position.cast("long"), 57) + F.shiftleft(F.least(number, F.lit(ROUNDS)).cast("long"), 50) + F.shiftrightunsigned(bits, 14)
+ARRIVALS = "array<array<struct<element:bigint,time:double,position:bigint>>>"
+
+
+def next_arrival(before: Column, number: Column) -> Column:
+    """The arrival of an element after `before`: an exponential gap later, at a position by hash."""
+    bits = F.xxhash64(before["element"], number)
+    gap = -F.ln((F.shiftrightunsigned(bits, 11).cast("double") + 0.5) * F.lit(2.0**-53))
+    return F.struct(before["element"].alias("element"), (before["time"] + gap).alias("time"), bits.bitwiseAND(F.lit(POSITIONS - 1)).alias("position"))
+
+
+def draws(elements: Column, until: Column) -> Column:
+    """position and time of every arrival before `until` in one long, the smaller the earlier at its position."""
+    start = F.array(F.transform(elements, lambda e: F.struct(e.alias("element"), F.lit(0.0).alias("time"), F.lit(0).cast("long").alias("position")))).cast(ARRIVALS)
+    # the chance of more arrivals of one element in that time is below 10^-12
+    most = F.ceil(until + 8 * F.sqrt(until) + 12).cast("int")
+    # the latest arrivals that came in time are turned into their elements' next ones
+    step = lambda found, j: F.concat(found, F.array(F.filter(F.transform(F.element_at(found, -1), lambda x: next_arrival(x, j)), lambda x: x["time"] < until))).cast(ARRIVALS)
+    every = F.flatten(F.aggregate(F.sequence(F.lit(1), most), start, step))
+    key = lambda x: F.shiftleft(x["position"], 57) + (x["time"] * F.lit(TICKS)).cast("long")
+    return F.transform(F.filter(every, lambda x: x["time"] > 0), key)
 
 
 def first_of(draws: Column) -> Column:
@@ -54,13 +72,11 @@ def with_samples(df: DataFrame, text: str, out: str) -> DataFrame:
     step = step.withColumn("_at", F.filter(F.when(F.size("_h") > 0, F.sequence(F.lit(0), F.size("_h") - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get("_h", i) != F.get("_h", i - 1))))
     times = lambda at, i: F.coalesce(F.get("_at", i + 1), F.size("_h")) - at
     step = step.withColumn("_el", F.flatten(F.transform("_at", lambda at, i: F.transform(F.sequence(F.lit(0), times(at, i) - 1), lambda o: F.xxhash64(F.get("_h", at), o)))))
-    rounds = lambda n: F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda r: F.transform("_el", lambda e: draw(e, r))))
-    enough = F.least(F.lit(ROUNDS), F.ceil(F.lit(FIRST_DRAWS) / F.greatest(F.size("_el"), F.lit(1))).cast("int"))
-    step = step.withColumn("_k", first_of(rounds(enough)))
-    own = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda p: F.transform("_el", lambda e: draw(e, p + ROUNDS, p))))
-    step = step.withColumn("_k", F.when((F.size("_el") == 0) | (F.size("_k") == POSITIONS), F.col("_k")).otherwise(first_of(F.concat(rounds(F.lit(ROUNDS)), own))))
+    step = step.withColumn("_t", F.lit(FIRST_DRAWS) / F.greatest(F.size("_el"), F.lit(1)))
+    step = step.withColumn("_k", first_of(draws(F.col("_el"), F.col("_t"))))
+    step = step.withColumn("_k", F.when((F.size("_el") == 0) | (F.size("_k") == POSITIONS), F.col("_k")).otherwise(first_of(draws(F.col("_el"), F.col("_t") * MORE))))
     sample = F.transform("_k", lambda k: (F.shiftright(k, 57) * F.lit(65536) + F.xxhash64(k).bitwiseAND(F.lit(65535))).cast("int"))
-    return step.withColumn(out, sample).drop("_h", "_at", "_el", "_k")
+    return step.withColumn(out, sample).drop("_h", "_at", "_el", "_t", "_k")
 
 
 def as_string(samples: Column) -> Column:
