@@ -2,16 +2,22 @@
 
 A line is cut into tokens; tokens with a digit are variable fields. The tree has a fixed depth: the number of tokens, then the first
 LEADING tokens, lead to a leaf. A line whose tokens, with variable fields generalised, stand in at least `least`
-documents of different text is a recurring template; a line of LONG or more tokens recurs from `least_long` documents on. In a leaf that holds different lines the most frequent token of
-each position gives the leaf's template, a position without a token that most lines share being a variable field; lines
-that agree with it in at least `alike` of all positions are instances of that template, and it recurs if they stand in
-enough documents. Of a recurring template the first instance in the document with the smallest key stays; all
-others are dropped.
+documents of different text is a recurring template; a line of LONG or more tokens recurs from `least_long` documents on.
+
+A leaf holds any number of templates. Lines of a leaf are alike if they agree in at least `alike` of all positions; they may
+differ in m positions, so of m + 1 pieces of what follows the leading tokens they share one as it is. Lines meet
+in groups that share a leaf and a piece (a leaf is one group where everything after the leading tokens may differ). In each group
+the line that stands in the most texts (of equals the one with the larger hash) is a template, and the lines alike to it are its
+instances; of the others again the most frequent one is a template, until none is left. Templates that share an instance
+are one. A template recurs if its instances stand in enough documents. Of a recurring template the first instance in
+the document with the smallest key stays; all others are dropped. Groups whose lines don't stand in enough documents, and
+lines in no other group, cannot recur and go no further, so few lines are ever compared; each round is an aggregate
+and a join that adaptive execution can split, and no group is collected.
 
 Texts that are equal count as one document, so copies of a document don't make its lines recur.
 
 Defined cases: blank lines stay and are no template; null text stays null; an empty text stays; a text whose lines all go
-becomes empty; ties for a position's token go to the larger hash; repeated rows are documents with one text and each
+becomes empty; ties between lines go to the larger hash; texts and lines of any length are taken whole; repeated rows are documents with one text and each
 loses what the other loses; rows with a null key keep a template only if every document with it has a null key; other columns
 are handed on, but for n_lines and n_dropped, which are replaced; an empty table gives an empty table.
 """
@@ -24,18 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entwine.llm.common import cut, slices, with_arrays, with_fields
+from entwine.llm.components import components
 
 LEADING = 3
 LEAST, ALIKE = 3, 0.8
 #: A line of so many tokens is a passage, which recurs from so many documents on.
 LONG, LEAST_LONG = 50, 2
 DIGIT, FIELD = re.compile(r"\d"), re.compile(r"\S*\d\S*")
-#: Decisions or leaves that are sent to every task at once; more are sent in blocks, one pass for each.
+#: Decisions or leaves that are sent to every task at once; more leaves are sent in blocks, more decisions meet the texts by a join.
 MOST_SENT = 2_000_000
 
 
@@ -67,21 +74,21 @@ def line_keys(text: str) -> list[tuple[int, int, str] | None]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """line, leaf, text, key: the distinct lines of every document; of equal texts in a task only the smallest key's."""
+    """line, leaf, text (hash), key: the distinct lines of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             lines, leaves, texts, keys = [], [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+            for key, text, hash in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("hash").to_pylist()):
                 found = dict(k[:2] for k in line_keys(text or "") if k)
                 lines += found
                 leaves += found.values()
-                texts += [signed(text)] * len(found) if found else []
+                texts += [hash] * len(found)
                 keys += [key] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(leaves, pa.int64()), pa.array(texts, pa.int64()), pa.array(keys, batch.column("key").type)], names=["line", "leaf", "text", "key"])
 
     kind = docs.schema["key"].dataType
-    return docs.mapInArrow(run, T.StructType([*(T.StructField(n, T.LongType()) for n in ("line", "leaf", "text")), T.StructField("key", kind)]))
+    return docs.withColumn("hash", F.xxhash64("text")).mapInArrow(run, T.StructType([*(T.StructField(n, T.LongType()) for n in ("line", "leaf", "text")), T.StructField("key", kind)]))
 
 
 def places(sorted_values: np.ndarray, wanted: list[int]) -> np.ndarray:
@@ -93,18 +100,12 @@ def places(sorted_values: np.ndarray, wanted: list[int]) -> np.ndarray:
     return np.where(sorted_values[at] == own, at, -1)
 
 
-def blocks(df: DataFrame, by: str, most: int) -> Iterator[list]:
-    """The rows of df in blocks of about `most`, dealt by the hash in column `by`."""
-    parts = max(1, -(-df.count() // most))
-    for part in range(parts):
-        yield list((df if parts == 1 else df.where(F.pmod(F.xxhash64(by), F.lit(parts)) == part)).toLocalIterator())
-
-
 def tokens_of(docs: DataFrame, leaves: DataFrame, most: int) -> DataFrame:
-    """line, leaf, tokens (hashes): the distinct lines of a task that belong to the leaves."""
-    found = None
-    for rows in blocks(leaves, "leaf", most):
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r["leaf"] for r in rows), np.int64)))
+    """line, leaf, tokens (hashes): the distinct lines of a task that belong to the leaves; leaves are sent in blocks of about `most`."""
+    parts, found = max(1, -(-leaves.count() // most)), None
+    for part in range(parts):
+        block = leaves if parts == 1 else leaves.where(F.pmod(F.xxhash64("leaf"), F.lit(parts)) == part)
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(block.select("leaf").toArrow().column("leaf").to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             wanted = sent.value
@@ -123,61 +124,105 @@ def tokens_of(docs: DataFrame, leaves: DataFrame, most: int) -> DataFrame:
     return found.dropDuplicates(["line"])
 
 
-def recurring(docs: DataFrame, least: int = LEAST, alike: float = ALIKE, most_sent: int = MOST_SENT, least_long: int = LEAST_LONG) -> DataFrame:
-    """line, template (a leaf, or the line itself) and first (the key that keeps it): the lines of recurring templates. docs: key, text."""
-    enough = lambda leaf: F.col("texts") >= F.when(F.col(leaf).bitwiseAND(F.lit(1)) == 1, least_long).otherwise(least)
+def pieces(alike: float) -> Column:
+    """Hashes of the pieces of a line (leaf, tokens), one of which every line shares that is alike to it."""
+    n = F.size("tokens")
+    differ = n - F.ceil(n * F.lit(alike) - F.lit(1e-9)).cast("int")
+    rest = F.greatest(n - LEADING, F.lit(0))
+    edge = lambda i: F.lit(LEADING + 1) + F.floor(i * rest / (differ + 1)).cast("int")
+    piece = lambda i: F.xxhash64("leaf", i, F.slice("tokens", edge(i), edge(i + 1) - edge(i)))
+    return F.when(differ >= rest, F.array(F.xxhash64("leaf"))).otherwise(F.transform(F.sequence(F.lit(0), differ), piece))
+
+
+def groups_of(tokens: DataFrame, least: int, alike: float, least_long: int) -> DataFrame:
+    """node (a line) and root: lines of one template have one root. tokens: line, leaf, tokens, texts."""
+    rows = tokens.withColumn("piece", F.explode(F.array_distinct(pieces(alike))))
+    live = rows.groupBy("piece", "leaf").agg(F.count("*").alias("lines"), F.sum("texts").alias("all")).where((F.col("lines") > 1) & (F.col("all") >= enough("leaf", least, least_long))).select("piece")
+    rows = cut(rows.join(live, "piece"), "pieces")
+    links = None
+    while True:
+        first = rows.groupBy("piece").agg(F.max(F.struct("texts", "line", "tokens")).alias("t"), F.count("*").alias("lines")).where("lines > 1").select("piece", F.col("t.line").alias("template"), F.col("t.tokens").alias("pattern"))
+        same = F.size(F.filter(F.zip_with("tokens", "pattern", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x))
+        judged = cut(rows.join(first, "piece").withColumn("instance", same >= F.size("tokens") * alike - 1e-9).drop("pattern"), "judged")
+        if judged.isEmpty():
+            break
+        own = judged.where("instance and line <> template").select("line", "template")
+        links = own if links is None else links.union(own)
+        rows = judged.where("not instance").drop("template", "instance")
+    if links is None:
+        return tokens.sparkSession.createDataFrame([], "node long, root long")
+    return components(links, "line", "template")
+
+
+def enough(leaf: str, least: int, least_long: int) -> Column:
+    """In how many texts a line of the leaf must stand."""
+    return F.when(F.col(leaf).bitwiseAND(F.lit(1)) == 1, least_long).otherwise(least)
+
+
+def recurring(docs: DataFrame, least: int = LEAST, alike: float = ALIKE, most_sent: int = MOST_SENT, least_long: int = LEAST_LONG) -> tuple[DataFrame, DataFrame]:
+    """line, template (a line) and first (the key that keeps it): the lines of recurring templates; and line, text (hash) and key of all lines. docs: key, text."""
     rows = cut(lines_of(docs).groupBy("line", "leaf", "text").agg(F.min("key").alias("key")), "lines")
     lines = cut(rows.groupBy("line", "leaf").agg(F.count("*").alias("texts"), F.min("key").alias("first")), "line-counts")
-    exact = lines.where(enough("leaf")).select("line", F.col("line").alias("template"), "first")
+    exact = lines.where(F.col("texts") >= enough("leaf", least, least_long)).select("line", F.col("line").alias("template"), "first")
     # leaves with several lines in enough documents; a line counts its documents, so this bound is never too low
-    mixed = cut(lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("texts").alias("texts")).where((F.col("lines") > 1) & enough("leaf")).select("leaf"), "leaves")
-    if mixed.isEmpty():
-        return cut(exact, "recurring")
+    mixed = cut(lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("texts").alias("texts")).where((F.col("lines") > 1) & (F.col("texts") >= enough("leaf", least, least_long))).select("leaf"), "leaves")
+    if alike > 1 or mixed.isEmpty():
+        return cut(exact, "recurring"), rows
     tokens = cut(tokens_of(docs, mixed, most_sent).join(lines.select("line", "texts"), "line"), "tokens")
-    places = tokens.select("leaf", "texts", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("n"))
-    modal = places.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("all"))
-    template = modal.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("best.n") * 2 > F.col("all"), F.col("best.token")).alias("token")))).alias("places")).select("leaf", F.transform("places", lambda p: p["token"]).alias("template"))
-    same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    instances = tokens.join(template, "leaf").where(same >= F.size("tokens") * alike).select("line", F.col("leaf").alias("template"))
-    groups = rows.select("line", "text", "key").join(instances, "line").groupBy("template").agg(F.count_distinct("text").alias("texts"), F.min("key").alias("first")).where(enough("template"))
+    instances = cut(groups_of(tokens, least, alike, least_long).select(F.col("node").alias("line"), F.col("root").alias("template")), "instances")
+    groups = rows.join(instances, "line").groupBy("template", F.col("leaf").bitwiseAND(F.lit(1)).alias("long")).agg(F.count_distinct("text").alias("texts"), F.min("key").alias("first")).where(F.col("texts") >= enough("long", least, least_long))
     general = instances.join(groups.select("template", "first"), "template").select("line", "template", "first")
-    return cut(general.union(exact.join(general.select("line"), "line", "left_anti")), "recurring")
+    return cut(general.union(exact.join(general.select("line"), "line", "left_anti")), "recurring"), rows
+
+
+def less(lines: list[str], keys: list, decided: dict, own) -> list[str]:
+    """The lines of a document that stay: decided has template and first for the hashes of recurring lines."""
+    kept, done = [], set()
+    for line, key in zip(lines, keys):
+        found = decided.get(key[0]) if key else None
+        if found is not None:
+            template, first = found
+            if first != own or template in done:
+                continue
+            done.add(template)
+        kept.append(line)
+    return kept
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, alike: float = ALIKE, most_sent: int = MOST_SENT, least_long: int = LEAST_LONG) -> DataFrame:
     """df with `text` less the lines of recurring templates, n_lines (before) and n_dropped."""
-    found = recurring(df.select(F.col(key).alias("key"), F.col(text).alias("text")), least, alike, most_sent, least_long)
+    found, rows = recurring(df.select(F.col(key).alias("key"), F.col(text).alias("text")), least, alike, most_sent, least_long)
     out = df.withColumn("n_lines", F.lit(None).cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
-    for rows in blocks(found, "template", most_sent):
-        rows.sort(key=lambda r: r["line"])
-        line, template = (np.array([r[c] for r in rows], np.int64) for c in ("line", "template"))
-        sent = df.sparkSession.sparkContext.broadcast((line, template, pa.array([r["first"] for r in rows])))
+    schema = with_fields(out, [("n_lines", T.LongType()), ("n_dropped", T.LongType())])
+    names = schema.fieldNames()
+    everywhere = found.count() <= most_sent
+    sent = None
+    if everywhere:
+        own = found.toArrow().sort_by("line")
+        sent = df.sparkSession.sparkContext.broadcast((own.column("line").to_numpy(), own.column("template").to_numpy(), own.column("first").combine_chunks()))
+    else:  # each text meets the decisions on its own lines
+        own = rows.join(found, "line").groupBy(F.col("text").alias("_text")).agg(F.collect_list(F.struct("line", "template", "first")).alias("_lines"))
+        out = out.join(own, F.xxhash64(text) == F.col("_text"), "left").drop("_text")
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known, template, first = sent.value
-            for batch in slices(batches, text):
-                texts, counts, dropped = [], [], []
-                values = batch.column(text).to_pylist()
-                lines = [[] if v is None else v.split("\n") for v in values]
-                keys = [k for v in values if v is not None for k in line_keys(v)]
-                at = places(known, [k[0] if k else 0 for k in keys]).tolist()
-                begin = 0
-                for own, value, all_lines, n, d in zip(batch.column(key).to_pylist(), values, lines, batch.column("n_lines").to_pylist(), batch.column("n_dropped").to_pylist()):
-                    kept, done = [], set()
-                    for i, line in enumerate(all_lines, begin):
-                        if keys[i] and at[i] >= 0:
-                            if first[at[i]].as_py() != own or template[at[i]] in done:
-                                continue
-                            done.add(template[at[i]])
-                        kept.append(line)
-                    begin += len(all_lines)
-                    texts.append(None if value is None else "\n".join(kept))
-                    counts.append(len(all_lines) if n is None else n)
-                    dropped.append(d + len(all_lines) - len(kept))
-                columns = {text: pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
-                yield with_arrays(batch, columns).select(names)
-
-        schema = with_fields(out, [("n_lines", T.LongType()), ("n_dropped", T.LongType())])
-        names = schema.fieldNames()
-        out = out.select(*names).mapInArrow(run, schema)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, template, first = sent.value if everywhere else (None, None, None)
+        for batch in slices(batches, text):
+            values = batch.column(text).to_pylist()
+            lines = [[] if v is None else v.split("\n") for v in values]
+            keys = [[] if v is None else line_keys(v) for v in values]
+            if everywhere:
+                flat = [k[0] for own in keys for k in own if k]
+                at = places(known, flat)
+                decided = {flat[i]: (int(template[at[i]]), first[int(at[i])].as_py()) for i in np.flatnonzero(at >= 0)}
+                of = [decided] * len(values)
+            else:
+                of = [{r["line"]: (r["template"], r["first"]) for r in own or ()} for own in batch.column("_lines").to_pylist()]
+            kept = [less(*x) for x in zip(lines, keys, of, batch.column(key).to_pylist())]
+            columns = {
+                text: pa.array([None if v is None else "\n".join(k) for v, k in zip(values, kept)], pa.string()),
+                "n_lines": pa.array([len(x) for x in lines], pa.int64()),
+                "n_dropped": pa.array([len(x) - len(k) for x, k in zip(lines, kept)], pa.int64()),
+            }
+            yield with_arrays(batch, columns).select(names)
+
+    return out.mapInArrow(run, schema)

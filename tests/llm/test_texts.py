@@ -269,3 +269,92 @@ def test_long_lines_recur_from_two_texts_on(spark):
     assert found[1] == rows[0][1] and found[2] == f"second text\n{below}"
     assert found[3] == rows[2][1] and found[4] == "fourth"
     assert found[5] == found[6] == rows[4][1]  # copies of a text are one document
+
+
+def templates_of(rows, least, alike, least_long=2):
+    """What is left of the texts, one group of lines at a time."""
+    split = lambda t: [k for k in line_dedup.line_keys(t or "")]
+    texts = {}
+    for key, text in rows:
+        texts.setdefault(text, []).append(key)
+    lines, where = {}, {}
+    for text in texts:
+        for k in split(text):
+            if k:
+                lines[k[0]] = k
+                where.setdefault(k[0], set()).add(text)
+    groups = {}
+    for h, leaf, words in lines.values():
+        tokens = words.split(" ")
+        n = len(tokens)
+        differ = n - math.ceil(n * alike - 1e-9)
+        rest = max(n - 3, 0)
+        edges = [3 + i * rest // (differ + 1) for i in range(differ + 2)]
+        for i in [None] if differ >= rest else range(differ + 1):
+            groups.setdefault((leaf, i, None if i is None else tuple(tokens[edges[i] : edges[i + 1]])), []).append((len(where[h]), h, tokens))
+    needed = lambda leaf: least_long if leaf & 1 else least
+    root = {h: h for h in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (leaf, _, _), members in groups.items():
+        if sum(m[0] for m in members) < needed(leaf):
+            continue
+        while len(members) > 1:
+            best = max(members, key=lambda m: m[:2])
+            alikes = [m for m in members if sum(a == b for a, b in zip(m[2], best[2])) >= len(m[2]) * alike - 1e-9]
+            for m in alikes:
+                root[find(m[1])] = find(best[1])
+            members = [m for m in members if m not in alikes]
+    members = {}
+    for h in lines:
+        members.setdefault(find(h), set()).add(h)
+    drop = {}
+    for own in members.values():
+        found = set().union(*(where[h] for h in own))
+        if len(found) >= needed(lines[next(iter(own))][1]):
+            first = min(k for t in found for k in texts[t])
+            drop |= {h: (min(own), first) for h in own}
+    out = []
+    for key, text in rows:
+        done, kept = set(), []
+        for line, k in zip((text or "").split("\n"), split(text)):
+            if k and k[0] in drop:
+                group, first = drop[k[0]]
+                if first != key or group in done:
+                    continue
+                done.add(group)
+            kept.append(line)
+        out.append((key, None if text is None else "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most_sent", [2_000_000, 3])
+def test_templates_match_brute_force(spark, most_sent):
+    """Several templates in one leaf, variable words anywhere after the leading ones, lines of many lengths."""
+    rng = random.Random(15)
+    words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    tails = [[rng.choice(words) for _ in range(n)] for n in (2, 5, 5, 7, 7, 12, 60)]
+    rows = []
+    for i in range(60):
+        lines = [" ".join(rng.choice(words) for _ in range(9))]
+        for tail in rng.sample(tails, 3):
+            own = list(tail)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            lines.append(" ".join(["sent", "to", "you", *own]))
+        rows.append((i, "\n".join(lines)))
+    rows += [(100, rows[0][1]), (101, None), (102, ""), (103, "long " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit("clash")).repartition(3)
+    found = line_dedup.dedup(docs, most_sent=most_sent)
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str) == templates_of(rows, 3, 0.8)
+
+
+def test_two_templates_of_one_leaf(spark):
+    rows = [(i, f"this page was written by {n} for the weekly digest of our group") for i, n in enumerate(["anna", "bert", "carla", "dora", "emil", "fred"])]
+    rows += [(6 + i, f"this page was taken from {n} after many long years of waiting there") for i, n in enumerate(["gerd", "hans", "ida", "jan"])]
+    found = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in found.collect() if r["text"]) == [0, 6]
