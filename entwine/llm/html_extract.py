@@ -1,10 +1,12 @@
 """Main text of web pages by wrapper induction.
 
-Pages are parsed into trees of blocks. For every host one page (the smallest key) is the reference, and simple tree
-matching aligns each other page of the host with it. A block of the reference that is aligned with the same words on
+Pages are parsed into trees of blocks. For every host, and for every layout of a host that has several (which elements stand in
+which on the first levels), one page (the smallest key) is the reference, and simple tree
+matching aligns each other page of the host or layout with it. A block of the reference that is aligned with the same words on
 nearly all of them is constant, so it belongs to the host's template; what varies is a content slot. Extraction
 leaves out the template's blocks, inside article elements too, and the elements that hold no article by their kind (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments). What remains is the article: inside
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments; class names count only where something
+else is left). What remains is the article: inside
 article elements if the page has any, else inside main, else in the body. A block is its words and the names of the
 elements around it, so the same words elsewhere in a page are no template. Pages of equal trees count as one, so copies of
 a page don't make its text constant.
@@ -39,8 +41,10 @@ from entwine.llm.url_filter import host_of
 LEAST_PAGES, CONSTANT_SHARE = 3, 0.8
 #: Template blocks that are sent to every task; beyond that the pages meet their template by a join.
 MOST_SENT = 200_000
-#: Elements nested deeper stand beside those at this depth in the tree; tables of children with more cells are worked out in halves.
-DEEPEST, MOST_CELLS = 100, 250_000
+#: Elements nested deeper stand beside those at this depth in the tree, as in browsers; no text is lost. Tables of children with more cells are worked out in halves.
+DEEPEST, MOST_CELLS = 512, 250_000
+#: Levels of a tree that make a page's layout.
+LAYOUT_LEVELS = 4
 #: Weight of a pair of nodes in an alignment; a pair of equal words adds 1.
 PAIR = 1 << 31
 #: Element names by HTML's own rules, fixed values.
@@ -56,10 +60,14 @@ MARKS = frozenset(
 )
 #: An open element of the key ends when one of these begins.
 ENDS = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li td th tr".split()), "li": frozenset(["li"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "tr": frozenset(["tr"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "option": frozenset(["option"])}
-PIECE = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|</?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
+PIECE = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|</?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"</?([a-z][^\s/>]*)", re.I)
 WORD = re.compile(r"[a-z0-9]+")
+#: A name that begins so says what stands beside, as in "with-sidebar".
+BESIDE = frozenset("with without has no not non".split())
+#: Where a tag that is cut off by the page's end begins.
+CUT_OFF = re.compile(r"<[a-z/!?]", re.I)
 
 
 @dataclass
@@ -69,6 +77,7 @@ class Node:
     name: str
     words: str = ""
     dropped: bool = False
+    marked: bool = False
     inside: str = ""
     place: int = 0
     nodes: list = field(default_factory=list)
@@ -76,7 +85,10 @@ class Node:
 
 def marked(tag: str) -> bool:
     """Whether class, id or role name a part that is no article."""
-    return any(not MARKS.isdisjoint(WORD.findall((a or b or c).lower())) for a, b, c in ATTRIBUTE.findall(tag)) if "=" in tag else False
+    if "=" not in tag:
+        return False
+    names = (WORD.findall(name) for a, b, c in ATTRIBUTE.findall(tag) for name in (a or b or c).lower().split())
+    return any(words and words[0] not in BESIDE and not MARKS.isdisjoint(words) for words in names)
 
 
 def parse(page: str) -> Node:
@@ -89,7 +101,7 @@ def parse(page: str) -> Node:
         text.clear()
         if words:
             top = stack[-1]
-            top.nodes.append(Node("#", words, top.dropped, top.inside, top.place))
+            top.nodes.append(Node("#", words, top.dropped, top.marked, top.inside, top.place))
 
     for m in PIECE.finditer(page):
         if m.start() > at:
@@ -115,10 +127,11 @@ def parse(page: str) -> Node:
             continue
         parent = stack[min(len(stack), DEEPEST) - 1]
         inside = name if name in ("article", "main") and top.inside != "article" else top.inside
-        node = Node(name, "", top.dropped or name in NO_ARTICLE or (name not in ("html", "body", "article", "main") and marked(tag)), inside, xxhash.xxh64_intdigest(name, parent.place))
+        node = Node(name, "", top.dropped or name in NO_ARTICLE, top.marked or (name not in ("html", "body", "article", "main") and marked(tag)), inside, xxhash.xxh64_intdigest(name, parent.place))
         parent.nodes.append(node)
         stack.append(node)
-    text.append(page[at:] if "<" not in page[at:] else page[at : page.index("<", at)])
+    cut_off = CUT_OFF.search(page, at)
+    text.append(page[at : cut_off.start()] if cut_off else page[at:])
     flush()
     return root
 
@@ -285,7 +298,7 @@ def skeleton(node: Node) -> list:
     """A tree of names with hashes in place of words; blocks inside dropped elements are left out."""
     if node.name == "#":
         return ["#", block_of(node)]
-    return [node.name, *(skeleton(n) for n in node.nodes if not n.dropped)]
+    return [node.name, *(skeleton(n) for n in node.nodes if not n.dropped and not n.marked)]
 
 
 def from_skeleton(value: list) -> Node:
@@ -293,40 +306,66 @@ def from_skeleton(value: list) -> Node:
     return Node("#", value[1]) if value[0] == "#" else Node(value[0], nodes=[from_skeleton(v) for v in value[1:]])
 
 
+def layout_of(value: list) -> int:
+    """Hash of a skeleton's layout: which elements stand in which, on the first levels."""
+    found, todo = set(), [(value, ())]
+    while todo:
+        node, above = todo.pop()
+        here = (*above, node[0])
+        found.add("/".join(here))
+        if len(here) < LAYOUT_LEVELS:
+            todo += [(n, here) for n in node[1:] if n[0] != "#"]
+    return xxhash.xxh64_intdigest("\n".join(sorted(found))) >> 1
+
+
 def skeletons(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """key, host and skeleton (JSON) of every page with a host."""
+    """key, host, skeleton (JSON) and layout of every page with a host."""
     import json
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep()
         for batch in slices(batches, "html"):
-            trees = pa.array([json.dumps(skeleton(parse(h)), separators=(",", ":")) for h in batch.column("html").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), trees], names=["key", "host", "tree"])
+            found = [skeleton(parse(h)) for h in batch.column("html").to_pylist()]
+            trees = pa.array([json.dumps(f, separators=(",", ":")) for f in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), trees, pa.array([layout_of(f) for f in found], pa.int64())], names=["key", "host", "tree", "layout"])
 
     rows = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("host <> '' and html is not null")
-    return rows.mapInArrow(run, T.StructType([T.StructField("key", pages.schema[key].dataType), T.StructField("host", T.StringType()), T.StructField("tree", T.StringType())]))
+    return rows.mapInArrow(run, T.StructType([T.StructField("key", pages.schema[key].dataType), T.StructField("host", T.StringType()), T.StructField("tree", T.StringType()), T.StructField("layout", T.LongType())]))
+
+
+def deep() -> None:
+    """Let trees of DEEPEST levels be walked: some calls a level."""
+    import sys
+
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
 
 
 def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_PAGES, share: float = CONSTANT_SHARE) -> DataFrame:
-    """host and block (see block_of): the blocks that are constant over the host's different pages."""
+    """host and block (see block_of): the blocks that are constant over the host's different pages, or over those of one of its layouts."""
     import json
 
-    trees = cut(skeletons(pages, key, url, html).groupBy("host", "tree").agg(F.min("key").alias("key")), "skeletons")
-    references = trees.groupBy("host").agg(F.min(F.struct("key", "tree")).alias("r"), F.count("*").alias("n")).where(F.col("n") >= least).select("host", "n", F.col("r.tree").alias("reference"))
+    trees = cut(skeletons(pages, key, url, html).groupBy("host", "layout", "tree").agg(F.min("key").alias("key")), "skeletons")
+    several = trees.groupBy("host").agg(F.min("layout").alias("one"), F.max("layout").alias("other")).where("one <> other").select("host")
+    whole = F.lit(-1).cast("long").alias("layout")
+    trees = trees.select("host", whole, "tree", "key").union(trees.join(several, "host", "left_semi").select("host", "layout", "tree", "key"))
+    references = cut(trees.groupBy("host", "layout").agg(F.min(F.struct("key", "tree")).alias("r"), F.count("*").alias("n")).where(F.col("n") >= least).select("host", "layout", "n", F.col("r.tree").alias("reference")), "references")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep()
         for batch in batches:
-            hosts, blocks = [], []
-            for host, tree, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "reference"))):
+            hosts, layouts, blocks = [], [], []
+            for host, layout, tree, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "tree", "reference"))):
                 one = json.loads(reference)
                 pairs = aligned(from_skeleton(one), from_skeleton(one if tree == reference else json.loads(tree)))
                 same = {a.words for a, b in pairs if a.name == "#" and a.words == b.words}
                 hosts += [host] * len(same)
+                layouts += [layout] * len(same)
                 blocks += same
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(blocks, pa.int64())], names=["host", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(layouts, pa.int64()), pa.array(blocks, pa.int64())], names=["host", "layout", "block"])
 
-    same = trees.join(references.drop("n"), "host").select("host", "tree", "reference").mapInArrow(run, "host string, block long")
-    counts = same.groupBy("host", "block").agg(F.count("*").alias("same"))
-    return counts.join(references.select("host", "n"), "host").where(F.col("same") >= F.col("n") * share).select("host", "block")
+    same = trees.join(references.drop("n"), ["host", "layout"]).select("host", "layout", "tree", "reference").mapInArrow(run, "host string, layout long, block long")
+    counts = same.groupBy("host", "layout", "block").agg(F.count("*").alias("same"))
+    return counts.join(references.select("host", "layout", "n"), ["host", "layout"]).where(F.col("same") >= F.col("n") * share).select("host", "block").distinct()
 
 
 def main_text(page: str, template: frozenset | set = frozenset()) -> str:
@@ -342,6 +381,8 @@ def main_text(page: str, template: frozenset | set = frozenset()) -> str:
                 walk(n)
 
     walk(parse(page))
+    # marks decide only where something else is left
+    found = [n for n in found if not n.marked] or found
     for part in ("article", "main", ""):
         blocks = [n for n in found if n.inside == part] if part else found
         if blocks:
@@ -365,6 +406,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     shared = pages.sparkSession.sparkContext.broadcast(by_host)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep()
         of = shared.value
         for batch in slices(batches, "html"):
             own = [of.get(h, ()) for h in batch.column("host").to_pylist()] if sent else [set(b or ()) for b in batch.column("blocks").to_pylist()]

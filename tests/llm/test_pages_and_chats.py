@@ -165,3 +165,27 @@ def test_queries_give_their_columns(spark):
     chats = catalog.op9_chat_format(spark, "/root/testdata/sf0.001")
     own = chats.where("conv_id = -7").first()
     assert own["n_turns"] == 2 and own["loss_sha256"] == hashlib.sha256(catalog.ADDED_TEXT.encode()).hexdigest()
+
+
+def test_tags_that_only_look_like_others():
+    text = html_extract.main_text
+    assert text("<article><p>one</p><title-bar>x</title-bar><p>two</p></article>") == "one x two"
+    assert text('<div class="content with-sidebar"><p>the whole article') == "the whole article"
+    assert text("<article><p>if 1 < 2 then the rest") == "if 1 < 2 then the rest"
+    assert text('<article><p>a < b</p><p>kept</p><p class="cut o') == "a < b kept"
+    assert text('<div class="site-sidebar"><p>only this</p></div>') == "only this"
+    assert text('<div class="site-sidebar"><p>aside</p></div><p>text</p>') == "text"
+    assert text("<div>" * 3000 + "deep &amp; down" + "</div>" * 3000 + "<p>" + "long " * 200_000) == "deep & down " + ("long " * 200_000).strip()
+
+
+def test_two_layouts_of_one_host(spark):
+    """Each layout has constant blocks of its own, which are in too few of the host's pages to be constant there."""
+    rows = []
+    for i in range(12):
+        own = f"<p>story {i} told {chr(97 + i)} at length</p>"
+        if i % 2:
+            rows.append((i, "http://h.example/a", f"<body><article><h2>Read this first</h2>{own}<p>Shared by all of us</p></article></body>"))
+        else:
+            rows.append((i, "http://h.example/b", f"<body><div><section><p>Quoted from the archive</p><blockquote>{own}</blockquote></section></div></body>"))
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"story {i} told {chr(97 + i)} at length" for i in range(12)}
