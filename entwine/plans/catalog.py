@@ -17,7 +17,7 @@ from entwine.functions import normalize as N
 from entwine.functions import similarity as S
 from entwine.functions.rounding import round_exact
 from entwine.operators import analysis, blocking, evaluation, experiments, intervals, matching, reconcile, sampling
-from entwine.plans import fuzzy_sql, roles, sql
+from entwine.plans import files, fuzzy_sql, roles, sql
 from entwine.plans.roles import table
 from entwine.sources import lookup, registry
 
@@ -390,9 +390,9 @@ _ALL = [
 
 def queries() -> dict:
     """Name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: f for f in _ALL} | files.QUERIES
 
 
 def oracle_sql() -> dict:
     """Name -> DuckDB SQL with the same rows."""
-    return sql.ORACLES | fuzzy_sql.ORACLES
+    return sql.ORACLES | fuzzy_sql.ORACLES | files.ORACLES

@@ -1,7 +1,7 @@
 """Lookups over HTTP with a persistent cache: institutions by id and hosted name search.
 
-The cache is a table that plans join; only ids that it lacks are fetched, one client a process, with a least
-interval between requests and retries. Tests give their own `fetch`.
+The cache is a table that plans join; only ids that it lacks are fetched, by one client in each of some tasks, with a least
+interval between requests and retries. A small cache file serves single lookups. Tests give their own `fetch`.
 """
 
 from __future__ import annotations
@@ -12,11 +12,15 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entwine.sources.shared import written
 from entwine.sources.tabular import write_json
 
 RETRIED = (429, 500, 502, 503, 504)
@@ -56,10 +60,10 @@ def hosted_result(item: dict) -> dict | None:
 class Cached:
     """A cache file of one kind of lookup. Entries of another version are forgotten; the file is replaced as a whole."""
 
-    def __init__(self, path: str, fetch=get, interval: float = 0.11, retries: int = 4, sleep=time.sleep):
+    def __init__(self, path: str | None, fetch=get, interval: float = 0.11, retries: int = 4, sleep=time.sleep):
         self.path, self.fetch, self.interval, self.retries, self.sleep = path, fetch, interval, retries, sleep
         self.last, self.entries = 0.0, {}
-        if os.path.exists(path):
+        if path and os.path.exists(path):
             with open(path, encoding="utf-8") as f:
                 kept = json.load(f)
             if isinstance(kept, dict) and kept.get("schema_version") == 1:
@@ -83,6 +87,49 @@ class Cached:
         raise AssertionError
 
 
+def fetched(wanted: DataFrame, key: str, client, ask, clients: int = 1, cache: str | None = None, refresh: bool = False) -> DataFrame:
+    """key and answer (JSON) of every distinct filled key of `wanted`, asked by `clients` tasks with a client each.
+
+    client() makes a client, ask(client, key) gives a dictionary. `cache` is a Parquet folder of earlier answers: only keys that
+    it lacks are asked for, and their answers are added to it; with `refresh` all are asked again, and the latest answer counts.
+    """
+    spark = wanted.sparkSession
+    keys = wanted.where(F.coalesce(key, F.lit("")) != "").select(key).distinct()
+    try:
+        known = spark.read.schema("key string, answer string, asked timestamp").parquet(cache) if cache else None
+    except AnalysisException:  # no cache yet
+        known = None
+    missing = keys if known is None or refresh else keys.join(known.select(F.col("key").alias(key)), key, "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = client()
+        for batch in batches:
+            asked = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(asked, pa.string()), pa.array([json.dumps(ask(own, k)) for k in asked], pa.string())], names=["key", "answer"])
+
+    answers = missing.repartition(clients, key).mapInArrow(run, "key string, answer string").withColumn("asked", F.current_timestamp())
+    if cache:
+        written(answers, "answers").write.mode("append").parquet(cache)
+        answers = spark.read.schema("key string, answer string, asked timestamp").parquet(cache)
+    else:
+        answers = written(answers, "answers")
+    latest = answers.groupBy("key").agg(F.max_by("answer", "asked").alias("answer"))
+    return latest.withColumnRenamed("key", key).join(keys, key, "left_semi")
+
+
+def institutions_of(wanted: DataFrame, fetch=get, clients: int = 1, cache: str | None = None, refresh: bool = False, interval: float = 0.11) -> DataFrame:
+    """Institutions of the distinct ids in `wanted` (ror_id), looked up by `clients` tasks; unknown ids have no row."""
+    found = fetched(wanted, "ror_id", lambda: Institutions(None, fetch, interval), lambda own, k: {"found": own.lookup(k)}, clients, cache, refresh)
+    record = INSTITUTION.removeprefix("ror_id string, ")
+    return found.select("ror_id", F.from_json("answer", f"found struct<{record}>")["found"].alias("r")).where("r is not null").select("ror_id", "r.*")
+
+
+def hosted_of(wanted: DataFrame, fetch=get, clients: int = 1, cache: str | None = None, refresh: bool = False, interval: float = 0.11) -> DataFrame:
+    """query, results and error of the distinct queries in `wanted` (query), searched by `clients` tasks."""
+    found = fetched(wanted, "query", lambda: HostedSearch(None, fetch, interval), lambda own, k: {"results": own.search(k), "error": own.lookup_error(k)}, clients, cache, refresh)
+    return found.select("query", F.from_json("answer", HOSTED.removeprefix("query string, ")).alias("r")).select("query", "r.results", "r.error")
+
+
 class Institutions(Cached):
     """Institutions by registry id; one that isn't there is remembered as such."""
 

@@ -8,14 +8,13 @@ are VARIANT. Tables: organizations (ror_id, name, country, country_code, city, s
 from __future__ import annotations
 
 import os
-import tempfile
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from entwine.functions.normalize import clean, normalize_name
+from entwine.sources import archive
 
 KINDS = ("ror_display", "label", "alias", "acronym")
 _DETAILS = "country_code:string,country_name:string,name:string"
@@ -25,37 +24,40 @@ RECORD = (
     f" locations array<struct<geonames_details:struct<{_DETAILS}>,{_DETAILS},city:string>>,"
     " addresses array<struct<city:string,country_name:string,country_code:string,country:struct<country_name:string,country_code:string>>>, country variant"
 )
+FIELDS = ["id", "ror_id", "name", "status", "types", "names", "aliases", "acronyms", "labels", "locations", "addresses", "country"]
 ENVELOPE = ("items", "records", "organizations", "data")
 NAME, PLACE = "struct<value:string,kind:string>", "struct<country:string,country_code:string,city:string>"
 
 
-def json_in_zip(path: str, suffix: str = ".json", root_first: bool = True) -> str:
-    """A member of a ZIP file as a file of its own: in the root if there is one, then the shortest name."""
-    with zipfile.ZipFile(path) as packed:
-        names = [n for n in packed.namelist() if n.lower().endswith(suffix) and not n.endswith("/")]
-        if not names:
-            raise ValueError(f"no {suffix} file in {path}")
-        name = min(names, key=lambda n: ("/" in n, len(n), n)) if root_first else names[0]
-        return packed.extract(name, tempfile.mkdtemp(prefix="entwine-"))
+def packed_records(archives: DataFrame) -> DataFrame:
+    """The records of ZIP files (path, content) with a JSON member each, as read_records gives them."""
+    lists = ", ".join(f"{k} array<struct<{RECORD}>>" for k in ENVELOPE)
+    rows = archive.texts(archives).select(F.explode(F.from_json("text", f"array<struct<{RECORD}, {lists}>>")).alias("r")).select("r.*")
+    return of_documents(rows)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of a JSON file (a list, or an object with a list under one of the envelope's names), with `position`."""
+    """One row for each record of JSON files (a list, or an object with a list under one of the envelope's names), with `position`. A ZIP gives its JSON member."""
     if path.lower().endswith(".zip"):
-        path = json_in_zip(path)
-    lists = ", ".join(f"{k} array<struct<{RECORD}>>" for k in ENVELOPE)
-    rows = spark.read.schema(f"{RECORD}, {lists}").json(path, multiLine=True)
-    fields = [f.name for f in rows.schema if f.name not in ENVELOPE]
-    own = F.struct(*fields)
+        found = packed_records(archive.files(spark, path))
+    else:
+        lists = ", ".join(f"{k} array<struct<{RECORD}>>" for k in ENVELOPE)
+        found = of_documents(spark.read.schema(f"{RECORD}, {lists}").json(path, multiLine=True))
+    head = found.select(F.col("nothing")).limit(2).collect()
+    if len(head) == 1 and head[0]["nothing"]:
+        raise ValueError(f"no list of records in {path}")
+    return found.drop("nothing")
+
+
+def of_documents(rows: DataFrame) -> DataFrame:
+    """position, nothing (whether a record has no field at all) and the fields of the records in rows of documents: each a record itself or an envelope of some."""
+    fields = FIELDS
     listed = F.coalesce(*(F.col(k) for k in ENVELOPE))
     nothing = listed.isNull()
     for f in fields:
         nothing &= F.col(f).isNull()
-    head = rows.select(nothing.alias("nothing")).limit(2).collect()
-    if len(head) == 1 and head[0]["nothing"]:
-        raise ValueError(f"no list of records in {path}")
-    each = rows.select(F.monotonically_increasing_id().alias("_row"), F.posexplode(F.coalesce(listed, F.array(own))).alias("_at", "_r"))
-    return each.select((F.col("_row") * (1 << 24) + F.col("_at")).alias("position"), "_r.*")
+    each = rows.select(nothing.alias("nothing"), F.monotonically_increasing_id().alias("_row"), F.posexplode(F.coalesce(listed, F.array(F.struct(*fields)))).alias("_at", "_r"))
+    return each.select((F.col("_row") * (1 << 24) + F.col("_at")).alias("position"), "nothing", "_r.*")
 
 
 def record_names(r: str = "") -> Column:
@@ -143,6 +145,11 @@ def active(orgs: DataFrame) -> DataFrame:
     return orgs.where(F.coalesce("status", F.lit("active")) == "active")
 
 
+def record(orgs: DataFrame, names: DataFrame, ror_id: str) -> DataFrame:
+    """The whole record of one id; no row if it is unknown."""
+    return records_for(orgs.where(F.col("ror_id") == ror_id), names, orgs.sparkSession.createDataFrame([(ror_id, 0)], "ror_id string, position int"))
+
+
 def records_for(orgs: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFrame:
     """Whole records of wanted ids (ror_id, position), with names by kind and value; unknown ids are left out."""
     listed = names.join(wanted.select("ror_id").distinct(), "ror_id", "left_semi").groupBy("ror_id").agg(F.array_sort(F.collect_list(F.struct("kind", "value", "norm"))).alias("names"))
