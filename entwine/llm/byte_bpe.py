@@ -6,7 +6,7 @@ whole. Decoding reverses the byte-to-character table: ids become bytes, and char
 come together again because bytes, not characters, are joined.
 
 Defined cases: a null text encodes as the empty text; an empty text has no ids; strings of special tokens in a text
-are ordinary text; rows are independent, so repeated rows and ties give repeated results; an input column that has
+are ordinary text; texts of any length are encoded whole; rows are independent, so repeated rows and ties give repeated results; an input column that has
 an output's name is replaced; an empty table gives an empty table. An id without bytes in the vocabulary raises
 ValueError on decoding.
 """

@@ -8,7 +8,7 @@ so no control string remains and unescaping gives back the exact text.
 Defined cases: a null role or text is empty; turns are in the order of turn (null first), then role, then text, so
 repeated rows give repeated turns; rows with a null conversation form one conversation; a conversation that the
 machine does not accept is still written, with valid = false; roles that the template does not know are written
-without loss; other columns of the input are not carried; an empty table gives an empty table. A conversation is one
+without loss; texts of any length are written whole; other columns of the input are not carried; an empty table gives an empty table. A conversation is one
 record, so its turns meet in one row; nothing wider is collected.
 """
 

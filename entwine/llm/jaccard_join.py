@@ -15,7 +15,7 @@ its nodes are checked against each other in one task, without a row for each pai
 
 Defined cases: A-Z count as a-z; with fewer words than n the whole sequence is the one shingle; null or empty text has an
 empty set, links with nothing and is a component of its own; equal sets always link; rows of equal keys are rows
-of their own; a component's id is its smallest key, null keys only if there are no others; only key and text are read, so
+of their own; texts of any length are taken whole; ties between pivots go to the smaller or larger hash, which changes no link; a component's id is its smallest key, null keys only if there are no others; only key and text are read, so
 other columns cannot clash; an empty table gives an empty table.
 """
 

@@ -14,7 +14,7 @@ Files are Parquet with a row for each shard: part, shard, keys and counts of its
 shards are in ascending order of the keys.
 
 Defined cases: null text is empty and gives the end id alone; ids must be below 65,536; rows of equal keys stand in the order
-of their texts, null keys first; only key and text are read, so other columns cannot clash; an empty table
+of their texts, null keys first; texts of any length are encoded whole, and a shard may be one text; only key and text are read, so other columns cannot clash; an empty table
 gives an empty file; a block that was cut or altered raises ValueError.
 """
 

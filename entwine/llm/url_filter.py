@@ -8,7 +8,7 @@ get if all of them were blocked. PageRank runs until all mass that is still unde
 about a host of one page, so only a verdict that is closer than that to its limit could differ.
 
 Defined cases: a null URL or one without "://" has empty host and path and fits no rule; null html has no links;
-links inside a host count nothing; repeated rows count as pages and give repeated results; ties between rules of
+links inside a host count nothing; URLs and html of any length are read whole; repeated rows count as pages and give repeated results; ties between rules of
 equal length go to the first listed; without links only a host's own rules count; an empty table gives an empty
 table; of the input only the key, the URL and the html are read, so other columns cannot clash. Hosts with very many
 pages are aggregated to one row before any join, and the last join is one that adaptive execution can split.

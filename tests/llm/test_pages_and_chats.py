@@ -189,3 +189,43 @@ def test_two_layouts_of_one_host(spark):
             rows.append((i, "http://h.example/b", f"<body><div><section><p>Quoted from the archive</p><blockquote>{own}</blockquote></section></div></body>"))
     found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found == {i: f"story {i} told {chr(97 + i)} at length" for i in range(12)}
+
+
+def ranks_of(links, seeds, damping=0.85):
+    """Personalised PageRank by its definition, until nothing moves; mass of hosts without links out is not handed on."""
+    out, base = {}, {h: w * (1 - damping) for h, w in seeds.items() if w > 0}
+    for src, dst in links:
+        out.setdefault(src, []).append(dst)
+    mass = dict(base)
+    for _ in range(400):
+        new = dict(base)
+        for src, m in mass.items():
+            for dst in out.get(src, []):
+                new[dst] = new.get(dst, 0.0) + damping * m / len(out[src])
+        mass = new
+    return mass
+
+
+def test_verdicts_match_brute_force_ranks(spark, monkeypatch):
+    """A random graph of hosts, with links without a scheme, inside hosts and to unknown hosts: mass moves both ways and decides."""
+    monkeypatch.setattr(url_filter, "TOLERANCE", 0.5)  # fewer rounds; hosts that are closer to their limit are left out below
+    rng = random.Random(21)
+    hosts = [f"h{i}.example" for i in range(30)] + ["bad.net", "worse.net", "good.fr.org", "fine.org"]
+    rows, links, pages = [], [], {}
+    for i in range(160):
+        host = rng.choice(hosts)
+        to = [rng.choice([*hosts, host, "nowhere.example"]) for _ in range(rng.choice([0, 1, 2, 5]))]
+        rows.append((i, f"https://{host}/fr/{i}", "<p>" + " ".join(f'<a href="{rng.choice(["", "http:", "HTTPS:"])}//{t}/x">x</a>' for t in to)))
+        links += [(host, t) for t in to if t != host]
+        pages[host] = pages.get(host, 0) + 1
+    blocked = {h: n for h, n in pages.items() if h.endswith(".net")}
+    allowed = {h: n for h, n in pages.items() if h.endswith(".org")}
+    trust, distrust = ranks_of(links, allowed), ranks_of([(b, a) for a, b in links], blocked)
+    limit = {h: max(trust.get(h, 0), pages[h] * 0.5 * 0.15) for h in pages}
+    close = {h for h in pages if abs(distrust.get(h, 0) - limit[h]) < 0.08}
+    bad = {h for h in pages if distrust.get(h, 0) > limit[h]}
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    host_of = {i: u.split("/")[2] for i, u, _ in rows}
+    expected = {i: "block" if h.endswith(".net") else "allow" if h.endswith(".org") else "block" if h in bad else "allow" for i, h in host_of.items()}
+    assert {i: v for i, v in found.items() if host_of[i] not in close} == {i: v for i, v in expected.items() if host_of[i] not in close}
+    assert {h for h in bad - close if h.endswith(".example")} and {h for h in pages if h.endswith(".example")} - bad - close
