@@ -23,6 +23,8 @@ LEAST_IDF = 1e-6
 SEARCH_TOKENS, TRIGRAMS = 8, 64
 #: Scores are rounded so that ties don't depend on the order in which a machine adds.
 DIGITS = 9
+#: Pairs of a query and a name that one phrase makes in one task; the names of phrases with more are dealt to salts.
+MOST_PAIRS = 4_000_000
 #: Rows that are looked at for each row that is returned.
 WIDEN = 5
 
@@ -72,13 +74,16 @@ def equal_hits(phrases: DataFrame, postings: DataFrame) -> DataFrame:
 def bm25(phrases: DataFrame, hits: DataFrame, lengths: DataFrame) -> DataFrame:
     """query_id, name_id, score; the smaller, the better. lengths: name_id, dl for every name row."""
     corpus = lengths.agg(F.count("*").alias("rows"), F.avg("dl").alias("mean"))
-    frequency = hits.groupBy("phrase").agg(F.count("*").alias("n"))
+    asked = phrases.groupBy("phrase").agg(F.count("*").alias("asked"))
+    frequency = hits.groupBy("phrase").agg(F.count("*").alias("n")).join(asked, "phrase")
     idf = F.ln((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weights = frequency.crossJoin(F.broadcast(corpus)).select("phrase", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"), "mean")
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("asked") / MOST_PAIRS)).cast("int")
+    weights = frequency.crossJoin(F.broadcast(corpus)).select("phrase", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"), "mean", salts.alias("salts"))
     length = F.when(F.col("mean") > 0, F.col("dl") / F.col("mean")).otherwise(0.0)
     part = F.col("idf") * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * length))
-    parts = hits.join(weights, "phrase").join(lengths, "name_id").select("phrase", "name_id", part.alias("part"))
-    return phrases.join(parts, "phrase").groupBy("query_id", "name_id").agg((-F.round(F.sum(F.col("part") * F.col("times")), DIGITS)).alias("score"))
+    parts = hits.join(weights, "phrase").join(lengths, "name_id").select("phrase", F.pmod(F.xxhash64("name_id"), "salts").cast("int").alias("salt"), "name_id", part.alias("part"))
+    spread = phrases.join(weights.select("phrase", "salts"), "phrase").select("query_id", "phrase", "times", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return spread.join(parts, ["phrase", "salt"]).groupBy("query_id", "name_id").agg((-F.round(F.sum(F.col("part") * F.col("times")), DIGITS)).alias("score"))
 
 
 def shortlist(scores: DataFrame, names: DataFrame, orgs: DataFrame, limit: int, only_active: bool) -> DataFrame:

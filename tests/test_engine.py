@@ -281,3 +281,12 @@ def test_parse_requests(spark):
     bad = {"nope": openrefine.NOT_QUERIES, "[1]": openrefine.NOT_QUERIES, None: openrefine.NOT_QUERIES, '{"a":3}': openrefine.NOT_A_QUERY, '{"a":{"query":"x","properties":"no"}}': openrefine.NOT_PROPERTIES}
     rows = openrefine.parse_requests(spark.createDataFrame(list(enumerate(bad)), "request int, body string")).collect()
     assert {r["request"]: r["error"] for r in rows} == dict(enumerate(bad.values()))
+
+
+def test_hot_phrases_are_salted(spark, monkeypatch):
+    """A token that all names and queries have: the same scores with one salt and with many, and no task with most of the pairs."""
+    names = spark.createDataFrame([(i, f"n{i}", f"Common word{i % 50}", f"common word{i % 50}", "label") for i in range(600)], "name_id long, ror_id string, value string, norm string, kind string")
+    queries = spark.createDataFrame([(f"q{i}", f"common word{i}") for i in range(60)], "query_id string, norm string")
+    one = sorted(map(tuple, blocking.word_scores(queries, names).collect()))
+    monkeypatch.setattr(blocking, "MOST_PAIRS", 1000)
+    assert sorted(map(tuple, blocking.word_scores(queries, names).collect())) == one and len(one) == 600 * 60
