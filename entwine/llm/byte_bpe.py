@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
-Each match of the split pattern is encoded separately. Texts of plain Latin letters are split here and every distinct
-match is given to the library once, its ids being kept in a bounded cache; any other text is given to the library
-whole. Decoding reverses the byte-to-character table: ids become bytes, and characters that two or more ids split
+Each match of the split pattern is encoded separately. Texts of plain Latin letters are split here, over the bytes of whole Arrow
+batches, and every distinct match is given to the library once, its ids being kept in a bounded cache by the match's own bytes; any
+other text is given to the library whole. Decoding reverses the byte-to-character table: ids become bytes, and characters that two or more ids split
 come together again because bytes, not characters, are joined.
 
 Defined cases: a null text encodes as the empty text; an empty text has no ids; strings of special tokens in a text
@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from entwine.llm.common import SLICE_BYTES, release, slices, with_arrays, with_fields
+from entwine.llm.words import FIRST_BYTES, eights, mix, text_bytes
 
-#: Distinct matches whose ids a worker keeps; at this number the cache starts anew.
-CACHE = 300_000
+#: Distinct matches whose ids a worker keeps, for later tasks too; at this number the cache starts anew.
+CACHE = 1_200_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -62,16 +63,105 @@ def place(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Numbers(dict):
-    """Numbers given out in order; keys not seen before are also listed in `new`."""
-
-    def __init__(self):
-        self.new: list[str] = []
+#: Classes of bytes: white space, letters (those of two-byte characters too), digits, signs; and bytes that only other texts have.
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[0x21:0x7F] = SIGN
+CLASS[[9, 10, 13, 32]] = SPACE
+CLASS[ord("0") : ord("9") + 1] = DIGIT
+CLASS[ord("A") : ord("Z") + 1] = CLASS[ord("a") : ord("z") + 1] = LETTER
+CLASS[0x80:0xC0] = CLASS[0xC3:0xC9] = LETTER  # U+00C0 to U+023F
+#: A match of a blank and letters, and how many are given to the library in one text.
+PLAIN_WORD, TOGETHER = re.compile(rb" [A-Za-z\x80-\xff]+").fullmatch, 1000
+APOSTROPHE, BLANK = ord("'"), ord(" ")
+
+
+def usual_rows(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Which rows hold nothing but characters on whose classes all engines agree."""
+    odd = kind == OTHER
+    # the signs among the letters of that range
+    odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    usual = np.ones(len(offsets) - 1, bool)
+    usual[np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1] = False
+    return usual
+
+
+def match_starts(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the matches of the split pattern begin, in rows that are usual.
+
+    A run of one class is a match, together with a blank before it. Of white space before anything else the last character is
+    left out of the match, and is one of its own unless it is that blank. An apostrophe alone, with s, t, m, d, re, ve or ll
+    after it, is a match with these letters.
+    """
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    edge = first[:-1]
+    changed = np.ones(n, bool)
+    changed[1:] = kind[1:] != kind[:-1]
+    changed |= edge
+    blank = np.zeros(n, bool)  # the character before, in the same row, is a blank
+    blank[1:] = data[:-1] == BLANK
+    blank &= ~edge
+    space = kind == SPACE
+    last = np.zeros(n, bool)  # followed by something else in the same row
+    last[:-1] = ~space[1:]
+    last[:-1] &= ~first[1:-1]
+    start = (changed & (space | ~blank)) | (space & last)
+    at = np.flatnonzero((data == APOSTROPHE) & changed & ~blank)
+    if len(at):
+        inside = np.append(data, np.zeros(3, np.uint8))
+        stop = np.append(first, np.ones(2, bool))  # whether a row ends there
+        one, two = inside[at + 1], inside[at + 2]
+        one = np.where(stop[at + 1], 0, one)
+        two = np.where((one == 0) | stop[at + 2], 0, two)
+        is_ = lambda values, letters: np.isin(values, np.frombuffer(letters.encode(), np.uint8))
+        short = is_(one, "stmd")
+        long = (is_(one, "rv") & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        start[at[short | long] + 1] = False
+        for ends in (at[short] + 2, at[long] + 3):
+            start[ends[ends < n]] = True
+    return np.flatnonzero(start)
+
+
+def name_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of a match's bytes."""
+    return mix(low + mix(high + np.uint64(0x9E3779B97F4A7C15)))
+
+
+class Known:
+    """Matches of up to 16 bytes by their bytes, as two integers, in a table with open addressing."""
+
+    def __init__(self, bits: int = 21):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.low, self.high = np.zeros((2, 1 << bits), np.uint64)
+        self.number = np.zeros(1 << bits, np.int32)
+
+    def place(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (name_of(low, high) & self.mask).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of each match, -1 of those that aren't in the table."""
+        out, rows, at = np.full(len(low), -1, np.int64), np.arange(len(low)), self.place(low, high)
+        while len(rows):
+            there = self.low[at]
+            same = (there == low[rows]) & (self.high[at] == high[rows])
+            out[rows[same]] = self.number[at[same]]
+            on = ~same & (there != 0)  # no match is without bytes, so 0 is an empty place
+            rows, at = rows[on], (at[on] + 1) & np.int64(self.mask)
+        return out
 
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        self.new.append(key)
-        return number
+    def add(self, low: np.ndarray, high: np.ndarray, numbers: np.ndarray) -> None:
+        """Put different new matches in."""
+        rows, at = np.arange(len(low)), self.place(low, high)
+        while len(rows):
+            free = np.flatnonzero(self.low[at] == 0)
+            _, one = np.unique(at[free], return_index=True)  # of those that want one place, the first has it
+            free = free[one]
+            self.low[at[free]], self.high[at[free]], self.number[at[free]] = low[rows[free]], high[rows[free]], numbers[rows[free]]
+            on = np.ones(len(rows), bool)
+            on[free] = False
+            rows, at = rows[on], (at[on] + 1) & np.int64(self.mask)
 
 
 class Codec:
@@ -100,38 +190,106 @@ class Codec:
             self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.bytes_of = {r: t for t, r in ranks.items()}
         self.tokenizer.encode_special_tokens = True
-        # the split pattern over letters, digits, signs and white space on whose classes all engines agree; other texts go whole
-        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
-        self.unusual = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search
+        ends = sorted(self.bytes_of)
+        sizes = np.zeros((ends[-1] if ends else 0) + 2, np.int64)
+        for i in ends:
+            sizes[i + 1] = len(self.bytes_of[i])
+        self.byte_ends = np.cumsum(sizes)
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of[i] for i in ends), np.uint8)
         self.forget()
 
     def forget(self) -> None:
-        """Start the cache anew: number of each match, then the ids by number."""
-        self.numbers = Numbers()
+        """Start the cache anew: the number of each match, then the ids by number."""
+        self.known, self.long = Known(), {}
         self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, "<u4")
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit integers."""
-        if len(self.numbers) > CACHE:
+    def learn(self, matches: list[bytes]) -> np.ndarray:
+        """Numbers of new matches.
+
+        Matches of a blank and letters are given to the library many at a time, as one text, which it splits before every blank.
+        """
+        plain = np.fromiter((PLAIN_WORD(m) is not None for m in matches), bool, len(matches))
+        words, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        runs = [[matches[i] for i in words[k : k + TOGETHER].tolist()] for k in range(0, len(words), TOGETHER)]
+        sizes, flat = [self.starts[-1:]], [self.flat]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([b"".join(run).decode() for run in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum(self.byte_ends[ids.astype(np.int64) + 1] - self.byte_ends[ids])
+            wanted = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)))
+            edges = np.searchsorted(ends, wanted) + 1
+            if ends[-1] != wanted[-1] or (ends[edges - 1] != wanted).any():
+                raise ValueError("a run of words was split at other places")
+            sizes.append(np.diff(edges, prepend=0))
+            flat.append(ids)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([matches[i].decode() for i in others.tolist()], add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        flat.append(np.fromiter(itertools.chain.from_iterable(found), "<u4"))
+        numbers = np.zeros(len(matches), np.int64)
+        numbers[np.concatenate([words, others])] = np.arange(len(matches)) + len(self.starts) - 1
+        self.starts = np.concatenate([self.starts[:-1], np.cumsum(np.concatenate(sizes))])
+        self.flat = np.concatenate(flat)
+        return numbers
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of every match; new ones are given to the library once."""
+        view, size = eights(np.append(data, np.zeros(8, np.uint8))), ends - starts
+        low = view[starts] & FIRST_BYTES[np.minimum(size, 8)]
+        high = view[starts + 8] & FIRST_BYTES[np.clip(size - 8, 0, 8)] if len(starts) else low
+        out = np.full(len(starts), -1, np.int64)
+        short = np.flatnonzero(size <= 16)
+        out[short] = self.known.find(low[short], high[short])
+        new = short[out[short] < 0]
+        if len(new):
+            _, first, which = np.unique(name_of(low[new], high[new]), return_index=True, return_inverse=True)
+            sample = new[first]
+            same = (low[sample][which] == low[new]) & (high[sample][which] == high[new])
+            if not same.all():  # two matches of one hash
+                sample, which = np.concatenate([sample, new[~same]]), np.where(same, which, len(sample) + np.cumsum(~same) - 1)
+            whole = data.tobytes()
+            made = self.learn([whole[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())])
+            self.known.add(low[sample], high[sample], made)
+            out[new] = made[which]
+        rest = np.flatnonzero(size > 16)
+        texts = [data[starts[i] : ends[i]].tobytes() for i in rest]
+        unknown = [t for t in dict.fromkeys(texts) if t not in self.long]
+        if unknown:
+            self.long |= dict(zip(unknown, self.learn(unknown).tolist()))
+        out[rest] = [self.long[t] for t in texts]
+        return out
+
+    def ids(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit integers; null is empty."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if len(self.starts) > CACHE:
             self.forget()
-        out: list = [None] * len(texts)
-        rare = [i for i, t in enumerate(texts) if self.unusual(t)]
-        for i, e in zip(rare, self.tokenizer.encode_batch_fast([texts[i] for i in rare], add_special_tokens=False)):
+        data, offsets = text_bytes(column)
+        kind = CLASS[data]
+        usual = usual_rows(data, offsets, kind)
+        starts = match_starts(data, offsets, kind)
+        ends = np.append(starts[1:], len(data))
+        row = np.searchsorted(offsets, starts, side="right") - 1
+        keep = usual[row]
+        starts, ends, row = starts[keep], ends[keep], row[keep]
+        n = self.numbers(data, starts, ends)
+        first, size = self.starts[n], self.starts[n + 1] - self.starts[n]
+        before = np.cumsum(size) - size
+        flat = self.flat[np.repeat(first - before, size) + np.arange(size.sum())]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(row, size, len(column)).astype(np.int64))])
+        out = [flat[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+        rare = np.flatnonzero(~usual).tolist()
+        for i, e in zip(rare, self.tokenizer.encode_batch_fast([column[i].as_py() for i in rare], add_special_tokens=False)):
             out[i] = np.array(e.ids, "<u4")
-        plain = [i for i, x in enumerate(out) if x is None]
-        used = [np.fromiter(map(self.numbers.__getitem__, self.split(texts[i])), np.int64) for i in plain]
-        if self.numbers.new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.numbers.new, add_special_tokens=False)]
-            self.numbers.new = []
-            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + self.starts[-1]
-            self.starts = np.concatenate([self.starts, ends])
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), "<u4")])
-        for i, n in zip(plain, used):
-            first, size = self.starts[n], self.starts[n + 1] - self.starts[n]
-            before = np.cumsum(size) - size
-            out[i] = self.flat[np.repeat(first - before, size) + np.arange(size.sum())]
         return out
 
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids, one after the other, and where each id's begin (one entry more at the end)."""
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.byte_ends) - 1 or (len(self.bytes_of) < len(self.byte_ends) - 1 and not np.isin(ids, list(self.bytes_of)).all())):
+            raise ValueError("an id is not in the vocabulary")
+        begin, size = self.byte_ends[ids], self.byte_ends[ids + 1] - self.byte_ends[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.all_bytes[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])], ends
+
     def decode(self, ids) -> bytes:
         """The bytes of the ids."""
         try:
@@ -156,8 +314,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], vocab: str, text: str = "t
     """Batches with the column `out` of ids."""
     own = codec(vocab)
     for batch in slices(batches, text, SLICE_BYTES // 2):
-        yield with_arrays(batch, {out: lists(own.ids([t or "" for t in batch.column(text).to_pylist()]))})
-    own.forget()
+        yield with_arrays(batch, {out: lists(own.ids(batch.column(text)))})
     release()
 
 
@@ -167,7 +324,9 @@ def decode_batches(batches: Iterator[pa.RecordBatch], vocab: str, ids: str = "id
     for batch in batches:
         flat = batch.column(ids)
         values, ends = flat.values.to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
-        yield with_arrays(batch, {out: pa.array([own.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.binary())})
+        made, begin = own.decode_all(values[ends[0] : ends[-1]])
+        places = begin[ends - ends[0]].astype(np.int32)
+        yield with_arrays(batch, {out: pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(places), pa.py_buffer(made)])})
 
 
 def encode(df: DataFrame, vocab: str, text: str = "text", out: str = "ids") -> DataFrame:

@@ -265,7 +265,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, key: str = "doc_i
             )
 
         for batch in slices(batches, "text"):
-            own_ids = own.ids([t or "" for t in batch.column("text").to_pylist()])
+            own_ids = own.ids(batch.column("text"))
             keys.append(batch.column("key"))
             found += own_ids
             size += sum(len(ids) + 1 for ids in own_ids)
@@ -275,7 +275,6 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, key: str = "doc_i
                 keys, found, size, number = [], [], 0, number + 1
         if found:
             yield shard()
-        own.forget()
 
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(parts, F.col("key").asc_nulls_first())

@@ -16,7 +16,7 @@ NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bits of the first k of eight bytes.
-_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 #: Words are read in steps of eight bytes; longer ones than this are hashed one by one.
 LONG_WORD = 128
 
@@ -51,7 +51,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     out = size.astype(np.uint64)
     rows, at, left = np.flatnonzero(size <= LONG_WORD), 0, size
     while len(rows):
-        chunk = view[starts[rows] + at] & _FIRST[np.minimum(left[rows] - at, 8)]
+        chunk = view[starts[rows] + at] & FIRST_BYTES[np.minimum(left[rows] - at, 8)]
         out[rows] = mix((out[rows] + np.uint64(0x9E3779B97F4A7C15)) ^ mix(chunk + np.uint64(0xD1B54A32D192ED03)))
         at += 8
         rows = rows[left[rows] > at]
