@@ -27,7 +27,7 @@ def documents(spark, sf_dir):
         F.array(F.struct(F.struct(lang.alias("country_code"), F.lit(" ").alias("country_name"), city.alias("name")).alias("geonames_details")), F.struct(F.struct(lang.alias("country_code"), F.lit("").alias("country_name"), city.alias("name")).alias("geonames_details"))).alias("locations"),
     ))
     old = F.to_json(F.struct(
-        F.concat(F.lit("page-"), "page_id").alias("ror_id"), title.alias("name"), "status", F.array(host, F.lit("")).alias("aliases"), F.array(F.upper(F.substring("title", 1, 3))).alias("acronyms"), F.array(F.struct(title.alias("label"), F.lit("en").alias("iso639"))).alias("labels"),
+        F.concat(F.lit("page-"), "page_id").alias("ror_id"), title.alias("name"), "status", F.array(host, F.lit("")).alias("aliases"), F.array(F.substring("title", 1, 3)).alias("acronyms"), F.array(F.struct(title.alias("label"), F.lit("en").alias("iso639"))).alias("labels"),
         F.when(F.col("page_id") % 4 == 1, F.array(F.struct(city.alias("city"), F.struct(lang.alias("country_code")).alias("country")))).alias("addresses"), F.struct(lang.alias("country_code"), F.lit("Land").alias("country_name")).alias("country"),
     ))
     each = p.select(F.floor(F.col("page_id") / 40).alias("number"), F.struct("page_id", F.when(F.col("page_id") % 2 == 0, new).otherwise(old).alias("r")).alias("r"))
@@ -195,7 +195,7 @@ ORACLES = {
     "a2_zipped": ORGANIZATIONS,
     "a4_organizations": ORGANIZATIONS,
     "a8_names": f"""WITH {sql.PARTS}, every AS (SELECT page_id, host AS value, 'alias' AS kind FROM parts UNION ALL SELECT page_id, title, 'ror_display' FROM parts WHERE page_id % 2 = 0 UNION ALL SELECT page_id, title, 'name' FROM parts WHERE page_id % 2 = 1
-  UNION ALL SELECT page_id, upper(substr(title, 1, 3)), 'acronym' FROM parts WHERE page_id % 2 = 1 UNION ALL SELECT page_id, title, 'label' FROM parts WHERE page_id % 2 = 1)
+  UNION ALL SELECT page_id, substr(title, 1, 3), 'acronym' FROM parts WHERE page_id % 2 = 1 UNION ALL SELECT page_id, title, 'label' FROM parts WHERE page_id % 2 = 1)
  SELECT 'page-' || page_id AS ror_id, trim(value) AS value, {sql.name('value')} AS norm, kind FROM every WHERE {sql.name('value')} <> ''""",
     "a12_participants": f"""WITH {PEOPLE} SELECT org AS "organisationID", 'He said "' || name || '"; so it is' AS name, country, project AS "projectID", format('{{:,.2f}}', amount) AS "ecContribution", '' AS city, CAST(row_idx AS VARCHAR) AS "order", 'city,country,ecContribution,name,order,organisationID,projectID,row_idx' AS columns FROM participants""",
     "a13_zipped_participants": f"""WITH {PEOPLE} SELECT CAST(row_idx AS VARCHAR) AS "order", org AS "organisationID", 'He said "' || name || '"; so it is' AS name, CASE WHEN row_idx % 3 > 0 THEN country ELSE '' END AS country FROM participants""",
