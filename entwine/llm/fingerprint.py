@@ -38,26 +38,22 @@ TICKS = float(1 << 44)
 RUN_ROWS, MOST_RUNS = 500, 1 << 16
 
 
-ARRIVALS = "array<array<struct<element:bigint,time:double,position:bigint>>>"
-
-
 def next_arrival(before: Column, number: Column) -> Column:
-    """The arrival of an element after `before`: an exponential gap later, at a position by hash."""
-    bits = F.xxhash64(before["element"], number)
-    gap = -F.ln((F.shiftrightunsigned(bits, 11).cast("double") + 0.5) * F.lit(2.0**-53))
-    return F.struct(before["element"].alias("element"), (before["time"] + gap).alias("time"), bits.bitwiseAND(F.lit(POSITIONS - 1)).alias("position"))
+    """The arrival of an element after `before`: an exponential gap later."""
+    gap = F.ln((F.shiftrightunsigned(F.xxhash64(before["element"], number), 11) + F.lit(0.5)) * F.lit(2.0**-53))
+    return F.struct(before["element"].alias("element"), (before["time"] - gap).alias("time"))
 
 
 def draws(elements: Column, until: Column) -> Column:
     """position and time of every arrival before `until` in one long, the smaller the earlier at its position."""
-    start = F.array(F.transform(elements, lambda e: F.struct(e.alias("element"), F.lit(0.0).alias("time"), F.lit(0).cast("long").alias("position")))).cast(ARRIVALS)
+    start = F.array(F.transform(elements, lambda e: F.struct(e.alias("element"), F.lit(0.0).alias("time"))))
     # the chance of more arrivals of one element in that time is below 10^-12
     most = F.ceil(until + 8 * F.sqrt(until) + 12).cast("int")
     # the latest arrivals that came in time are turned into their elements' next ones
-    step = lambda found, j: F.concat(found, F.array(F.filter(F.transform(F.element_at(found, -1), lambda x: next_arrival(x, j)), lambda x: x["time"] < until))).cast(ARRIVALS)
-    every = F.flatten(F.aggregate(F.sequence(F.lit(1), most), start, step))
-    key = lambda x: F.shiftleft(x["position"], 57) + (x["time"] * F.lit(TICKS)).cast("long")
-    return F.transform(F.filter(every, lambda x: x["time"] > 0), key)
+    step = lambda found, j: F.concat(found, F.array(F.filter(F.transform(F.element_at(found, -1), lambda x: next_arrival(x, j)), lambda x: x["time"] < until)))
+    every = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda found: F.flatten(F.slice(found, F.lit(2), F.size(found))))
+    ticks = lambda x: (x["time"] * F.lit(TICKS)).cast("long")
+    return F.transform(every, lambda x: F.shiftleft(F.xxhash64(x["element"], ticks(x)).bitwiseAND(F.lit(POSITIONS - 1)), 57) + ticks(x))
 
 
 def first_of(draws: Column) -> Column:

