@@ -11,8 +11,8 @@ the line that stands in the most texts (of equals the one with the larger hash)
 instances; of the others again the most frequent one is a template, until none is left. Templates that share an instance
 are one. A template recurs if its instances stand in enough documents. Of a recurring template the first instance in
 the document with the smallest key stays; all others are dropped. Groups whose lines don't stand in enough documents, and
-lines in no other group, cannot recur and go no further, so few lines are ever compared; each round is an aggregate
-and a join that adaptive execution can split, and no group is collected.
+lines in no other group, cannot recur and go no further, so few lines are ever compared. A group of up to GROUP lines is worked
+out in one task; of a larger one each round takes a template by an aggregate and a join that adaptive execution can split.
 
 Texts that are equal count as one document, so copies of a document don't make its lines recur.
 
@@ -24,6 +24,7 @@ are handed on, but for n_lines and n_dropped, which are replaced; an empty table
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -42,6 +43,8 @@ LEAST, ALIKE = 3, 0.8
 #: A line of so many tokens is a passage, which recurs from so many documents on.
 LONG, LEAST_LONG = 50, 2
 DIGIT, FIELD = re.compile(r"\d"), re.compile(r"\S*\d\S*")
+#: Lines of a group that one task works out.
+GROUP = 4096
 #: Decisions or leaves that are sent to every task at once; more leaves are sent in blocks, more decisions meet the texts by a join.
 MOST_SENT = 2_000_000
 
@@ -134,24 +137,41 @@ def pieces(alike: float) -> Column:
     return F.when(differ >= rest, F.array(F.xxhash64("leaf"))).otherwise(F.transform(F.sequence(F.lit(0), differ), piece))
 
 
-def groups_of(tokens: DataFrame, least: int, alike: float, least_long: int) -> DataFrame:
-    """node (a line) and root: lines of one template have one root. tokens: line, leaf, tokens, texts."""
+def templates_in(group: pa.Table, alike: float) -> pa.Table:
+    """line and template of the instances in one group of lines (line, texts, tokens): the most frequent line is a template, then that of the others, until none is left."""
+    lines, texts = group.column("line").to_numpy(), group.column("texts").to_numpy()
+    tokens = group.column("tokens").combine_chunks().values.to_numpy().reshape(len(lines), -1)
+    left, out, of = np.lexsort((-lines, -texts)), [], []
+    while len(left) > 1:
+        best = left[0]
+        same = (tokens[left] == tokens[best]).sum(1) >= tokens.shape[1] * alike - 1e-9
+        found = left[same & (left != best)]
+        out.append(lines[found])
+        of.append(np.full(len(found), lines[best]))
+        left = left[~same]
+    none = np.empty(0, np.int64)
+    return pa.table({"line": pa.array(np.concatenate([none, *out])), "template": pa.array(np.concatenate([none, *of]))})
+
+
+def groups_of(tokens: DataFrame, least: int, alike: float, least_long: int, most: int = GROUP) -> DataFrame:
+    """node (a line) and root: lines of one template have one root. tokens: line, leaf, tokens, texts. Groups of up to `most` lines are worked out in one task each; of larger ones each round takes a template."""
     rows = tokens.withColumn("piece", F.explode(F.array_distinct(pieces(alike))))
-    live = rows.groupBy("piece", "leaf").agg(F.count("*").alias("lines"), F.sum("texts").alias("all")).where((F.col("lines") > 1) & (F.col("all") >= enough("leaf", least, least_long))).select("piece")
-    rows = cut(rows.join(live, "piece"), "pieces")
-    links = None
-    while True:
-        first = rows.groupBy("piece").agg(F.max(F.struct("texts", "line", "tokens")).alias("t"), F.count("*").alias("lines")).where("lines > 1").select("piece", F.col("t.line").alias("template"), F.col("t.tokens").alias("pattern"))
+    live = rows.groupBy("piece", "leaf").agg(F.count("*").alias("lines"), F.sum("texts").alias("all")).where((F.col("lines") > 1) & (F.col("all") >= enough("leaf", least, least_long))).select("piece", "lines")
+    rows = cut(rows.drop("leaf").join(live, "piece"), "pieces")
+    small, links = [rows.where(F.col("lines") <= most).drop("lines")], []
+    rows = rows.where(F.col("lines") > most).drop("lines")
+    while not rows.isEmpty():
+        first = rows.groupBy("piece").agg(F.max(F.struct("texts", "line", "tokens")).alias("t")).select("piece", F.col("t.line").alias("template"), F.col("t.tokens").alias("pattern"))
         same = F.size(F.filter(F.zip_with("tokens", "pattern", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x))
         judged = cut(rows.join(first, "piece").withColumn("instance", same >= F.size("tokens") * alike - 1e-9).drop("pattern"), "judged")
-        if judged.isEmpty():
-            break
-        own = judged.where("instance and line <> template").select("line", "template")
-        links = own if links is None else links.union(own)
-        rows = judged.where("not instance").drop("template", "instance")
-    if links is None:
-        return tokens.sparkSession.createDataFrame([], "node long, root long")
-    return components(links, "line", "template")
+        links.append(judged.where("instance and line <> template").select("line", "template"))
+        others = judged.where("not instance").select(*rows.columns)
+        sizes = cut(others.groupBy("piece").agg(F.count("*").alias("lines")), "sizes")
+        small.append(others.join(sizes.where(F.col("lines").between(2, most)), "piece", "left_semi"))
+        rows = others.join(sizes.where(F.col("lines") > most), "piece", "left_semi")
+    for part in small:
+        links.append(part.groupBy("piece").applyInArrow(lambda group: templates_in(group, alike), "line long, template long"))
+    return components(functools.reduce(DataFrame.union, links), "line", "template")
 
 
 def enough(leaf: str, least: int, least_long: int) -> Column:

@@ -332,9 +332,10 @@ def templates_of(rows, least, alike, least_long=2):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most_sent", [2_000_000, 3])
-def test_templates_match_brute_force(spark, most_sent):
+@pytest.mark.parametrize("most_sent, group", [(2_000_000, 4096), (3, 4)])
+def test_templates_match_brute_force(spark, monkeypatch, most_sent, group):
     """Several templates in one leaf, variable words anywhere after the leading ones, lines of many lengths."""
+    monkeypatch.setattr(line_dedup.groups_of, "__defaults__", (group,))
     rng = random.Random(15)
     words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
     tails = [[rng.choice(words) for _ in range(n)] for n in (2, 5, 5, 7, 7, 12, 60)]
