@@ -25,6 +25,7 @@ are handed on, but for n_lines and n_dropped, which are replaced; an empty table
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -137,20 +138,43 @@ def pieces(alike: float) -> Column:
     return F.when(differ >= rest, F.array(F.xxhash64("leaf"))).otherwise(F.transform(F.sequence(F.lit(0), differ), piece))
 
 
-def templates_in(group: pa.Table, alike: float) -> pa.Table:
-    """line and template of the instances in one group of lines (line, texts, tokens): the most frequent line is a template, then that of the others, until none is left."""
-    lines, texts = group.column("line").to_numpy(), group.column("texts").to_numpy()
-    tokens = group.column("tokens").combine_chunks().values.to_numpy().reshape(len(lines), -1)
-    left, out, of = np.lexsort((-lines, -texts)), [], []
+def templates_in(lines: np.ndarray, texts: np.ndarray, tokens: np.ndarray, alike: float) -> Iterator[tuple[np.ndarray, int]]:
+    """Instances and template for each template of one group of lines: the most frequent line is a template, then that of the others, until none is left."""
+    left = np.lexsort((-lines, -texts))
     while len(left) > 1:
-        best = left[0]
-        same = (tokens[left] == tokens[best]).sum(1) >= tokens.shape[1] * alike - 1e-9
-        found = left[same & (left != best)]
-        out.append(lines[found])
-        of.append(np.full(len(found), lines[best]))
-        left = left[~same]
-    none = np.empty(0, np.int64)
-    return pa.table({"line": pa.array(np.concatenate([none, *out])), "template": pa.array(np.concatenate([none, *of]))})
+        best, others = left[0], left[1:]
+        same = (tokens[others] == tokens[best]).sum(1) >= tokens.shape[1] * alike - 1e-9
+        yield lines[others[same]], int(lines[best])
+        left = others[~same]
+
+
+def instances_in(batches: Iterator[pa.RecordBatch], alike: float) -> Iterator[pa.RecordBatch]:
+    """line and template of the instances in groups (piece, line, texts, tokens) that follow one another."""
+    kept: list = []
+    for batch in itertools.chain(batches, [None]):
+        kept += [] if batch is None else [batch]
+        if not kept:
+            return
+        rows = pa.Table.from_batches(kept).combine_chunks()
+        piece = rows.column("piece").to_numpy()
+        ends = np.append(np.flatnonzero(piece[1:] != piece[:-1]) + 1, [len(piece)] if batch is None else [])
+        if not len(ends):
+            kept = rows.to_batches()
+            continue
+        lines, texts = rows.column("line").to_numpy(), rows.column("texts").to_numpy()
+        lists = pa.concat_arrays(rows.column("tokens").chunks)
+        flat, places = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        out, of, begin = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for end in ends.astype(np.int64).tolist():
+            own = flat[places[begin] : places[end]].reshape(end - begin, -1)
+            for found, template in templates_in(lines[begin:end], texts[begin:end], own, alike):
+                out.append(found)
+                of.append(np.full(len(found), template))
+            begin = end
+        kept = [] if batch is None else rows.slice(begin).to_batches()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(of))], names=["line", "template"])
+        if batch is None:
+            return
 
 
 def groups_of(tokens: DataFrame, least: int, alike: float, least_long: int, most: int = GROUP) -> DataFrame:
@@ -170,7 +194,8 @@ def groups_of(tokens: DataFrame, least: int, alike: float, least_long: int, most
         small.append(others.join(sizes.where(F.col("lines").between(2, most)), "piece", "left_semi"))
         rows = others.join(sizes.where(F.col("lines") > most), "piece", "left_semi")
     for part in small:
-        links.append(part.groupBy("piece").applyInArrow(lambda group: templates_in(group, alike), "line long, template long"))
+        together = part.repartition("piece").sortWithinPartitions("piece").select("piece", "line", "texts", "tokens")
+        links.append(together.mapInArrow(lambda batches: instances_in(batches, alike), "line long, template long"))
     return components(functools.reduce(DataFrame.union, links), "line", "template")
 
 
