@@ -30,6 +30,8 @@ from entwine.llm.words import FIRST_BYTES, eights, mix, text_bytes
 
 #: Distinct matches whose ids a worker keeps, for later tasks too; at this number the cache starts anew.
 CACHE = 1_200_000
+#: Bytes of matches of more than 16 bytes among them, as these may have any length; beyond that it starts anew, too.
+LONG_BYTES = 16 << 20
 
 
 def byte_characters() -> dict[int, str]:
@@ -200,7 +202,7 @@ class Codec:
 
     def forget(self) -> None:
         """Start the cache anew: the number of each match, then the ids by number."""
-        self.known, self.long = Known(), {}
+        self.known, self.long, self.long_bytes = Known(), {}, 0
         self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, "<u4")
 
     def learn(self, matches: list[bytes]) -> np.ndarray:
@@ -254,13 +256,14 @@ class Codec:
         unknown = [t for t in dict.fromkeys(texts) if t not in self.long]
         if unknown:
             self.long |= dict(zip(unknown, self.learn(unknown).tolist()))
+            self.long_bytes += sum(map(len, unknown))
         out[rest] = [self.long[t] for t in texts]
         return out
 
     def ids(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers; null is empty."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        if len(self.starts) > CACHE:
+        if len(self.starts) > CACHE or self.long_bytes > LONG_BYTES:
             self.forget()
         data, offsets = text_bytes(column)
         kind = CLASS[data]

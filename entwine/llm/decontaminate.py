@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entwine.llm.common import cut, cut_rows, slices
+from entwine.llm.common import LARGE_ROWS, cut, cut_rows, slices
 from entwine.llm.words import NOT_ALNUM, word_hashes
 
 WINDOW = 8
@@ -78,7 +78,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("keys", T.ArrayType(kind)), *(T.StructField(n, T.ArrayType(t)) for n, t in (("first", T.IntegerType()), ("terms", T.LongType()), ("ends", T.IntegerType()), ("positions", T.IntegerType())))])
-    return cut(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema), "postings")
+    return cut(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema), "postings", LARGE_ROWS)
 
 
 def document_frequencies(index: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

@@ -52,6 +52,15 @@ def test_cache_starts_anew(monkeypatch, reference):
         assert own.ids([t])[0].tolist() == reference.encode_ordinary(t)
 
 
+def test_cache_is_bounded_in_bytes_too(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LONG_BYTES", 1000)
+    own = byte_bpe.Codec("byte_bpe_50k.tiktoken")
+    for i in range(20):
+        text = " " + "word" * 100 + "abcdefghijklmnopqrst"[i]
+        assert own.decode(own.ids([text])[0]).decode() == text
+        assert sum(map(len, own.long)) < 1000 + 2 * len(text)
+
+
 def test_offsets_and_unknown_ids(spark):
     row = byte_bpe.encode_with_offsets(spark.createDataFrame([(1, "é 日本 ok")], "doc_id long, text string"), VOCABULARY).first()
     assert "".join("é 日本 ok"[a:b] for a, b in sorted(set(zip(row["starts"], row["ends"])))) .replace("日日", "日")[:1] == "é"

@@ -141,6 +141,18 @@ def test_contamination_matches_brute_force(spark, monkeypatch, most_windows, sha
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in found), key=str) == hits_of(DOCS, ITEMS)
 
 
+def test_postings_of_many_shards_stay_in_small_row_groups(spark, monkeypatch, tmp_path):
+    """Readers and writers hold a row group and its pages in memory, however many shards a task makes."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr("entwine.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(700_000)), lambda i: F.hex(i * 7 + F.col("doc_id"))))
+    index = decontaminate.build_index(spark.range(0, 6, numPartitions=1).withColumnRenamed("id", "doc_id").withColumn("text", text))
+    assert index.count() == 6
+    files = [pq.ParquetFile(p).metadata for p in tmp_path.rglob("*.parquet")]
+    assert max(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)) <= 2
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
