@@ -11,8 +11,8 @@ the line that stands in the most texts (of equals the one with the larger hash)
 instances; of the others again the most frequent one is a template, until none is left. Templates that share an instance
 are one. A template recurs if its instances stand in enough documents. Of a recurring template the first instance in
 the document with the smallest key stays; all others are dropped. Groups whose lines don't stand in enough documents, and
-lines in no other group, cannot recur and go no further, so few lines are ever compared. A group of up to GROUP lines is worked
-out in one task; of a larger one each round takes a template by an aggregate and a join that adaptive execution can split.
+lines in no other group, cannot recur and go no further, and of groups of the same lines one is worked out, so few lines are
+ever compared. A group of up to GROUP lines is worked out in one task; of a larger one each round takes a template by an aggregate and a join that adaptive execution can split.
 
 Texts that are equal count as one document, so copies of a document don't make its lines recur.
 
@@ -179,11 +179,16 @@ def instances_in(batches: Iterator[pa.RecordBatch], alike: float) -> Iterator[pa
 
 def groups_of(tokens: DataFrame, least: int, alike: float, least_long: int, most: int = GROUP) -> DataFrame:
     """node (a line) and root: lines of one template have one root. tokens: line, leaf, tokens, texts. Groups of up to `most` lines are worked out in one task each; of larger ones each round takes a template."""
-    rows = tokens.withColumn("piece", F.explode(F.array_distinct(pieces(alike))))
-    live = rows.groupBy("piece", "leaf").agg(F.count("*").alias("lines"), F.sum("texts").alias("all")).where((F.col("lines") > 1) & (F.col("all") >= enough("leaf", least, least_long))).select("piece", "lines")
-    rows = cut(rows.drop("leaf").join(live, "piece"), "pieces")
-    small, links = [rows.where(F.col("lines") <= most).drop("lines")], []
+    rows = cut(tokens.select("line", "texts", enough("leaf", least, least_long).alias("least"), F.explode(F.array_distinct(pieces(alike))).alias("piece")), "pieces")
+    # Near copies share most of their pieces, so many groups hold the same lines: of those, which are told by two hashes of the lines, one is worked out.
+    held = [F.bit_xor(F.xxhash64("line", F.lit(seed))).alias(f"held{seed}") for seed in (1, 2)]
+    live = rows.groupBy("piece", "least").agg(F.count("*").alias("lines"), F.sum("texts").alias("all"), *held).where((F.col("lines") > 1) & (F.col("all") >= F.col("least")))
+    live = live.groupBy("lines", "held1", "held2").agg(F.min("piece").alias("piece")).select("piece", "lines")
+    rows = cut(rows.drop("least").join(live, "piece"), "live")
+    small, links = [rows.where(F.col("lines") <= most).drop("lines").join(tokens.select("line", "tokens"), "line")], []
     rows = rows.where(F.col("lines") > most).drop("lines")
+    if not rows.isEmpty():
+        rows = cut(rows.join(tokens.select("line", "tokens"), "line"), "large")
     while not rows.isEmpty():
         first = rows.groupBy("piece").agg(F.max(F.struct("texts", "line", "tokens")).alias("t")).select("piece", F.col("t.line").alias("template"), F.col("t.tokens").alias("pattern"))
         same = F.size(F.filter(F.zip_with("tokens", "pattern", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x))

@@ -368,3 +368,20 @@ def test_two_templates_of_one_leaf(spark):
     rows += [(6 + i, f"this page was taken from {n} after many long years of waiting there") for i, n in enumerate(["gerd", "hans", "ida", "jan"])]
     found = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in found.collect() if r["text"]) == [0, 6]
+
+
+def test_near_copies_of_long_lines_take_little_disk(spark, monkeypatch, tmp_path):
+    """A line of n tokens has n / 5 pieces; its tokens don't go with each of them."""
+    import pyarrow.parquet as pq
+
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000)]
+    other = [*words[:1000], "another", *words[1001:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "own words\n" + " ".join(other))], "doc_id long, text string")
+    monkeypatch.setattr("entwine.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
+    assert found == {1: " ".join(words), 2: "own words"}
+    files = [pq.ParquetFile(p).metadata for p in tmp_path.rglob("*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    columns = [g.column(c) for g in groups for c in range(g.num_columns)]
+    written = sum(c.num_values for c in columns if c.path_in_schema.startswith("tokens."))
+    assert 2 * len(words) <= written < 10 * len(words)
