@@ -5,7 +5,7 @@ the CRC-32 of its ids. For every id an order-2 and an order-1 table give the id
 ids last, with a count of how often in a row that was right. The chances that adaptive probabilities give to these and
 to order 0 are mixed in the logistic domain by weights that learn in the block; the mixed chance drives the
 arithmetic coding of "the predicted id". Any other id is coded by the order-0 model: one of 16 classes of ids with
-adaptive counts, then the place in the class. All arithmetic is on integers, so it is the same on every machine.
+adaptive counts, then the place in the class. All arithmetic is exact on integers, so it is the same on every machine.
 
 Python would be slow for one block at a time, so the blocks of a shard (some millions of ids) are coded in step: every numpy
 operation handles one id of each block.
@@ -44,69 +44,104 @@ CLASS_BITS = np.repeat([8, 10, 12, 14], 4)
 CLASSES = len(CLASS_BITS)
 CLASS_START = np.concatenate([[0], np.cumsum(1 << CLASS_BITS)])
 #: 12-bit chances in the logistic domain: a rational curve, so that integers suffice.
-STRETCH = np.array([((2 * c - 4096) << 8) // (4096 - abs(2 * c - 4096)) if c else -(1 << 20) for c in range(4096)], np.int32)
-#: Row k is true below k.
-BELOW = np.tri(CLASSES, CLASSES, -1, dtype=np.int32)
+STRETCH = np.array([((2 * c - 4096) << 8) // (4096 - abs(2 * c - 4096)) if c else -(1 << 20) for c in range(4096)], np.float64)
+#: The class of every id.
+CLASS_OF = np.repeat(np.arange(CLASSES), 1 << CLASS_BITS)[: 1 << 16]
+ABOVE = np.arange(1, CLASSES + 1, dtype=np.int16)[:, None]
 U = np.uint64
 LOW16, TOP, BOTTOM = U(0xFFFF), U(1 << 48), U(1 << 32)
 
 
 class Model:
-    """The predictions of `rows` blocks, in step. Where arrays have two rows, they are of order 1 and order 2."""
+    """The predictions of `rows` blocks, in step. Where arrays have two rows, they are of order 1 and order 2.
+
+    Chances and weights are floats that hold integers of less than 2^53, whose sums, products and rounded quotients are exact.
+    """
 
     def __init__(self, rows: int):
-        self.base = np.arange(2 * rows).reshape(2, rows)
-        self.ids = np.zeros(2 * rows * ENTRIES, np.int32)
-        self.runs = np.zeros(2 * rows * ENTRIES, np.int32)
+        base = np.arange(2 * rows).reshape(2, rows)
+        self.rows, self.tables, self.runs = rows, base * ENTRIES, base * 16
+        self.held = np.zeros(2 * rows * ENTRIES, np.int32)  # id and, in the last four bits, how often in a row it was right
         self.chance = np.full(2 * rows * 16, 1024, np.int32)
         self.any = np.full(rows, 1024, np.int32)
-        self.weights = np.full((3, rows), 24000, np.int32)
-        self.inputs = np.zeros((3, rows), np.int32)
-        self.last, self.before = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        self.counts = np.ones((rows, CLASSES), np.int32)
-        self.total = np.full(rows, CLASSES, np.int32)
+        self.weights = np.full((3, rows), 24000.0)
+        self.inputs = np.zeros((3, rows))
+        self.last, self.before = np.zeros((2, rows), np.int64)
+        self.ends = np.repeat(np.arange(CLASSES + 1, dtype=np.int16)[:, None], rows, 1)  # of the classes' counts; at most 16,024
+        self.kinds = np.empty(rows, np.int16)
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The predicted id of the first n blocks and its chance in 16 bits."""
-        last, base = self.last[:n], self.base[:, :n]
-        context = np.stack([last * 40503, last * 30011 + self.before[:n] * 50021])
-        self.at = base * ENTRIES + ((context >> 4) & (ENTRIES - 1))
-        self.guess, self.run = self.ids[self.at], self.runs[self.at]
-        self.chance_at = base * 16 + self.run
+        last = self.last[:n]
+        self.at = np.empty((2, n), np.int64)
+        np.multiply(last, 40503, out=self.at[0])
+        np.multiply(last, 30011, out=self.at[1])
+        self.at[1] += self.before[:n] * 50021
+        self.at >>= 4
+        self.at &= ENTRIES - 1
+        self.at += self.tables[:, :n]
+        self.found = self.held.take(self.at)
+        self.guess, self.run = self.found >> 4, self.found & 15
+        self.chance_at = self.runs[:, :n] + self.run
+        self.now = self.chance.take(self.chance_at)
         x = self.inputs[:, :n]
-        x[0] = STRETCH[self.any[:n]]
-        x[1:] = STRETCH[self.chance[self.chance_at]]
+        x[0] = STRETCH.take(self.any[:n])
+        x[1:] = STRETCH.take(self.now)
         guess = np.where(self.run[1] > 0, self.guess[1], self.guess[0])
-        other = self.guess[0] != guess
-        x[1][other] = -np.abs(x[1][other])
-        mixed = (self.weights[:, :n].astype(np.int64) * x).sum(0) >> 16
-        self.p = np.clip(32768 + (mixed << 15) // (256 + np.abs(mixed)), 48, 65536 - 48)
-        return guess, self.p
+        np.negative(np.abs(x[1]), out=x[1], where=self.guess[0] != guess)
+        parts = self.weights[:, :n] * x
+        mixed = parts[0]
+        mixed += parts[1]
+        mixed += parts[2]
+        mixed *= 1 / 65536
+        np.floor(mixed, out=mixed)
+        self.p = np.floor(mixed * 32768 / (np.abs(mixed) + 256))
+        self.p += 32768
+        np.minimum(np.maximum(self.p, 48, out=self.p), 65536 - 48, out=self.p)
+        return guess, self.p.astype(np.int64).view(U)
 
     def learn(self, n: int, ids: np.ndarray, hit: np.ndarray) -> None:
         """Take in the ids of the first n blocks."""
-        error = (hit.astype(np.int64) << 16) - self.p
+        step = (hit * 65536.0 - self.p) * self.inputs[:, :n]
+        step *= 1 / 4096
         weights = self.weights[:, :n]
-        np.clip(weights + ((error * self.inputs[:, :n]) >> 12), -(1 << 19), 1 << 19, out=weights, casting="unsafe")
+        weights += np.floor(step, out=step)
+        np.minimum(np.maximum(weights, -(1 << 19), out=weights), 1 << 19, out=weights)
         now = self.any[:n]
         now += ((hit.astype(np.int32) << 12) - now) >> 5
-        np.clip(now, 16, 4080, out=now)
+        np.minimum(np.maximum(now, 16, out=now), 4080, out=now)
         right = self.guess == ids
-        now = self.chance[self.chance_at]
-        self.chance[self.chance_at] = np.clip(now + (((right.astype(np.int32) << 12) - now) >> 4), 16, 4080)
-        anew = ~right & (self.run < 2)
-        self.ids[self.at] = np.where(anew, ids, self.guess)
-        self.runs[self.at] = np.where(right, np.minimum(self.run + 1, 15), np.where(anew, 1, self.run >> 1))
-        self.before[:n], self.last[:n] = self.last[:n].copy(), ids
+        now = self.now
+        now += ((right.astype(np.int32) << 12) - now) >> 4
+        np.minimum(np.maximum(now, 16, out=now), 4080, out=now)
+        self.chance[self.chance_at] = now
+        anew = (ids << 4 | 1).astype(np.int32)
+        wrong = np.where(self.run < 2, anew, self.found - self.run + (self.run >> 1))
+        self.held[self.at] = np.where(right, self.found + (self.run < 15), wrong)
+        self.before[:n], self.last[:n] = self.last[:n], ids
+
+    def span(self, rows: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the counts of the rows' classes begin, and how large they are."""
+        at, flat = kind * self.rows + rows, self.ends.reshape(-1)
+        start = flat.take(at)
+        return start.astype(U), (flat.take(at + self.rows) - start).astype(U)
+
+    def total(self, rows: np.ndarray) -> np.ndarray:
+        return self.ends[CLASSES].take(rows).astype(U)
+
+    def kind(self, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """In which class's counts each value lies."""
+        self.kinds[rows] = values
+        return np.add.reduce(self.ends[1:] <= self.kinds, 0, dtype=np.int8).take(rows).astype(np.int64)
 
     def count(self, rows: np.ndarray, kind: np.ndarray) -> None:
         """Order 0 takes in the classes of the rows."""
-        self.counts[rows, kind] += 24
-        self.total[rows] += 24
-        full = rows[self.total[rows] > 16000]
+        self.kinds[:] = CLASSES
+        self.kinds[rows] = kind
+        self.ends[1:] += (self.kinds < ABOVE).view(np.int8) * np.int8(24)
+        full = np.flatnonzero(self.ends[CLASSES] > 16000)
         if len(full):
-            self.counts[full] = (self.counts[full] + 1) >> 1
-            self.total[full] = self.counts[full].sum(1)
+            self.ends[1:, full] = np.cumsum((np.diff(self.ends[:, full], axis=0) + 1) >> 1, 0)
 
 
 class Encoder:
@@ -118,14 +153,18 @@ class Encoder:
 
     def put(self, rows: np.ndarray, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
         """Code [start, start + size) in units of the range for the rows."""
-        low, wide = self.low[rows] + start * unit, size * unit
-        self.low[rows], self.range[rows] = low, wide
+        every = len(rows) == len(self.low)
+        low, wide = (self.low if every else self.low.take(rows)) + start * unit, size * unit
+        if every:
+            self.low, self.range = low.copy(), wide.copy()
+        else:
+            self.low[rows], self.range[rows] = low, wide
         while True:
             same = (low ^ (low + wide)) < TOP
             out = np.flatnonzero(same | (wide < BOTTOM))
             if not len(out):
                 return
-            rows, low, wide, same = rows[out], low[out], wide[out], same[out]
+            rows, low, wide, same = rows.take(out), low.take(out), wide.take(out), same.take(out)
             wide = np.where(same, wide, (~low + U(1)) & (BOTTOM - U(1)))
             self.words[rows, self.used[rows]] = low >> U(48)
             self.used[rows] += 1
@@ -160,14 +199,18 @@ class Decoder:
 
     def take(self, rows: np.ndarray, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
         """Go on after [start, start + size)."""
-        low, wide = self.low[rows] + start * unit, size * unit
-        self.low[rows], self.range[rows] = low, wide
+        every = len(rows) == len(self.low)
+        low, wide = (self.low if every else self.low.take(rows)) + start * unit, size * unit
+        if every:
+            self.low, self.range = low.copy(), wide.copy()
+        else:
+            self.low[rows], self.range[rows] = low, wide
         while True:
             same = (low ^ (low + wide)) < TOP
             out = np.flatnonzero(same | (wide < BOTTOM))
             if not len(out):
                 return
-            rows, low, wide, same = rows[out], low[out], wide[out], same[out]
+            rows, low, wide, same = rows.take(out), low.take(out), wide.take(out), same.take(out)
             wide = np.where(same, wide, (~low + U(1)) & (BOTTOM - U(1)))
             self.code[rows] = (self.code[rows] << U(16)) | self.flat[np.minimum(self.at[rows], len(self.flat) - 1)].astype(U)
             self.at[rows] += 1
@@ -191,15 +234,14 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         live = n if t < sizes[-1] else n - 1
         now = grid[:live, t]
         guess, p = model.predict(live)
-        hit, p = guess == now, p.astype(U)
+        hit = guess == now
         rows = every[:live]
         coder.put(rows, np.where(hit, U(0), p), np.where(hit, p, U(65536) - p), coder.range[:live] >> U(16))
         missed = np.flatnonzero(~hit)
         if len(missed):
             own = now[missed]
-            kind = np.searchsorted(CLASS_START, own, side="right") - 1
-            start = (model.counts[missed] * BELOW[kind]).sum(1)
-            coder.put(missed, start.astype(U), model.counts[missed, kind].astype(U), coder.range[missed] // model.total[missed].astype(U))
+            kind = CLASS_OF.take(own)
+            coder.put(missed, *model.span(missed, kind), coder.range.take(missed) // model.total(missed))
             coder.put(missed, (own - CLASS_START[kind]).astype(U), np.ones(len(missed), U), coder.range[missed] >> CLASS_BITS[kind].astype(U))
             model.count(missed, kind)
         model.learn(live, now, hit)
@@ -221,18 +263,16 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
         live = n if t < sizes[-1] else n - 1
         rows = every[:live]
         guess, p = model.predict(live)
-        p, unit = p.astype(U), coder.range[:live] >> U(16)
-        hit = coder.value(rows, unit) < p
+        unit = coder.range[:live] >> U(16)
+        hit = coder.code[:live] - coder.low[:live] < p * unit
         coder.take(rows, np.where(hit, U(0), p), np.where(hit, p, U(65536) - p), unit)
         now = guess.astype(np.int64)
         missed = np.flatnonzero(~hit)
         if len(missed):
-            unit = coder.range[missed] // model.total[missed].astype(U)
-            value = np.minimum(coder.value(missed, unit).astype(np.int64), model.total[missed] - 1)
-            ends = np.cumsum(model.counts[missed], 1, dtype=np.int32)
-            kind = (ends <= value[:, None]).sum(1)
-            size = model.counts[missed, kind]
-            coder.take(missed, (ends[np.arange(len(missed)), kind] - size).astype(U), size.astype(U), unit)
+            total = model.total(missed)
+            unit = coder.range.take(missed) // total
+            kind = model.kind(missed, np.minimum(coder.value(missed, unit), total - U(1)))
+            coder.take(missed, *model.span(missed, kind), unit)
             unit = coder.range[missed] >> CLASS_BITS[kind].astype(U)
             place = np.minimum(coder.value(missed, unit), U((1 << 14) - 1))
             coder.take(missed, place, np.ones(len(missed), U), unit)
