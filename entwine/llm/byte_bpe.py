@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 Each match of the split pattern is encoded separately. Texts of plain Latin letters are split here, over the bytes of whole Arrow
-batches, and every distinct match is given to the library once, its ids being kept in a bounded cache by the match's own bytes; any
+batches, and every distinct match is given to the library's model once, its ids being kept in a bounded cache by the match's own bytes; any
 other text is given to the library whole. Decoding reverses the byte-to-character table: ids become bytes, and characters that two or more ids split
 come together again because bytes, not characters, are joined.
 
@@ -14,10 +14,9 @@ ValueError on decoding.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
-import itertools
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,8 +72,11 @@ CLASS[[9, 10, 13, 32]] = SPACE
 CLASS[ord("0") : ord("9") + 1] = DIGIT
 CLASS[ord("A") : ord("Z") + 1] = CLASS[ord("a") : ord("z") + 1] = LETTER
 CLASS[0x80:0xC0] = CLASS[0xC3:0xC9] = LETTER  # U+00C0 to U+023F
-#: A match of a blank and letters, and how many are given to the library in one text.
-PLAIN_WORD, TOGETHER = re.compile(rb" [A-Za-z\x80-\xff]+").fullmatch, 1000
+#: How many matches are given to the library in one text, and the byte between them, which no text has.
+TOGETHER, BETWEEN = 100, b"\xff"
+#: The byte-level table, in which BETWEEN is a blank.
+CHARACTERS = np.array([ord(c) for _, c in sorted(byte_characters().items())], "<u4")
+CHARACTERS[BETWEEN[0]] = ord(" ")
 APOSTROPHE, BLANK = ord("'"), ord(" ")
 
 
@@ -131,38 +133,61 @@ def name_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return mix(low + mix(high + np.uint64(0x9E3779B97F4A7C15)))
 
 
+def roomy(values: np.ndarray, n: int) -> np.ndarray:
+    """The values, with places for n in all; new places come by the half, so that adding values doesn't copy all of them each time."""
+    if n <= len(values):
+        return values
+    out = np.empty(max(n, len(values) * 3 // 2), values.dtype)
+    out[: len(values)] = values
+    return out
+
+
 class Known:
-    """Matches of up to 16 bytes by their bytes, as two integers, in a table with open addressing."""
+    """Matches of up to 16 bytes by their bytes, as two integers, in a table with open addressing.
+
+    The table holds numbers alone; the bytes stand in the order of the numbers, so that those of frequent matches, which are met early,
+    stay in the processor's cache.
+    """
 
     def __init__(self, bits: int = 21):
-        self.mask = np.uint64((1 << bits) - 1)
-        self.low, self.high = np.zeros((2, 1 << bits), np.uint64)
-        self.number = np.zeros(1 << bits, np.int32)
+        self.mask, self.shift = np.uint64((1 << bits) - 1), np.uint64(64 - bits)
+        self.number = np.zeros(1 << bits, np.int32)  # from 1 on; 0 is an empty place
+        self.low, self.high = np.zeros((2, 1), np.uint64)  # no match is without bytes, so none has the zeros of number 0
 
     def place(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return (name_of(low, high) & self.mask).astype(np.int64)
+        h = low * np.uint64(0x9E3779B97F4A7C15)
+        h ^= high * np.uint64(0xD1B54A32D192ED03)
+        h >>= self.shift
+        return h.view(np.int64)
 
     def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The number of each match, -1 of those that aren't in the table."""
-        out, rows, at = np.full(len(low), -1, np.int64), np.arange(len(low)), self.place(low, high)
-        while len(rows):
-            there = self.low[at]
-            same = (there == low[rows]) & (self.high[at] == high[rows])
-            out[rows[same]] = self.number[at[same]]
-            on = ~same & (there != 0)  # no match is without bytes, so 0 is an empty place
-            rows, at = rows[on], (at[on] + 1) & np.int64(self.mask)
+        at = self.place(low, high)
+        out = self.number.take(at).astype(np.int64)
+        same = self.low.take(out) == low
+        same &= self.high.take(out) == high
+        rows = np.flatnonzero(~same)
+        rows = rows[out[rows] != 0]
+        at = at[rows]
+        while len(rows):  # another match is there
+            at = (at + 1) & np.int64(self.mask)
+            found = self.number[at].astype(np.int64)
+            out[rows] = found
+            on = (found != 0) & ((self.low[found] != low[rows]) | (self.high[found] != high[rows]))
+            rows, at = rows[on], at[on]
+        out -= 1
         return out
 
     def add(self, low: np.ndarray, high: np.ndarray, numbers: np.ndarray) -> None:
         """Put different new matches in."""
-        rows, at = np.arange(len(low)), self.place(low, high)
+        rows, at, numbers = np.arange(len(low)), self.place(low, high), numbers + 1
+        most = int(numbers.max()) + 1
+        self.low, self.high = roomy(self.low, most), roomy(self.high, most)
+        self.low[numbers], self.high[numbers] = low, high
         while len(rows):
-            free = np.flatnonzero(self.low[at] == 0)
-            _, one = np.unique(at[free], return_index=True)  # of those that want one place, the first has it
-            free = free[one]
-            self.low[at[free]], self.high[at[free]], self.number[at[free]] = low[rows[free]], high[rows[free]], numbers[rows[free]]
-            on = np.ones(len(rows), bool)
-            on[free] = False
+            free = np.flatnonzero(self.number[at] == 0)
+            self.number[at[free]] = numbers[rows[free]]
+            on = self.number[at] != numbers[rows]  # of those that want one place, one has it
             rows, at = rows[on], (at[on] + 1) & np.int64(self.mask)
 
 
@@ -192,6 +217,9 @@ class Codec:
             self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.bytes_of = {r: t for t, r in ranks.items()}
         self.tokenizer.encode_special_tokens = True
+        # the same model for texts that are split already: matches in the characters of the byte-level table, with blanks between them
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         ends = sorted(self.bytes_of)
         sizes = np.zeros((ends[-1] if ends else 0) + 2, np.int64)
         for i in ends:
@@ -203,40 +231,31 @@ class Codec:
     def forget(self) -> None:
         """Start the cache anew: the number of each match, then the ids by number."""
         self.known, self.long, self.long_bytes = Known(), {}, 0
-        self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, "<u4")
+        self.starts, self.flat, self.learned = np.zeros(1, np.int64), np.empty(0, "<u4"), 0
 
     def learn(self, matches: list[bytes]) -> np.ndarray:
-        """Numbers of new matches.
-
-        Matches of a blank and letters are given to the library many at a time, as one text, which it splits before every blank.
-        """
-        plain = np.fromiter((PLAIN_WORD(m) is not None for m in matches), bool, len(matches))
-        words, others = np.flatnonzero(plain), np.flatnonzero(~plain)
-        runs = [[matches[i] for i in words[k : k + TOGETHER].tolist()] for k in range(0, len(words), TOGETHER)]
-        sizes, flat = [self.starts[-1:]], [self.flat]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([b"".join(run).decode() for run in runs], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum(self.byte_ends[ids.astype(np.int64) + 1] - self.byte_ends[ids])
-            wanted = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)))
-            edges = np.searchsorted(ends, wanted) + 1
-            if ends[-1] != wanted[-1] or (ends[edges - 1] != wanted).any():
-                raise ValueError("a run of words was split at other places")
-            sizes.append(np.diff(edges, prepend=0))
-            flat.append(ids)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([matches[i].decode() for i in others.tolist()], add_special_tokens=False)]
-        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-        flat.append(np.fromiter(itertools.chain.from_iterable(found), "<u4"))
-        numbers = np.zeros(len(matches), np.int64)
-        numbers[np.concatenate([words, others])] = np.arange(len(matches)) + len(self.starts) - 1
-        self.starts = np.concatenate([self.starts[:-1], np.cumsum(np.concatenate(sizes))])
-        self.flat = np.concatenate(flat)
-        return numbers
+        """Numbers of new matches, which are given to the library many at a time, as one text, with blanks between them."""
+        raw = [BETWEEN.join(matches[k : k + TOGETHER]) for k in range(0, len(matches), TOGETHER)]
+        runs = [CHARACTERS.take(np.frombuffer(r, np.uint8)).tobytes().decode("utf-32-le") for r in raw]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(runs, add_special_tokens=False)])
+        ends = np.cumsum(self.byte_ends[ids.astype(np.int64) + 1] - self.byte_ends[ids])
+        wanted = np.cumsum(np.fromiter(map(len, matches), np.int64, len(matches)))
+        edges = np.searchsorted(ends, wanted) + 1
+        if not len(ends) or ends[-1] != wanted[-1] or (ends[edges - 1] != wanted).any():
+            raise ValueError("a run of matches was split at other places")
+        first, used = self.learned, int(self.starts[self.learned])
+        self.learned = first + len(matches)
+        self.starts, self.flat = roomy(self.starts, self.learned + 1), roomy(self.flat, used + len(ids))
+        self.starts[first + 1 : self.learned + 1] = used + edges
+        self.flat[used : used + len(ids)] = ids
+        return np.arange(first, self.learned)
 
     def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of every match; new ones are given to the library once."""
         view, size = eights(np.append(data, np.zeros(8, np.uint8))), ends - starts
         low = view[starts] & FIRST_BYTES[np.minimum(size, 8)]
-        high = view[starts + 8] & FIRST_BYTES[np.clip(size - 8, 0, 8)] if len(starts) else low
+        high, more = np.zeros(len(starts), np.uint64), np.flatnonzero(size > 8)
+        high[more] = view[starts[more] + 8] & FIRST_BYTES[np.minimum(size[more] - 8, 8)]
         out = np.full(len(starts), -1, np.int64)
         short = np.flatnonzero(size <= 16)
         out[short] = self.known.find(low[short], high[short])
@@ -263,21 +282,24 @@ class Codec:
     def ids(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers; null is empty."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        if len(self.starts) > CACHE or self.long_bytes > LONG_BYTES:
+        if self.learned >= CACHE or self.long_bytes > LONG_BYTES:
             self.forget()
         data, offsets = text_bytes(column)
-        kind = CLASS[data]
+        kind = np.frombuffer(data.tobytes().translate(CLASS.tobytes()), np.uint8)
         usual = usual_rows(data, offsets, kind)
         starts = match_starts(data, offsets, kind)
         ends = np.append(starts[1:], len(data))
-        row = np.searchsorted(offsets, starts, side="right") - 1
-        keep = usual[row]
-        starts, ends, row = starts[keep], ends[keep], row[keep]
+        per_row = np.diff(np.searchsorted(starts, offsets))  # a match begins wherever a row does
+        if not usual.all():
+            keep = np.repeat(usual, per_row)
+            starts, ends, per_row = starts[keep], ends[keep], per_row * usual
         n = self.numbers(data, starts, ends)
         first, size = self.starts[n], self.starts[n + 1] - self.starts[n]
-        before = np.cumsum(size) - size
-        flat = self.flat[np.repeat(first - before, size) + np.arange(size.sum())]
-        edges = np.concatenate([[0], np.cumsum(np.bincount(row, size, len(column)).astype(np.int64))])
+        done = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(first - done[:-1], size)
+        at += np.arange(len(at))
+        flat = self.flat.take(at)
+        edges = done[np.concatenate([[0], np.cumsum(per_row)])]
         out = [flat[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
         rare = np.flatnonzero(~usual).tolist()
         for i, e in zip(rare, self.tokenizer.encode_batch_fast([column[i].as_py() for i in rare], add_special_tokens=False)):
@@ -304,7 +326,9 @@ class Codec:
 @functools.lru_cache(maxsize=2)
 def codec(vocab: str) -> Codec:
     """The worker's codec for a vocabulary, made once."""
-    return Codec(vocab)
+    found = Codec(vocab)
+    gc.freeze()  # it stays as long as the worker, so `release` need not walk through it after every task
+    return found
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:
