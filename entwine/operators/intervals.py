@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from entwine.sources.shared import written
 
 #: Steps of halving (53 give all bits of a double), and the most terms of a continued fraction; it needs about the root of the trials.
 HALVINGS, MOST_TERMS = 60, 1_000_000
@@ -95,9 +96,9 @@ def interval(confidence: float = 0.95):
 
 def report(outcomes: DataFrame, confidence: float = 0.95) -> DataFrame:
     """metric, successes, trials, estimate, low and high of precision and specificity; an empty table raises ValueError."""
-    if outcomes.isEmpty():
+    sums = written(outcomes.agg(F.count("*").alias("n"), F.count_if("correct_answered").alias("a"), F.count_if("answered").alias("b"), F.count_if("correct_abstention").alias("c"), F.count_if(~F.col("known")).alias("d")), "counts")
+    if not sums.first()["n"]:
         raise ValueError("no outcomes")
-    sums = outcomes.agg(F.count_if("correct_answered").alias("a"), F.count_if("answered").alias("b"), F.count_if("correct_abstention").alias("c"), F.count_if(~F.col("known")).alias("d"))
     row = lambda name, s, n: F.struct(F.lit(name).alias("metric"), F.col(s).alias("successes"), F.col(n).alias("trials"))
     rows = sums.select(F.explode(F.array(row("selective_precision", "a", "b"), row("no_match_specificity", "c", "d"))).alias("r")).select("r.*")
     return rows.withColumn("i", interval(confidence)("successes", "trials")).select("metric", "successes", "trials", F.try_divide(F.col("successes").cast("double"), "trials").alias("estimate"), "i.low", "i.high")
