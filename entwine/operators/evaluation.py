@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entwine.functions.draws import class_counts
 from entwine.functions.normalize import as_bool, case_identifier, clean
 from entwine.functions.rounding import round_exact
 
@@ -47,10 +48,12 @@ def outcomes(cases: DataFrame, best: DataFrame, blocked: DataFrame) -> DataFrame
     )
 
 
-def counters(by: list[str]) -> list[Column]:
+def counters(by: list[str], times: Column | None = None) -> list[Column]:
+    """The eight counters of outcomes; times: how often each row counts."""
+    number = F.count_if if times is None else lambda c: F.coalesce(F.sum(F.when(c if isinstance(c, Column) else F.col(c), times)), F.lit(0).cast("long"))
     return [
-        F.count("*").alias("cases"), F.count_if("known").alias("known_matches"), F.count_if("blocking_hit").alias("blocking_hits"), F.count_if("top1_hit").alias("top1_correct_known"), F.count_if("answered").alias("answered"),
-        F.count_if(F.col("answered") & F.col("known")).alias("answered_known"), F.count_if("correct_answered").alias("correct_answers"), F.count_if("correct_abstention").alias("correct_abstentions"),
+        number(F.lit(True)).alias("cases"), number("known").alias("known_matches"), number("blocking_hit").alias("blocking_hits"), number("top1_hit").alias("top1_correct_known"), number("answered").alias("answered"),
+        number(F.col("answered") & F.col("known")).alias("answered_known"), number("correct_answered").alias("correct_answers"), number("correct_abstention").alias("correct_abstentions"),
     ]
 
 
@@ -93,14 +96,15 @@ def error_cases(rows: DataFrame) -> DataFrame:
 FLAGS = ["known", "blocking_hit", "top1_hit", "answered", "correct_answered", "correct_abstention"]
 #: Draws that one row makes.
 DRAWS = 1 << 16
+LEAST_TASKS = 48
 
 
 def bootstrap(rows: DataFrame, iterations: int = 2000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """metric, low and high: percentile intervals of the metrics over draws with replacement within each stratum.
 
     Cases with the same flags are alike, so a stratum is at most 64 classes in a fixed order, and a draw is a hash of seed, iteration,
-    stratum and number, taken modulo the stratum's size: the class in which it falls is counted where it is drawn. Neither
-    cases nor draws move between machines, only sums for each iteration.
+    stratum and number, taken modulo the stratum's size: the class in which it falls is counted where it is drawn, thousands of draws at a
+    time. Neither cases nor draws move between machines, only sums for each iteration.
     """
     if iterations < 1 or not 0 < confidence < 1:
         raise ValueError("iterations must be positive and confidence between 0 and 1")
@@ -108,12 +112,12 @@ def bootstrap(rows: DataFrame, iterations: int = 2000, seed: int = 42, confidenc
     order = F.sort_array(F.collect_list(F.struct(*FLAGS, "n")))
     ends = F.transform("classes", lambda c, i: F.struct(*(c[f].alias(f) for f in FLAGS), F.aggregate(F.slice("classes", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, b: a + b["n"]).alias("end")))
     strata = classes.groupBy("stratum").agg(F.sum("n").alias("n"), order.alias("classes")).withColumn("classes", ends)
-    turns = strata.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).repartition("stratum", "iteration")
-    parts = turns.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAWS).cast("long"))))
-    picks = parts.select("stratum", "iteration", "n", "classes", F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + DRAWS, F.col("n")) - 1)).alias("number"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "iteration", "stratum", "number").cast("binary")), 1, 13), 16, 10).cast("long") % F.col("n")
-    hit = picks.select("iteration", "classes", draw.alias("draw")).select("iteration", F.get(F.filter("classes", lambda c: c["end"] > F.col("draw")), F.lit(0)).alias("c"))
-    drawn = hit.select("iteration", "c.*").groupBy("iteration").agg(*counters([])).select(*ratios())
+    turns = strata.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAWS).cast("long"))))
+    tasks = max(LEAST_TASKS, 4 * rows.sparkSession.sparkContext.defaultParallelism)  # a number of its own: by their bytes all rows would be one task
+    prefix = F.concat(F.concat_ws("|", F.lit(str(seed)), "iteration", "stratum"), F.lit("|"))
+    picks = turns.repartition(tasks, "stratum", "iteration", "begin").withColumn("counts", class_counts(prefix, F.col("begin"), F.least(F.col("begin") + DRAWS, F.col("n")), F.col("n"), F.transform("classes", lambda c: c["end"])))
+    hit = picks.select("iteration", F.posexplode("counts").alias("at", "times"), "classes").select("iteration", "times", F.get("classes", F.col("at")).alias("c")).select("iteration", "times", "c.*")
+    drawn = hit.groupBy("iteration").agg(*counters([], F.col("times"))).select(*ratios())
     tail = (1 - confidence) / 2
     both = drawn.agg(*(F.percentile(m, F.array(F.lit(tail), F.lit(1 - tail))).alias(m) for m in METRICS))
     return both.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), round_exact(F.get(m, F.lit(0)), 4).alias("low"), round_exact(F.get(m, F.lit(1)), 4).alias("high")) for m in METRICS))).alias("r")).select("r.*")
